@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("tabular", "scans")
+FAMILIES = ("tabular", "scans", "labelling", "metrics", "logging")
 
 
 def load_all():

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.schemas import REPORT
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -117,26 +119,23 @@ def v6(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v6reports(spark: SparkSession, d: str) -> DataFrame:
-    """Nested reports: one per order, image, status and return flag, so that no report grows with the data."""
-    li = table(spark, d, "lineitem")
-    keyed = li.select(
-        F.col("l_orderkey"),
-        F.struct(
-            F.concat(F.lit("CVE-"), F.col("l_partkey").cast("string")).alias("VulnerabilityID"),
-            F.concat(F.lit("pkg-"), (F.col("l_partkey") % 50).cast("string")).alias("PkgName"),
-            F.col("l_returnflag").alias("InstalledVersion"),
-            F.when(F.col("l_linestatus") == "F", "").otherwise(F.concat(F.lit("fix-"), F.col("l_linestatus"))).alias("FixedVersion"),
-            F.element_at(F.array(*[F.lit(s) for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW", None)]),
-                         (F.col("l_linenumber") % 5 + 1).cast("int")).alias("Severity"),
-            F.lit(None).cast("string").alias("Title"),
-        ).alias("finding"),
-        F.concat(F.lit("img-"), F.col("l_suppkey").cast("string")).alias("ArtifactName"),
-        F.col("l_shipdate"),
+    """Nested reports, one per scan line, so that no report and no group grows with the data. Each has
+    a result with the finding and a second result whose finding list is null."""
+    f = v6(spark, d)
+    finding = F.struct(
+        F.col("vulnerability_id").alias("VulnerabilityID"),
+        F.col("package").alias("PkgName"),
+        F.col("installed_version").alias("InstalledVersion"),
+        F.col("fixed_version").alias("FixedVersion"),
+        F.col("severity").alias("Severity"),
+        F.lit(None).cast("string").alias("Title"),
+    )
+    none = F.lit(None).cast(REPORT["Results"].dataType.elementType["Vulnerabilities"].dataType)
+    return f.select(
+        F.col("image").alias("ArtifactName"),
+        F.date_format("scan_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("CreatedAt"),
+        F.array(F.struct(F.array(finding).alias("Vulnerabilities")), F.struct(none.alias("Vulnerabilities"))).alias("Results"),
     )
-    return keyed.groupBy("l_orderkey", "ArtifactName").agg(
-        F.date_format(F.max("l_shipdate"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("CreatedAt"),
-        F.array(F.struct(F.collect_list("finding").alias("Vulnerabilities"))).alias("Results"),
-    ).select("ArtifactName", "CreatedAt", "Results")
 
 
 def v7(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,11 +10,22 @@ from pyspark.sql import functions as F
 ANYTHING = "(.*)"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once. Rewriting steps stack up, and each uses the label
+    map several times; binding it to a lambda variable keeps the combined expression linear in size
+    when the optimizer merges projections or pushes filters through them."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _get(labels: Column, name: str) -> Column:
+    return F.coalesce(F.try_element_at(labels, F.lit(name)), F.lit(""))
+
+
 def label(df: DataFrame, name: str, labels: str = "labels") -> Column:
     """A label's value; a missing label equals the empty string. Promoted columns win over the map."""
     if name in df.columns:
         return F.coalesce(F.col(name).cast("string"), F.lit(""))
-    return F.coalesce(F.try_element_at(F.col(labels), F.lit(name)), F.lit(""))
+    return _get(F.col(labels), name)
 
 
 def anchored(regex: str) -> str:
@@ -45,15 +56,22 @@ def label_values(df: DataFrame, name: str) -> DataFrame:
     return df.select(label(df, name).alias(name)).where(F.col(name) != "").distinct().orderBy(name)
 
 
+def _joined(df: DataFrame, labels: Column, source: Sequence[str], sep: str) -> Column:
+    return F.concat_ws(sep, *[label(df, s) if s in df.columns else _get(labels, s) for s in source])
+
+
 def joined(df: DataFrame, source: Sequence[str], sep: str = ";") -> Column:
-    return F.concat_ws(sep, *[label(df, s) for s in source])
+    """Source label values in one text."""
+    if "labels" not in df.columns:
+        return F.concat_ws(sep, *[label(df, s) for s in source])
+    return bind(F.col("labels"), lambda m: _joined(df, m, source, sep))
 
 
-def put(labels: Column, key: Column | str, value: Column) -> Column:
+def put(labels: Column, key: str, value: Column) -> Column:
     """Set one key of a map, replacing an existing one; an empty value removes the key."""
-    key = F.lit(key) if isinstance(key, str) else key
     rest = F.map_filter(labels, lambda k, _: k != key)
-    return F.when(value == "", rest).otherwise(F.map_concat(rest, F.create_map(key, value)))
+    added = F.map_filter(F.create_map(F.lit(key), value), lambda _, v: v != "")
+    return F.map_concat(rest, added)
 
 
 def keep(df: DataFrame, source: Sequence[str], regex: str, sep: str = ";") -> DataFrame:
@@ -67,27 +85,37 @@ def drop(df: DataFrame, source: Sequence[str], regex: str, sep: str = ";") -> Da
 def replace(df: DataFrame, target: str, source: Sequence[str] = (), regex: str = ANYTHING,
             replacement: str = "$1", sep: str = ";") -> DataFrame:
     """Set ``target`` from the capture groups of the joined source labels; rows that do not match stay."""
-    text = joined(df, source, sep) if source else F.lit("")
-    hit = text.rlike(anchored(regex))
-    value = F.regexp_replace(text, anchored(regex), replacement)
-    return df.withColumn("labels", F.when(hit, put(F.col("labels"), target, value)).otherwise(F.col("labels")))
+    pattern = anchored(regex)
+
+    def step(m: Column) -> Column:
+        def set_target(text: Column) -> Column:
+            return F.when(text.rlike(pattern), put(m, target, F.regexp_replace(text, pattern, replacement))).otherwise(m)
+
+        return bind(_joined(df, m, source, sep) if source else F.lit(""), set_target)
+
+    return df.withColumn("labels", bind(F.col("labels"), step))
 
 
 def labelmap(df: DataFrame, regex: str, replacement: str = "$1") -> DataFrame:
-    """Copy every label whose name matches to the name built from its capture groups."""
+    """Copy every label whose name matches to the name built from its capture groups.
+
+    Where two sources give one target, the last in label order wins.
+    """
     pattern = anchored(regex)
-    hits = F.map_filter("labels", lambda k, _: k.rlike(pattern))
-    pairs = F.transform(
-        F.map_entries(hits),
-        lambda e: F.struct(F.regexp_replace(e["key"], pattern, replacement).alias("key"), e["value"].alias("value")),
-    )
-    # two sources may rename to one target: the last in label order wins, so only that one enters the map
-    names = F.transform(pairs, lambda e: e["key"])
-    last = F.filter(pairs, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"]))
-    copied = F.map_from_entries(last)
-    return df.withColumn("_copied", copied).withColumn(
-        "labels", F.map_concat(F.map_filter("labels", lambda k, _: ~F.map_contains_key(F.col("_copied"), k)), F.col("_copied"))
-    ).drop("_copied")
+
+    def renamed(e: Column) -> Column:
+        return F.struct(F.regexp_replace(e["key"], pattern, replacement).alias("key"), e["value"].alias("value"))
+
+    def last_of_name(pairs: Column) -> Column:
+        names = F.transform(pairs, lambda e: e["key"])
+        return F.filter(pairs, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.greatest(F.size(names), F.lit(1))), e["key"]))
+
+    def step(m: Column) -> Column:
+        hits = F.map_filter(m, lambda k, _: k.rlike(pattern))
+        copied = F.map_from_entries(bind(F.transform(F.map_entries(hits), renamed), last_of_name))
+        return bind(copied, lambda c: F.map_concat(F.map_filter(m, lambda k, _: ~F.map_contains_key(c, k)), c))
+
+    return df.withColumn("labels", bind(F.col("labels"), step))
 
 
 def labeldrop(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -96,10 +124,14 @@ def labeldrop(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def fallback_label(df: DataFrame, target: str, sources: Sequence[str], last: Column | None = None) -> DataFrame:
     """First non-empty source label, else ``last``."""
-    value = F.coalesce(*[F.nullif(label(df, s), F.lit("")) for s in sources], last if last is not None else F.lit(""))
+    tail = [last] if last is not None else [F.lit("")]
+
+    def pick(get: Callable[[str], Column]) -> Column:
+        return F.coalesce(*[F.nullif(get(s), F.lit("")) for s in sources], *tail)
+
     if "labels" in df.columns:
-        return df.withColumn("labels", put(F.col("labels"), target, value))
-    return df.withColumn(target, value)
+        return df.withColumn("labels", bind(F.col("labels"), lambda m: put(m, target, pick(lambda s: _get(m, s)))))
+    return df.withColumn(target, pick(lambda s: label(df, s)))
 
 
 def external_labels(df: DataFrame, constant: dict[str, str]) -> DataFrame:
@@ -108,8 +140,11 @@ def external_labels(df: DataFrame, constant: dict[str, str]) -> DataFrame:
         return df.withColumns({k: F.coalesce(F.nullif(label(df, k), F.lit("")), F.lit(v)) if k in df.columns else F.lit(v)
                                for k, v in constant.items()})
     fixed = F.create_map(*[F.lit(x) for kv in constant.items() for x in kv])
-    added = F.map_filter(fixed, lambda k, _: ~F.map_contains_key(F.col("labels"), k))
-    return df.withColumn("labels", F.map_concat("labels", added))
+
+    def step(m: Column) -> Column:
+        return F.map_concat(m, F.map_filter(fixed, lambda k, _: ~F.map_contains_key(m, k)))
+
+    return df.withColumn("labels", bind(F.col("labels"), step))
 
 
 def limit_labels(df: DataFrame, n: int = 30) -> tuple[DataFrame, DataFrame]:
