@@ -46,15 +46,16 @@ def compare(df, con, sql: str | None) -> str:
     want = cur.fetchall()
     if sorted(names) != sorted(df.columns):
         return f"DIFF columns {sorted(df.columns)} != {sorted(names)}"
-    mine = {n: KINDS.get(t, t) for n, t in df.dtypes}
-    off = {n: (mine[n], kinds[n]) for n in names if mine[n] != kinds[n] and mine[n] in KINDS.values()}
+    types = {n: KINDS.get(t, t) for n, t in df.dtypes}
+    off = {n: (types[n], kinds[n]) for n in names if types[n] != kinds[n] and types[n] in KINDS.values()}
     order = sorted(names)
     got = sorted(repr(tuple(_plain(r[n]) for n in order)) for r in rows)
     at = [names.index(n) for n in order]
     exp = sorted(repr(tuple(_plain(r[i]) for i in at)) for r in want)
     if got != exp:
-        extra = [g for g in got if g not in set(exp)][:3]
-        lost = [e for e in exp if e not in set(got)][:3]
+        mine, theirs = set(got), set(exp)
+        extra = [g for g in got if g not in theirs][:3]
+        lost = [e for e in exp if e not in mine][:3]
         return f"DIFF rows {len(got)} vs {len(exp)} {order}\n   spark {extra}\n   sql   {lost}"
     if off:
         return f"DIFF types {off}"

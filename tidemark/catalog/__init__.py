@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("tabular", "scans", "labelling", "metrics", "logging")
+FAMILIES = ("tabular", "scans", "labelling", "metrics", "logging", "governance")
 
 
 def load_all():

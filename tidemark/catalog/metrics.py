@@ -307,11 +307,11 @@ rule_query(
 STATUS = "case u % 4 when 0 then '200' when 1 then '500' when 2 then '503' else '404' end"
 rule_query(
     "HighErrorRate",
-    lambda b: samples(b, "http_requests_total", "floor(sec / (10 + u % 20)) % 1000 * 1.1", status=STATUS),
-    growth_sql("s", "namespace, pod, status", f"SELECT namespace, pod, us, floor(sec / (10 + u % 20)) % 1000 * 1.1::DOUBLE AS value, {STATUS} AS status FROM rb WHERE u % 4 IN (1, 2)", "r", 300, per=300.0)
+    lambda b: samples(b, "http_requests_total", "floor(sec / (10 + u % 20)) % 1000 * 1.137", status=STATUS),
+    growth_sql("s", "namespace, pod, status", f"SELECT namespace, pod, us, floor(sec / (10 + u % 20)) % 1000 * 1.137::DOUBLE AS value, {STATUS} AS status FROM rb WHERE u % 4 IN (1, 2)", "r", 300, per=300.0)
     + ", hits AS (SELECT namespace, at_us, sum(value) AS value FROM r GROUP BY 1, 2 HAVING sum(value) > 0.05)",
 )
-BUCKETS = (("0.1", "80"), ("0.5", "90"), ("1", "90 + u % 20 % 12"), ("2.5", "95 + u % 20 % 12"), ("+Inf", "96 + u % 20 % 12"))
+BUCKETS = (("0.1", "80"), ("0.5", "90"), ("1", "90 + u % 20 % 12"), ("2.5", "97 + u % 20 % 12"), ("+Inf", "98 + u % 20 % 12"))
 
 
 def _bucket_frames(base):
@@ -326,7 +326,7 @@ rule_query(
     growth_sql(
         "s", "namespace, pod, le",
         "SELECT namespace, pod, us, le, floor(sec / 10) * k AS value FROM (SELECT *, unnest(['0.1', '0.5', '1', '2.5', 'inf'])::DOUBLE AS le, "
-        "unnest([80, 90, 90 + u % 20 % 12, 95 + u % 20 % 12, 96 + u % 20 % 12]) AS k FROM rb)", "r", 300, per=300.0)
+        "unnest([80, 90, 90 + u % 20 % 12, 97 + u % 20 % 12, 98 + u % 20 % 12]) AS k FROM rb)", "r", 300, per=300.0)
     + """, n AS (SELECT namespace, pod, at_us, max(value) AS n FROM r GROUP BY 1, 2, 3 HAVING max(value) > 0),
        b AS (SELECT r.namespace, r.pod, r.at_us, le, value AS c, lag(le) OVER w AS pl, lag(value) OVER w AS pc, 0.99::DOUBLE * n AS rank
              FROM r JOIN n ON r.namespace = n.namespace AND r.pod = n.pod AND r.at_us = n.at_us WINDOW w AS (PARTITION BY r.namespace, r.pod, r.at_us ORDER BY le)),
