@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("tabular", "scans", "labelling", "metrics", "logging", "governance")
+FAMILIES = ("tabular", "scans", "labelling", "metrics", "logging", "governance", "learning", "streams")
 
 
 def load_all():

@@ -51,6 +51,28 @@ def _growth(kind: str, value: str, previous: Column) -> Column:
     return F.coalesce(step, F.lit(0.0))
 
 
+def growth_step(value: str, previous: Column) -> Column:
+    """Reset-aware step from the previous sample; 0 for the first sample of a series."""
+    return _growth("increase", value, previous)
+
+
+def previous_value(df: DataFrame, series: Sequence[str], ts: str = "ts", value: str = "value", block: float = 3600) -> DataFrame:
+    """Add ``previous``: the value of the sample before this one in its series, however far back.
+
+    Inside a (series, time block) it is a lag; the first sample of a block takes the newest one of the
+    block before, from a table with one row per (series, block).
+    """
+    width = int(block * 1e6)
+    rows = df.withColumn("_us", micros(F.col(ts))).withColumn("_blk", F.floor(F.col("_us") / width))
+    newest = rows.groupBy(*series, "_blk").agg(F.max_by(value, "_us").alias("_last"))
+    carried = newest.select(*series, "_blk", F.lag("_last").over(Window.partitionBy(*series).orderBy("_blk")).alias("_carried"))
+    inside = Window.partitionBy(*series, "_blk").orderBy("_us")
+    both = rows.join(carried, [*series, "_blk"])
+    first = F.row_number().over(inside) == 1
+    previous = F.when(first, F.col("_carried")).otherwise(F.lag(value).over(inside))
+    return both.withColumn("previous", previous).select(*df.columns, "previous")
+
+
 def _over_range(df: DataFrame, series: Sequence[str], span: float, kind: str, ts: str, value: str, block: float | None) -> DataFrame:
     reach = int(span * 1e6)
     width = int((block or span) * 1e6)
