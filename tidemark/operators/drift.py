@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.special import chi2_pvalue, ks_pvalue
-from tidemark.operators.clean import numeric_columns
+from tidemark.operators.clean import band, numeric_columns
 from tidemark.plans.ordered import block_splits, running_sums, stack_numeric
 
 
@@ -62,8 +62,6 @@ def drift_distances(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> Data
 
     Both come from the same distributed cumulative counts over distinct values.
     """
-    from pyspark.sql import Window
-
     placed = _value_counts(ref, cur, cols)
     nxt = F.lead("value").over(Window.partitionBy("column", "block").orderBy("value"))
     gap = F.abs(F.try_divide("n_ref_upto", "n_ref_total") - F.try_divide("n_cur_upto", "n_cur_total"))
@@ -186,18 +184,15 @@ def windowed_drift(df: DataFrame, ts, window: str, baseline, col: str, bins: Seq
     ``baseline`` is a predicate naming the reference rows. Each window needs one count per bin, so
     the distance (largest difference of the two binned distribution functions) costs one aggregation.
     """
-    from tidemark.operators.clean import band
-
     bounds = [float("-inf"), *bins]
     slot = F.coalesce(band(F.col(col), bins), F.lit(float("-inf")))
     base = df.where(baseline)
     cur = df.where(~baseline).withColumn("_start", F.window(ts, window)["start"])
     counters = [F.count_if(slot <= b).alias(f"c{i}") for i, b in enumerate(bounds)]
-    ref = base.agg(*[c.alias(f"r{i}") for i, c in enumerate(counters)], F.count("*").alias("r_n"))
+    ref = base.agg(F.struct(*counters, F.count("*").alias("n")).alias("r")).scalar()
     got = cur.groupBy("_start").agg(*counters, F.count("*").alias("n"))
     gaps = [
-        F.abs(F.try_divide(F.col(f"c{i}"), F.col("n")) - F.try_divide(ref.select(f"r{i}").scalar(), ref.select("r_n").scalar()))
-        for i in range(len(bounds))
+        F.abs(F.try_divide(F.col(f"c{i}"), F.col("n")) - F.try_divide(ref[f"c{i}"], ref["n"])) for i in range(len(bounds))
     ]
     return got.select(F.col("_start").alias("window_start"), "n", F.greatest(*gaps).alias("distance")).withColumn(
         "drifted", F.col("distance") > limit

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.scratch import cut
+from tidemark.plans.scratch import cut, cut_counted
 
 PRODUCER = "tidemark"
 
@@ -77,14 +77,13 @@ def reachable(edges: DataFrame, seeds: DataFrame, upstream: bool = False, max_de
     never comes to the driver; it only learns whether a round found anything.
     """
     src, dst = ("dst", "src") if upstream else ("src", "dst")
-    steps = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct()
-    steps = cut(steps)
+    steps = cut(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")))
     frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
     for depth in range(1, max_depth + 1):
         found = frontier.join(steps, "node").select(F.col("next").alias("node")).distinct()
-        fresh = cut(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if fresh.isEmpty():
+        fresh, n = cut_counted(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if n == 0:
             break
         seen = seen.unionByName(fresh)
         frontier = fresh

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.labels import label, match_labels
@@ -67,8 +67,23 @@ def log_view(df: DataFrame, search: str = "", namespace: str = ".+", app: str =
     picked = match_labels(df, re={"namespace": namespace, "app": app})
     if search:
         picked = line_filter(picked, f"(?i){search}")
-    ordered = picked.orderBy(F.col("ts").desc(), *ties)
-    return ordered if limit is None else ordered.limit(limit)
+    if limit is None:
+        return picked.orderBy(F.col("ts").desc(), *ties)
+    return newest(picked, limit, ties=ties)
+
+
+def newest(df: DataFrame, limit: int, ts: str = "ts", ties: Sequence[str] = (), period: str = "hour") -> DataFrame:
+    """The ``limit`` newest rows, exactly.
+
+    A plain ordered limit sends up to ``limit`` rows of every input task to one task. Here rows are
+    counted per period first; only rows from the newest periods that together hold enough go on.
+    """
+    start = F.date_trunc(period, ts).cast("timestamp_ntz")
+    per = df.groupBy(start.alias("_p")).agg(F.count("*").alias("_n"))
+    newer = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    enough = per.withColumn("_seen", newer).where(F.col("_seen") >= limit).agg(F.max("_p"))
+    cutoff = F.coalesce(enough.scalar(), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+    return df.where(F.col(ts) >= cutoff).orderBy(F.col(ts).desc(), *ties).limit(limit)
 
 
 def level_counts(df: DataFrame, by: Sequence[str] = (), line: str = "line") -> DataFrame:

@@ -79,11 +79,18 @@ def scan_target_counts(targets: DataFrame) -> DataFrame:
 
 
 def placeholder_reports(targets: DataFrame, reports: DataFrame) -> DataFrame:
-    """Every wanted target has a report; a failed scan gives one with no results and no time."""
-    empty = F.array().cast(reports.schema["Results"].dataType)
-    return targets.join(reports, targets["image"] == reports["ArtifactName"], "left").select(
-        F.col("image").alias("ArtifactName"), "CreatedAt", F.coalesce("Results", empty).alias("Results")
+    """Every wanted target has a report; a failed scan gives one with no results and no time.
+
+    Found and failed targets are joined apart: in an inner join a much-scanned image can be split over
+    tasks, which an outer join on that side does not allow.
+    """
+    names = ["ArtifactName", "CreatedAt", "Results"]
+    wanted = targets.select(F.col("image").alias("ArtifactName")).distinct()
+    found = reports.select(*names).join(wanted, "ArtifactName")
+    failed = wanted.join(reports.select("ArtifactName").distinct(), "ArtifactName", "left_anti").select(
+        "ArtifactName", F.lit(None).cast("string").alias("CreatedAt"), F.array().cast(reports.schema["Results"].dataType).alias("Results")
     )
+    return found.select(*names).unionByName(failed).withColumn("Results", F.coalesce("Results", F.array().cast(reports.schema["Results"].dataType)))
 
 
 def severity_filter(found: DataFrame, levels: str = "HIGH,CRITICAL") -> DataFrame:

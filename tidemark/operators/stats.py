@@ -101,14 +101,15 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str]
             F.lit(c).alias("column"),
             F.lit(df.schema[c].dataType.simpleString()).alias("type"),
             (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("number"),
-            F.col(c).cast("string").alias("text"),
+            F.col(c).isNull().alias("empty"),
+            *([F.col(c).cast("string").alias("text")] if sketches else []),
         )
         for c in cols
     ]
     long = df.select(*by, F.inline(F.array(*structs)))
     aggs = [
         F.count("*").alias("rows"),
-        F.count_if(F.col("text").isNull()).alias("nulls"),
+        F.count_if("empty").alias("nulls"),
         F.min("number").alias("min"),
         F.max("number").alias("max"),
         F.sum("number").alias("total"),

@@ -118,51 +118,94 @@ def changes(df: DataFrame, series: Sequence[str], span: float, ts: str = "ts", v
     return out.withColumn("changes", F.round("_out").cast("long")).drop("_out")
 
 
+def _last_tick(df: DataFrame, ts: str, tick: int, end: str | None) -> Column:
+    """Index of the last evaluation: at ``end``, or at the last sample (a scan of one column)."""
+    ceiling = micros(F.lit(end).cast("timestamp_ntz")) if end else df.agg(F.max(micros(F.col(ts)))).scalar()
+    return F.floor(ceiling / tick).cast("long")
+
+
 def eval_grid(df: DataFrame, step: float, lookback: float, ts: str = "ts", name: str = "at",
               start: str | None = None, end: str | None = None) -> DataFrame:
     """One row per sample and step-aligned evaluation time that can see it (``at - lookback <= ts <= at``).
 
     The fan-out per sample is at most lookback/step + 1, so no range join is needed; larger ratios are
-    refused. Without ``end`` evaluation stops at the last sample.
+    refused. Without ``end`` evaluation stops at the last sample. For latest values and counter growth
+    use :func:`instant_grid` and :func:`increase_grid`, which do not multiply the samples.
     """
     if lookback / step + 1 > MAX_FANOUT:
         raise ValueError(f"look-back of {lookback / step:.0f} steps is above {MAX_FANOUT}")
     tick, reach = int(step * 1e6), int(lookback * 1e6)
     us = micros(F.col(ts))
-    lo = (F.ceil(us / tick) * tick).cast("long")
-    hi = (F.floor((us + reach) / tick) * tick).cast("long")
-    ceiling = micros(F.lit(end).cast("timestamp_ntz")) if end else df.agg(F.max(micros(F.col(ts)))).scalar()
-    hi = F.least(hi, F.floor(ceiling / tick).cast("long") * tick)
+    lo = F.ceil(us / tick).cast("long")
+    hi = F.least(F.floor((us + reach) / tick).cast("long"), _last_tick(df, ts, tick, end))
     if start:
-        lo = F.greatest(lo, (F.ceil(micros(F.lit(start).cast("timestamp_ntz")) / tick) * tick).cast("long"))
-    spots = F.when(lo <= hi, F.sequence(lo, hi, F.lit(tick)))
-    return df.withColumn("_at", F.explode(spots)).withColumn(name, from_micros(F.col("_at"))).drop("_at")
+        lo = F.greatest(lo, F.ceil(micros(F.lit(start).cast("timestamp_ntz")) / tick).cast("long"))
+    spots = F.when(lo <= hi, F.sequence(lo, hi))
+    return df.withColumn("_at", F.explode(spots)).withColumn(name, from_micros(F.col("_at") * tick)).drop("_at")
 
 
 def instant_grid(df: DataFrame, series: Sequence[str], step: float, lookback: float = 300, ts: str = "ts",
-                 value: str = "value", **limits) -> DataFrame:
-    """:func:`instant` at every step: latest value per series and evaluation time."""
-    grid = eval_grid(df.select(*series, ts, value), step, lookback, ts, **limits)
-    return grid.groupBy(*series, "at").agg(F.max_by(value, ts).alias("value"))
+                 value: str = "value", end: str | None = None) -> DataFrame:
+    """:func:`instant` at every step: latest value per series and evaluation time.
+
+    Samples first combine to one per series and step (map-side). Each of those then answers the
+    evaluations up to the next one, so the rows made are exactly the rows returned. The window is over
+    steps, not samples: a series in it is no longer than the number of evaluations.
+    """
+    tick, reach = int(step * 1e6), int(lookback * 1e6)
+    us = micros(F.col(ts))
+    newest = (
+        df.select(*series, us.alias("_us"), F.col(value).alias("_v"))
+        .groupBy(*series, F.ceil(F.col("_us") / tick).cast("long").alias("_tick"))
+        .agg(F.max_by("_v", "_us").alias("value"), F.max("_us").alias("_us"))
+    )
+    following = F.lead("_tick").over(Window.partitionBy(*series).orderBy("_tick"))
+    until = F.least(F.floor((F.col("_us") + reach) / tick).cast("long"), F.col("_next") - 1, _last_tick(df, ts, tick, end))
+    spots = F.when(F.col("_tick") <= until, F.sequence("_tick", until))
+    shown = newest.withColumn("_next", following).select(*series, F.explode(spots).alias("_at"), "value")
+    return shown.select(*series, from_micros(F.col("_at") * tick).alias("at"), "value")
 
 
 def increase_grid(df: DataFrame, series: Sequence[str], step: float, span: float, ts: str = "ts", value: str = "value",
-                  kind: str = "increase", block: float | None = None, **limits) -> DataFrame:
+                  kind: str = "increase", block: float | None = None, end: str | None = None) -> DataFrame:
     """Growth (or ``changes``) over the last ``span`` seconds at every evaluation step.
 
-    Steps between neighbouring samples are found once per block; each evaluation time then sums the
-    steps it can see, less the one leading into its first sample. Sums combine map-side.
+    Steps between neighbouring samples are found inside time blocks and then combine to one row per
+    series and half-step (samples exactly on an evaluation time, and samples between two of them). The
+    rest works on these: running sums, the evaluations each row answers, and a backward pass finding
+    the first half-step inside each range. No sample is multiplied, and a series is no longer than
+    twice the number of evaluations.
     """
-    reach = int(span * 1e6)
+    tick, reach = int(step * 1e6), int(span * 1e6)
+    if reach % tick:
+        raise ValueError("the range must be a multiple of the step")
+    back_ticks = reach // tick
     width = int((block or span) * 1e6)
     spread = with_halo(df.select(*series, ts, value).withColumn("_us", micros(F.col(ts))), "_us", reach, max(width, reach))
     by_time = Window.partitionBy(*series, "_blk").orderBy("_us")
     steps = spread.withColumn("_step", _growth(kind, value, F.lag(value).over(by_time))).where("_own")
-    grid = eval_grid(steps.select(*series, ts, "_step"), step, span, ts, **limits)
-    seen = grid.groupBy(*series, "at").agg(
-        (F.sum("_step") - F.min_by("_step", ts)).alias("value"), F.count("*").alias("_n")
+    half = F.floor(F.col("_us") / tick) * 2 + F.when(F.col("_us") % tick > 0, 1).otherwise(0)
+    slots = steps.groupBy(*series, half.cast("long").alias("_slot")).agg(
+        F.sum("_step").alias("_all"), F.min_by("_step", "_us").alias("_lead"), F.count("*").alias("_n")
+    )
+    order = Window.partitionBy(*series).orderBy("_slot")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    summed = slots.withColumns(
+        {"_sum": F.sum("_all").over(upto), "_cnt": F.sum("_n").over(upto), "_next": F.lead("_slot").over(order)}
+    )
+    first = F.ceil(F.col("_slot") / 2).cast("long")
+    until = F.least(F.floor(F.col("_slot") / 2).cast("long") + back_ticks, F.ceil(F.col("_next") / 2).cast("long") - 1)
+    answers = F.when(first <= until, F.sequence(first, until)).otherwise(F.array().cast("array<bigint>"))
+    fields = "struct<_key:bigint,_ask:int,_at:bigint,_base:double,_rank:bigint>"
+    own = F.struct(F.col("_slot"), F.lit(0), F.lit(None), F.col("_sum") - F.col("_all") + F.col("_lead"), F.col("_cnt") - F.col("_n") + 1)
+    asks = F.transform(answers, lambda g: F.struct((g - back_ticks) * 2, F.lit(1), g, F.lit(None), F.lit(None)).cast(fields))
+    merged = summed.select(*series, "_sum", "_cnt", F.inline(F.concat(F.array(own.cast(fields)), asks)))
+    back = Window.partitionBy(*series).orderBy(F.col("_key").desc(), "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    seen = merged.withColumns({"_base": F.last("_base", True).over(back), "_rank": F.last("_rank", True).over(back)})
+    asked = seen.where((F.col("_ask") == 1) & (F.col("_cnt") > F.col("_rank")) & (F.col("_at") <= _last_tick(df, ts, tick, end)))
+    return asked.select(
+        *series, from_micros(F.col("_at") * tick).alias("at"), (F.col("_sum") - F.col("_base")).alias("value")
     )
-    return seen.where("_n >= 2").drop("_n")
 
 
 def rate_grid(df: DataFrame, series: Sequence[str], step: float, span: float, **more) -> DataFrame:
@@ -248,6 +291,17 @@ def count_over_time(df: DataFrame, step: str, by: Sequence[str] = (), ts: str =
 
 
 def sliding_rate(df: DataFrame, span: float, step: float, by: Sequence[str] = (), ts: str = "ts") -> DataFrame:
-    """Rows per second over the last ``span`` seconds, every ``step`` seconds."""
-    win = F.window(ts, f"{span} seconds", f"{step} seconds")
-    return df.groupBy(win["end"].alias("at"), *by).agg((F.count("*") / F.lit(float(span))).alias("rate"))
+    """Rows per second over the last ``span`` seconds, every ``step`` seconds.
+
+    On a table the rows are counted per step first and only the counts are spread over the windows
+    that hold them; a stream uses sliding windows directly.
+    """
+    if df.isStreaming or span % step:
+        win = F.window(ts, f"{span} seconds", f"{step} seconds")
+        return df.groupBy(win["end"].alias("at"), *by).agg((F.count("*") / F.lit(float(span))).alias("rate"))
+    tick = int(step * 1e6)
+    counts = df.groupBy(*by, F.floor(micros(F.col(ts)) / tick).cast("long").alias("_tick")).agg(F.count("*").alias("_n"))
+    ends = F.explode(F.sequence(F.col("_tick") + 1, F.col("_tick") + int(span // step)))
+    spread = counts.select(*by, ends.alias("_end"), "_n")
+    out = spread.groupBy(*by, "_end").agg((F.sum("_n") / F.lit(float(span))).alias("rate"))
+    return out.select(from_micros(F.col("_end") * tick).alias("at"), *by, "rate")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -23,7 +24,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the reliable checkpoint folder and go on from there."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write the rows once to the shared folder and go on from the written table.
+
+    Unlike a checkpoint this computes the plan a single time; like one it survives lost executors.
+    """
+    return cut_counted(df, name)[0]
+
+
+def cut_counted(df: DataFrame, name: str = "cut") -> tuple[DataFrame, int]:
+    """:func:`cut`, and the number of rows, counted while they are written."""
+    path = scratch_dir(df.sparkSession, name)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["n"])

@@ -54,11 +54,11 @@ def write_feature_parquet(df: DataFrame, path: str, entity: str, ts: str, featur
 
 
 def partition_by_period(df: DataFrame, path: str, ts: str = "ts", period: str = "day") -> str:
-    """One directory per period. Rows are first gathered by period and a salt, so a heavy period is
-    written by several tasks and a light one does not leave a file per task."""
+    """One directory per period. The rebalance hint gathers rows by period and lets adaptive execution
+    split a heavy period over tasks and merge light ones, by measured size."""
     part = F.date_trunc(period, ts).cast("date" if period in ("day", "week", "month", "year") else "timestamp_ntz")
     dated = df.withColumn("dt", part)
-    return write_table(dated.repartition("dt", F.pmod(F.xxhash64(*df.columns), F.lit(8))), path, partition_by=["dt"])
+    return write_table(dated.hint("rebalance", F.col("dt")), path, partition_by=["dt"])
 
 
 def read_period(spark: SparkSession, path: str, ts: str, start: str, end: str, fmt: str = "parquet") -> DataFrame:

@@ -124,6 +124,7 @@ def counter_delta_stream(df: DataFrame, out: str, state: str, checkpoint: str, s
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = _state_before(spark, state, batch_id)
+        batch.persist()
         rows = batch.select(*keep, F.lit(True).alias("_new"))
         if before is not None:
             rows = rows.unionByName(before.select(*keep, F.lit(False).alias("_new")))
@@ -132,6 +133,7 @@ def counter_delta_stream(df: DataFrame, out: str, state: str, checkpoint: str, s
         paired.where("_new").select(*keep, step.alias("delta")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         last = rows.groupBy(*series).agg(F.max(ts).alias(ts), F.max_by(value, ts).alias(value))
         last.write.mode("overwrite").parquet(f"{state}/version={batch_id}")
+        batch.unpersist()
 
     return each_batch(df, work, checkpoint)
 
