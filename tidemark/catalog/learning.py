@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query
@@ -57,9 +58,17 @@ def _(spark, d):
     return ml.one_hot(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority"])
 
 
-@query("k2_one_hot_vector")
+@query(
+    "k2_one_hot_vector",
+    """WITH c AS (SELECT o_orderpriority, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) - 1 AS slot FROM orders GROUP BY 1)
+       SELECT o_orderkey, slot, 1.0::DOUBLE AS total FROM orders JOIN c ON orders.o_orderpriority = c.o_orderpriority""",
+)
 def _(spark, d):
-    return ml.one_hot_vector(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority"])
+    out = ml.one_hot_vector(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority"])
+    flags = vector_to_array("o_orderpriority_vector")
+    return out.select(
+        "o_orderkey", (F.array_position(flags, 1.0) - 1).alias("slot"), F.aggregate(flags, F.lit(0.0), lambda a, x: a + x).alias("total")
+    )
 
 
 SPLIT = "('0x' || substr(md5('42:' || o_orderkey::VARCHAR), 1, 8))::BIGINT"
@@ -132,6 +141,25 @@ def _(spark, d):
     return train(v1(spark, d), Params(numeric=["feature_1"], categorical=["category"], trees=20, fit_on="train")).stages
 
 
+@query(
+    "k16_training_run_counts",
+    f"""WITH {CLEAN_SQL}, n AS (SELECT count(*) AS kept, count(*) FILTER (WHERE ('0x' || substr(md5('42:' || row_key::VARCHAR), 1, 8))::BIGINT % 10000 < 2000) AS test FROM c)
+       SELECT unnest(['prepare', 'features', 'split', 'train']) AS stage, unnest([kept, kept, test, kept - test]) AS n_rows FROM n""",
+)
+def _(spark, d):
+    stages = train(v1(spark, d), Params(numeric=["feature_1"], categorical=["category"], trees=5, fit_on="train")).stages
+    return stages.where("n_rows IS NOT NULL").select("stage", "n_rows")
+
+
+@query(
+    "k17_baseline_support",
+    f"""WITH {CLEAN_SQL}, t AS (SELECT target, count(*) AS n FROM c WHERE ('0x' || substr(md5('42:' || row_key::VARCHAR), 1, 8))::BIGINT % 10000 < 2000 GROUP BY 1)
+       SELECT target::VARCHAR AS label, n AS support FROM t UNION ALL SELECT l, (SELECT sum(n)::BIGINT FROM t) FROM (VALUES ('macro avg'), ('weighted avg'), ('accuracy')) x(l)""",
+)
+def _(spark, d):
+    return ml.baseline(v1(spark, d), "target", "row_key", trees=5).select("label", "support")
+
+
 @query("k17_baseline")
 def _(spark, d):
     return ml.baseline(v1(spark, d), "target", "row_key", trees=20)
@@ -144,6 +172,17 @@ def _(spark, d):
     return ml.hooked_score(model, test_part, before, ml.format_response).select("row_key", "response")
 
 
+@query(
+    "m2_scoring_hooks_form",
+    f"""WITH {CLEAN_SQL} SELECT count(*) AS n, count(*) AS well_formed FROM c WHERE ('0x' || substr(md5('42:' || row_key::VARCHAR), 1, 8))::BIGINT % 10000 < 2000""",
+)
+def _(spark, d):
+    model, test_part = small_forest(spark, d, 5)
+    out = ml.hooked_score(model, test_part, None, ml.format_response)
+    fits = F.col("response").rlike(r'^\{"prediction":[01],"label":"class-[01]"\}$')
+    return out.agg(F.count("*").alias("n"), F.count_if(fits).alias("well_formed"))
+
+
 @query("a15_save_load_model", f"WITH {CLEAN_SQL} SELECT count(*) AS n, 0::BIGINT AS changed FROM c")
 def _(spark, d):
     model, _ = small_forest(spark, d)

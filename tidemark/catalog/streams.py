@@ -63,6 +63,17 @@ def _(spark, d):
     return spark.read.parquet(out).select("row_key", "prediction", "model_name")
 
 
+@query("l1_score_stream_as_batch", f"WITH {CLEAN_SQL} SELECT count(*) AS n, 0::BIGINT AS differ FROM c")
+def _(spark, d):
+    model, _ = small_forest(spark, d, 5)
+    rows = v1(spark, d).select("row_key", *NAMES)
+    out = scratch_dir(spark, "scored")
+    R.append_to(J.score_stream(model, as_stream(spark, rows, "requests"), NAMES), out, out + "-checkpoint")
+    live = spark.read.parquet(out).select("row_key", F.col("prediction").alias("p1"))
+    batch = ml.score(model, rows.na.drop("any")).select("row_key", F.col("prediction").alias("p2"))
+    return live.join(batch, "row_key").agg(F.count("*").alias("n"), F.count_if(F.col("p1") != F.col("p2")).alias("differ"))
+
+
 @query(
     "l2_profile_stream",
     """SELECT date_trunc('day', ts) AS window_start, count(*) AS n, count(*) FILTER (WHERE value IS NULL) AS nulls, min(value) AS "min", max(value) AS "max", round(avg(value), 6) AS mean FROM events GROUP BY 1""",

@@ -164,6 +164,23 @@ def _(spark, d):
     return stats.profile_summary(p)
 
 
+@query(
+    "d5_profile_sketch_error",
+    """SELECT c AS "column", true AS cardinality_ok, m AS median_ok FROM (VALUES ('value', true), ('user_id', true), ('event_type', NULL)) t(c, m)""",
+)
+def _(spark, d):
+    e = table(spark, d, "events")
+    cols = ["value", "user_id", "event_type"]
+    rough = stats.profile_summary(stats.profile(e, cols)).select("column", "cardinality", "q50")
+    exact = stats.n_unique(e, cols).join(stats.describe(e, ["value", "user_id"]).select("column", F.col("q50").alias("median"), "std"), "column", "left")
+    both = rough.join(exact, "column")
+    return both.select(
+        "column",
+        (F.abs(F.col("cardinality") - F.col("n_unique")) <= 0.05 * F.col("n_unique")).alias("cardinality_ok"),
+        (F.abs(F.col("q50") - F.col("median")) <= 0.1 * F.col("std")).alias("median_ok"),
+    )
+
+
 @query(
     "d6_merge_profiles",
     PROFILE_SQL

@@ -36,6 +36,16 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def whole(us: Column, unit: int) -> Column:
+    """Floor of ``us / unit`` in whole-number arithmetic."""
+    return ((us - F.pmod(us, F.lit(unit))) / unit).cast("long")
+
+
+def whole_up(us: Column, unit: int) -> Column:
+    """Ceiling of ``us / unit`` in whole-number arithmetic."""
+    return ((us + F.pmod(-us, F.lit(unit))) / unit).cast("long")
+
+
 def from_micros(us: Column) -> Column:
     return F.timestamp_micros(us).cast("timestamp_ntz")
 

@@ -34,12 +34,11 @@ def fill_evaluations(hits: DataFrame, series: Sequence[str], step: float, at: st
     """Turn "rows only where the condition holds" into rows with ``active``: each hit, and the first
     evaluation after it where the series is not a hit any more."""
     tick = int(step * 1e6)
-    here = hits.select(*series, at, F.lit(True).alias("active"), "value")
-    after = hits.select(
-        *series, F.timestamp_micros(micros(F.col(at)) + tick).cast("timestamp_ntz").alias(at),
-        F.lit(False).alias("active"), F.lit(None).cast("double").alias("value"),
-    )
-    return here.unionByName(after).groupBy(*series, at).agg(F.max("active").alias("active"), F.max("value").alias("value"))
+    here = F.struct(F.col(at).alias("_t"), F.lit(True).alias("active"), F.col("value").alias("_v"))
+    later = F.timestamp_micros(micros(F.col(at)) + tick).cast("timestamp_ntz")
+    after = F.struct(later.alias("_t"), F.lit(False).alias("active"), F.lit(None).cast("double").alias("_v"))
+    both = hits.select(*series, F.inline(F.array(here, after))).withColumnRenamed("_t", at)
+    return both.groupBy(*series, at).agg(F.max("active").alias("active"), F.max("_v").alias("value"))
 
 
 def render_alert(df: DataFrame, alert: str, severity: str, summary: str, description: str, value: str = "value") -> DataFrame:

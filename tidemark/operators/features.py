@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import micros
+from tidemark.functions.scalars import micros, whole
 
 DAY = 86_400.0
 
@@ -52,7 +52,7 @@ def point_in_time(spine: DataFrame, features: DataFrame, entity: str, ts: str, f
     left = spine.withColumns({"_us": micros(F.col(ts)), "_side": F.lit(1)})
     right = features.select(F.col(entity), micros(F.col(feature_ts)).alias("_us"), F.lit(0).alias("_side"), *cols)
     right = right.where(F.col("_us").isNotNull()).withColumn("_f_us", F.col("_us"))
-    blocked = lambda df: df.withColumn("_blk", F.floor(F.col("_us") / width))
+    blocked = lambda df: df.withColumn("_blk", whole(F.col("_us"), width))
     left, right = blocked(left.drop(*[c for c in cols if c in spine.columns])), blocked(right)
 
     newest = right.groupBy(entity, "_blk").agg(*[F.max_by(c, "_us").alias(c) for c in cols], F.max("_us").alias("_f_us"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.scratch import cut, cut_counted
+from tidemark.plans.scratch import cut, scratch_dir
 
 PRODUCER = "tidemark"
 
@@ -72,24 +72,24 @@ def run_status(events: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame, upstream: bool = False, max_depth: int = 100) -> DataFrame:
     """Nodes reachable from the seeds with their smallest depth (seeds have depth 0).
 
-    Breadth-first: each round joins only the newest frontier with the edges, and the frontier is
-    written to reliable storage so the plan stays short and a lost executor costs one round. Row data
-    never comes to the driver; it only learns whether a round found anything.
+    Breadth-first: each round joins only the newest level with the edges and writes the next level as
+    one more ``depth=`` partition of a table in the shared folder. Every round has the same short
+    plan, and a lost executor costs one round. Row data never comes to the driver; it only learns
+    whether a round found anything.
     """
+    spark = edges.sparkSession
     src, dst = ("dst", "src") if upstream else ("src", "dst")
     steps = cut(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")))
-    frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    seen = frontier
+    root = scratch_dir(spark, "walk")
+    seeds.select("node").distinct().write.parquet(f"{root}/depth=0")
     for depth in range(1, max_depth + 1):
-        found = frontier.join(steps, "node").select(F.col("next").alias("node")).distinct()
-        fresh, n = cut_counted(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if n == 0:
-            break
-        seen = seen.unionByName(fresh)
-        frontier = fresh
-    else:
-        raise ValueError(f"graph is deeper than {max_depth}")
-    return seen
+        seen = spark.read.schema("node string, depth int").parquet(root)
+        found = seen.where(F.col("depth") == depth - 1).join(steps, "node").select(F.col("next").alias("node")).distinct()
+        level = f"{root}/depth={depth}"
+        found.join(seen.select("node"), "node", "left_anti").write.parquet(level)
+        if spark.read.schema("node string").parquet(level).isEmpty():
+            return spark.read.schema("node string, depth int").parquet(root)
+    raise ValueError(f"graph is deeper than {max_depth}")
 
 
 def lineage_upstream(edges: DataFrame, nodes: Sequence[str], max_depth: int = 100) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import from_micros, micros
+from tidemark.functions.scalars import from_micros, micros, whole, whole_up
 
 MAX_FANOUT = 10_000
 
@@ -35,7 +35,7 @@ def with_halo(df: DataFrame, us: str, reach: int, block: int) -> DataFrame:
     block when it is within ``reach`` of it. At most one repeat per row because ``block >= reach``."""
     if block < reach:
         raise ValueError("the block must be at least as long as the look-back")
-    home = F.floor(F.col(us) / block).cast("long")
+    home = whole(F.col(us), block)
     near_end = F.col(us) >= (home + 1) * block - reach
     spots = F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))
     spread = df.withColumn("_home", home).withColumn("_blk", F.explode(spots))
@@ -63,7 +63,7 @@ def previous_value(df: DataFrame, series: Sequence[str], ts: str = "ts", value:
     block before, from a table with one row per (series, block).
     """
     width = int(block * 1e6)
-    rows = df.withColumn("_us", micros(F.col(ts))).withColumn("_blk", F.floor(F.col("_us") / width))
+    rows = df.withColumn("_us", micros(F.col(ts))).withColumn("_blk", whole(F.col("_us"), width))
     newest = rows.groupBy(*series, "_blk").agg(F.max_by(value, "_us").alias("_last"))
     carried = newest.select(*series, "_blk", F.lag("_last").over(Window.partitionBy(*series).orderBy("_blk")).alias("_carried"))
     inside = Window.partitionBy(*series, "_blk").orderBy("_us")
@@ -121,7 +121,7 @@ def changes(df: DataFrame, series: Sequence[str], span: float, ts: str = "ts", v
 def _last_tick(df: DataFrame, ts: str, tick: int, end: str | None) -> Column:
     """Index of the last evaluation: at ``end``, or at the last sample (a scan of one column)."""
     ceiling = micros(F.lit(end).cast("timestamp_ntz")) if end else df.agg(F.max(micros(F.col(ts)))).scalar()
-    return F.floor(ceiling / tick).cast("long")
+    return whole(ceiling, tick)
 
 
 def eval_grid(df: DataFrame, step: float, lookback: float, ts: str = "ts", name: str = "at",
@@ -136,10 +136,10 @@ def eval_grid(df: DataFrame, step: float, lookback: float, ts: str = "ts", name:
         raise ValueError(f"look-back of {lookback / step:.0f} steps is above {MAX_FANOUT}")
     tick, reach = int(step * 1e6), int(lookback * 1e6)
     us = micros(F.col(ts))
-    lo = F.ceil(us / tick).cast("long")
-    hi = F.least(F.floor((us + reach) / tick).cast("long"), _last_tick(df, ts, tick, end))
+    lo = whole_up(us, tick)
+    hi = F.least(whole(us + reach, tick), _last_tick(df, ts, tick, end))
     if start:
-        lo = F.greatest(lo, F.ceil(micros(F.lit(start).cast("timestamp_ntz")) / tick).cast("long"))
+        lo = F.greatest(lo, whole_up(micros(F.lit(start).cast("timestamp_ntz")), tick))
     spots = F.when(lo <= hi, F.sequence(lo, hi))
     return df.withColumn("_at", F.explode(spots)).withColumn(name, from_micros(F.col("_at") * tick)).drop("_at")
 
@@ -156,11 +156,11 @@ def instant_grid(df: DataFrame, series: Sequence[str], step: float, lookback: fl
     us = micros(F.col(ts))
     newest = (
         df.select(*series, us.alias("_us"), F.col(value).alias("_v"))
-        .groupBy(*series, F.ceil(F.col("_us") / tick).cast("long").alias("_tick"))
+        .groupBy(*series, whole_up(F.col("_us"), tick).alias("_tick"))
         .agg(F.max_by("_v", "_us").alias("value"), F.max("_us").alias("_us"))
     )
     following = F.lead("_tick").over(Window.partitionBy(*series).orderBy("_tick"))
-    until = F.least(F.floor((F.col("_us") + reach) / tick).cast("long"), F.col("_next") - 1, _last_tick(df, ts, tick, end))
+    until = F.least(whole(F.col("_us") + reach, tick), F.col("_next") - 1, _last_tick(df, ts, tick, end))
     spots = F.when(F.col("_tick") <= until, F.sequence("_tick", until))
     shown = newest.withColumn("_next", following).select(*series, F.explode(spots).alias("_at"), "value")
     return shown.select(*series, from_micros(F.col("_at") * tick).alias("at"), "value")
@@ -184,8 +184,8 @@ def increase_grid(df: DataFrame, series: Sequence[str], step: float, span: float
     spread = with_halo(df.select(*series, ts, value).withColumn("_us", micros(F.col(ts))), "_us", reach, max(width, reach))
     by_time = Window.partitionBy(*series, "_blk").orderBy("_us")
     steps = spread.withColumn("_step", _growth(kind, value, F.lag(value).over(by_time))).where("_own")
-    half = F.floor(F.col("_us") / tick) * 2 + F.when(F.col("_us") % tick > 0, 1).otherwise(0)
-    slots = steps.groupBy(*series, half.cast("long").alias("_slot")).agg(
+    half = whole(F.col("_us"), tick) + whole_up(F.col("_us"), tick)  # even on an evaluation time, odd between
+    slots = steps.groupBy(*series, half.alias("_slot")).agg(
         F.sum("_step").alias("_all"), F.min_by("_step", "_us").alias("_lead"), F.count("*").alias("_n")
     )
     order = Window.partitionBy(*series).orderBy("_slot")
@@ -193,8 +193,8 @@ def increase_grid(df: DataFrame, series: Sequence[str], step: float, span: float
     summed = slots.withColumns(
         {"_sum": F.sum("_all").over(upto), "_cnt": F.sum("_n").over(upto), "_next": F.lead("_slot").over(order)}
     )
-    first = F.ceil(F.col("_slot") / 2).cast("long")
-    until = F.least(F.floor(F.col("_slot") / 2).cast("long") + back_ticks, F.ceil(F.col("_next") / 2).cast("long") - 1)
+    first = whole_up(F.col("_slot"), 2)
+    until = F.least(whole(F.col("_slot"), 2) + back_ticks, whole_up(F.col("_next"), 2) - 1)
     answers = F.when(first <= until, F.sequence(first, until)).otherwise(F.array().cast("array<bigint>"))
     fields = "struct<_key:bigint,_ask:int,_at:bigint,_base:double,_rank:bigint>"
     own = F.struct(F.col("_slot"), F.lit(0), F.lit(None), F.col("_sum") - F.col("_all") + F.col("_lead"), F.col("_cnt") - F.col("_n") + 1)
@@ -300,7 +300,7 @@ def sliding_rate(df: DataFrame, span: float, step: float, by: Sequence[str] = ()
         win = F.window(ts, f"{span} seconds", f"{step} seconds")
         return df.groupBy(win["end"].alias("at"), *by).agg((F.count("*") / F.lit(float(span))).alias("rate"))
     tick = int(step * 1e6)
-    counts = df.groupBy(*by, F.floor(micros(F.col(ts)) / tick).cast("long").alias("_tick")).agg(F.count("*").alias("_n"))
+    counts = df.groupBy(*by, whole(micros(F.col(ts)), tick).alias("_tick")).agg(F.count("*").alias("_n"))
     ends = F.explode(F.sequence(F.col("_tick") + 1, F.col("_tick") + int(span // step)))
     spread = counts.select(*by, ends.alias("_end"), "_n")
     out = spread.groupBy(*by, "_end").agg((F.sum("_n") / F.lit(float(span))).alias("rate"))

@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -29,12 +28,6 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
     Unlike a checkpoint this computes the plan a single time; like one it survives lost executors.
     """
-    return cut_counted(df, name)[0]
-
-
-def cut_counted(df: DataFrame, name: str = "cut") -> tuple[DataFrame, int]:
-    """:func:`cut`, and the number of rows, counted while they are written."""
     path = scratch_dir(df.sparkSession, name)
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["n"])
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
