@@ -99,7 +99,7 @@ def replace(df: DataFrame, target: str, source: Sequence[str] = (), regex: str =
 def labelmap(df: DataFrame, regex: str, replacement: str = "$1") -> DataFrame:
     """Copy every label whose name matches to the name built from its capture groups.
 
-    Where two sources give one target, the last in label order wins.
+    Where two sources give one target, the last by name wins.
     """
     pattern = anchored(regex)
 
@@ -112,7 +112,7 @@ def labelmap(df: DataFrame, regex: str, replacement: str = "$1") -> DataFrame:
 
     def step(m: Column) -> Column:
         hits = F.map_filter(m, lambda k, _: k.rlike(pattern))
-        copied = F.map_from_entries(bind(F.transform(F.map_entries(hits), renamed), last_of_name))
+        copied = F.map_from_entries(bind(F.transform(F.array_sort(F.map_entries(hits)), renamed), last_of_name))
         return bind(copied, lambda c: F.map_concat(F.map_filter(m, lambda k, _: ~F.map_contains_key(c, k)), c))
 
     return df.withColumn("labels", bind(F.col("labels"), step))

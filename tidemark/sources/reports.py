@@ -11,27 +11,30 @@ from tidemark.schemas import REPORT
 _CORRUPT = "_corrupt"
 
 
+_SCHEMA = T.StructType([*REPORT.fields, T.StructField(_CORRUPT, T.StringType())])
+
+
+def _parse(texts: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Good documents and broken ones; blank ones are neither."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    parsed = texts.where(F.trim("value") != "").select("value", *more, F.from_json("value", _SCHEMA, options).alias("_r"))
+    broken = F.col(f"_r.{_CORRUPT}").isNotNull()
+    good = parsed.where(~broken).select(*[f"_r.{n}" for n in REPORT.names], *more)
+    return good, parsed.where(broken).select(*more, F.col("value").alias("text"))
+
+
 def read_reports(spark: SparkSession, path: str, settle_seconds: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """Good reports and quarantined ones (file name and broken text).
+    """Good reports and quarantined ones (file name and broken text), one document per ``*.json`` file.
 
     Empty files give no row. A file modified less than ``settle_seconds`` ago is still being written
     and is left for the next cycle.
     """
-    schema = T.StructType([*REPORT.fields, T.StructField(_CORRUPT, T.StringType())])
     raw = (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("pathGlobFilter", "*.json")
-        .json(path)
-        .select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("_size"),
+        spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("_size"),
                 F.col("_metadata.file_modification_time").alias("_modified"))
     )
-    raw = skip_unstable(raw, settle_seconds)
-    broken = F.col(_CORRUPT).isNotNull()
-    good = raw.where(~broken).select(*REPORT.names, "file")
-    return good, raw.where(broken).select("file", F.col(_CORRUPT).alias("text"))
+    return _parse(skip_unstable(raw, settle_seconds), "file")
 
 
 def skip_unstable(raw: DataFrame, settle_seconds: float) -> DataFrame:
@@ -51,9 +54,4 @@ def write_reports(reports: DataFrame, path: str) -> str:
 
 def read_report_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Reports packed one per line into splittable files: good ones and broken lines."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    schema = T.StructType([*REPORT.fields, T.StructField(_CORRUPT, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    parsed = lines.select("value", F.from_json("value", schema, options).alias("r"))
-    good = parsed.where(F.col(f"r.{_CORRUPT}").isNull()).select(*[f"r.{n}" for n in REPORT.names])
-    return good, parsed.where(F.col(f"r.{_CORRUPT}").isNotNull()).select(F.col("value").alias("text"))
+    return _parse(spark.read.text(path))
