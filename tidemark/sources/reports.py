@@ -30,7 +30,7 @@ def read_reports(spark: SparkSession, path: str, settle_seconds: float = 0.0) ->
     and is left for the next cycle.
     """
     raw = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+        spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("_size"),
                 F.col("_metadata.file_modification_time").alias("_modified"))
     )
