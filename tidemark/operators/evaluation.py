@@ -98,7 +98,7 @@ def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     Scores collapse to (score, positives, negatives) before the distributed running sum.
     """
     base = df.select(F.col(y).alias("_y"), F.col(score).cast("double").alias("_s"))
-    blocked = add_blocks(base, block_splits(base, ["_s"]))
+    blocked = add_blocks(base, block_splits(base, ["_s"])).where(F.col("_blk__s").isNotNull())
     counts = blocked.groupBy("_blk__s", "_s").agg(
         F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")
     )
