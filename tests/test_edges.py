@@ -236,3 +236,22 @@ def test_missing_paths_block_publication(spark):
 def test_run_rows_round_trip(spark):
     run = registry.run_row(spark, "r1", "base", {"trees": 100}, {"accuracy": 0.4}, ["x"])
     assert registry.compare_runs(run, ["accuracy", "f1"]).first().asDict() == {"run_id": "r1", "accuracy": 0.4, "f1": None}
+
+
+def test_describe_treats_nan_as_missing_and_keeps_infinity(spark):
+    from tidemark.operators import stats
+
+    df = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (1.0,), (2.0,)], "x double")
+    row = stats.describe(df, ["x"]).first()
+    assert (row["count"], row["min"], row["q50"], row["max"]) == (3, 1.0, 2.0, math.inf)
+    rough = stats.describe(df, ["x"], exact=False).first()
+    assert rough["q50"] == 2.0
+
+
+def test_order_statistics_of_empty_and_missing_columns(spark):
+    empty = spark.createDataFrame([], "x double, y long")
+    assert drift.drift_report(empty, empty).collect() == []
+    some = spark.createDataFrame([(None, 3), (None, None), (None, 1)], "x double, y long")
+    assert [(r["row_id"], r["y"]) for r in clean.add_row_id(some, "y").collect()] == [(0, None), (1, 1), (2, 3)]
+    scored = spark.createDataFrame([(1, None), (0, 0.5), (1, 0.5), (1, 0.9)], "y int, s double")
+    assert evaluation.roc_auc(scored, "y", "s").first()[0] == pytest.approx(0.75)

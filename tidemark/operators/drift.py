@@ -160,6 +160,7 @@ def drift_share(rows: DataFrame, by: Sequence[str] = (), threshold: float = 0.1)
 
 def drift_status(summaries: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Status and explanation per summary row; ``has_report`` false means no report was written."""
+    # fixed values: status words and texts
     share = F.coalesce(F.col("drift_share"), F.lit(0.0))
     drifted = share > threshold
     status = F.when(~F.col("has_report"), "no_report").when(drifted, "drift_detected").otherwise("healthy")

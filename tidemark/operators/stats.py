@@ -24,26 +24,27 @@ def _long(df: DataFrame, per_column: dict[str, dict[str, object]]) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """count, mean, sample std, min, quartiles, max per numeric column.
+    """count, mean, sample std, min, quartiles, max per numeric column; NaN counts as missing.
 
     Moments come from one pass. ``exact`` quartiles use the distributed order of
     ``plans.ordered``; otherwise a mergeable sketch with 1/10000 rank error is used.
     """
     cols = list(cols or numeric_columns(df))
+    filled = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
     moments = {
         c: {
-            "count": F.count(c),
-            "mean": F.avg(c),
-            "std": F.stddev_samp(c),
-            "min": F.min(F.col(c).cast("double")),
-            "max": F.max(F.col(c).cast("double")),
+            "count": F.count(x),
+            "mean": F.avg(x),
+            "std": F.stddev_samp(x),
+            "min": F.min(x),
+            "max": F.max(x),
         }
-        for c in cols
+        for c, x in filled.items()
     }
     if not exact:
         for c in cols:
             for label, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
-                moments[c][label] = F.percentile_approx(F.col(c).cast("double"), p, 10000)
+                moments[c][label] = F.percentile_approx(filled[c], p, 10000)
         return _long(df, moments)
     base = _long(df, moments)
     quartiles = (

@@ -24,18 +24,26 @@ def block_count(df: DataFrame) -> int:
 
 
 def block_splits(df: DataFrame, cols: Sequence[str], blocks: int | None = None) -> dict[str, list[float]]:
-    """Approximate quantiles per column, as strictly increasing cut points with infinite ends."""
+    """Approximate quantiles per column, as strictly increasing cut points with infinite ends.
+
+    One pass over the named columns builds mergeable sketches, first per group of input partitions and
+    then of those, so no task receives a sketch from every input task.
+    """
     blocks = blocks or block_count(df)
-    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    probs = [i / blocks for i in range(1, blocks)]
-    if not probs:
-        return {c: [float("-inf"), float("inf")] for c in cols}
-    found = numeric.approxQuantile(list(cols), probs, 1.0 / (4 * blocks))
     infinite = (float("-inf"), float("inf"))
-    return {
-        c: [infinite[0], *sorted({q for q in qs if q not in infinite and q == q}), infinite[1]]
-        for c, qs in zip(cols, found)
-    }
+    if blocks < 2:
+        return {c: list(infinite) for c in cols}
+    size = F.lit(min(65_535, max(200, 4 * blocks)))
+    probs = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    numbers = [F.col(c).cast("double") for c in cols]
+    finite = df.select(*[F.when(~n.isin(*infinite) & ~F.isnan(n), n).alias(f"_c{i}") for i, n in enumerate(numbers)])
+    names = finite.columns
+    parts = finite.groupBy((F.spark_partition_id() % 512).alias("_p")).agg(
+        *[F.kll_sketch_agg_double(n, size).alias(n) for n in names], *[F.count(n).alias(f"_n{n}") for n in names]
+    )
+    whole = parts.agg(*[F.kll_merge_agg_double(n, size).alias(n) for n in names], *[F.sum(f"_n{n}").alias(f"_n{n}") for n in names])
+    found = whole.select(*[F.when(F.col(f"_n{n}") > 0, F.kll_sketch_get_quantile_double(n, probs)).alias(n) for n in names]).first()
+    return {c: [infinite[0], *sorted(set(found[n] or ())), infinite[1]] for c, n in zip(cols, names)}
 
 
 def add_blocks(df: DataFrame, splits: dict[str, list[float]], prefix: str = "_blk_") -> DataFrame:
@@ -95,7 +103,7 @@ def row_ranks(df: DataFrame, order: Sequence[Column | str], block: str, name: st
 
 
 def stack_numeric(df: DataFrame, cols: Sequence[str], splits: dict[str, list[float]], keep: Sequence[str] = ()) -> DataFrame:
-    """Long form ``(keep..., column, value, block)`` of numeric columns; nulls are left out."""
+    """Long form ``(keep..., column, value, block)`` of numeric columns; nulls and NaN are left out."""
     wide = add_blocks(df.select(*keep, *cols), splits)
     rows = F.array(
         *[
@@ -107,7 +115,7 @@ def stack_numeric(df: DataFrame, cols: Sequence[str], splits: dict[str, list[flo
     )
     # the block test says nothing new, but it keeps both uses of a running sum the same plan, so that
     # their common shuffle runs once
-    return wide.select(*keep, F.inline(rows)).where(F.col("value").isNotNull() & F.col("block").isNotNull())
+    return wide.select(*keep, F.inline(rows)).where(F.col("value").isNotNull() & ~F.isnan("value") & F.col("block").isNotNull())
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -135,5 +143,5 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     return (
         hits.withColumn("_frac", exact - F.floor(exact))
         .groupBy("column", "prob")
-        .agg((low + (high - low) * F.max("_frac")).alias("quantile"))
+        .agg(F.when(low == high, low).otherwise(low + (high - low) * F.max("_frac")).alias("quantile"))
     )
