@@ -157,12 +157,20 @@ def test_newest_equals_plain_top_rows(spark):
         assert logs.newest(df, n).collect() == plain
 
 
-@pytest.mark.parametrize("x,k,want", [(3.841458820694124, 1, 0.05), (9.487729036781154, 4, 0.05), (11.070497693516351, 5, 0.05), (0.0, 3, 1.0), (124.34211340400407, 100, 0.05), (200.0, 3, 0.0)])
+@pytest.mark.parametrize("x,k,want", [(3.841458820694124, 1, 0.05), (9.487729036781154, 4, 0.05), (11.070497693516351, 5, 0.05), (0.0, 3, 1.0), (124.34211340400407, 100, 0.05), (200.0, 3, 0.0), (2.705543454095404, 1, 0.1), (31.410432844230918, 20, 0.05)])
 def test_chi2_tail(spark, x, k, want):
     df = spark.createDataFrame([(x, k)], "x double, k long")
     assert df.select(chi2_pvalue(F.col("x"), F.col("k"))).first()[0] == pytest.approx(want, abs=1e-9)
 
 
+def test_chi2_tail_of_many_degrees(spark):
+    df = spark.createDataFrame([(5165.6151, 5000), (2100.0, 2000), (2100.0, 2001), (1e9, 10**9)], "x double, k long")
+    got = [r[0] for r in df.select(chi2_pvalue(F.col("x"), F.col("k"))).collect()]
+    assert got[0] == pytest.approx(0.05, abs=1e-5)
+    assert got[1] == pytest.approx(got[2], abs=2e-3)  # both sides of the switch agree
+    assert got[3] == pytest.approx(0.5, abs=1e-4)
+
+
 def test_ks_tail(spark):
     df = spark.createDataFrame([(0.2, 100, 100), (0.0, 10, 10), (1.0, 50, 50)], "d double, n long, m long")
     got = [r[0] for r in df.select(ks_pvalue(F.col("d"), F.col("n"), F.col("m"))).collect()]
@@ -201,3 +209,32 @@ def test_newest_state_is_not_lost_on_replay(spark, tmp_path):
         spark.createDataFrame([(v,)], "x int").write.parquet(f"{tmp_path}/version={v}")
     assert _state_before(spark, str(tmp_path), 2).first()["x"] == 1
     assert _state_before(spark, str(tmp_path), 0).count() == 0
+
+
+def test_retraining_follows_the_drift_verdict(spark, tmp_path):
+    from tidemark.plans.retraining import retrain_if_drifted, scan_panels
+    from tidemark.plans.training import Params
+
+    source = views.v1(spark, SF)
+    same = source.select("feature_2")
+    assert retrain_if_drifted(same, same, source) is None
+    moved = source.select((F.col("feature_2") + 5000).alias("feature_2"))
+    result = retrain_if_drifted(same, moved, source, Params(trees=2, numeric=["feature_1"], categorical=["category"]))
+    stages = {r["stage"]: r for r in result.stages.collect()}
+    assert stages["train"]["n_rows"] + stages["split"]["n_rows"] == stages["prepare"]["n_rows"]
+    assert 0 <= stages["evaluate"]["value"] <= 1
+    events = spark.read.parquet(f"{result.folder}/lineage").collect()
+    assert sorted(r["eventType"] for r in events) == ["COMPLETE", "START"]
+    assert events[0]["run"]["runId"] == events[1]["run"]["runId"]
+    panels = scan_panels(views.v6reports(spark, SF))
+    assert panels["counts"].agg(F.sum("n")).first()[0] == panels["images"].first()["images_scanned"]
+
+
+def test_deep_graph_is_walked_to_the_end_or_refused(spark):
+    from tidemark.operators.lineage import lineage_downstream
+
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(6)], "src string, dst string")
+    assert lineage_downstream(chain, ["n0"]).count() == 6
+    assert lineage_downstream(chain, ["n0"], max_depth=6).count() == 6
+    with pytest.raises(ValueError):
+        lineage_downstream(chain, ["n0"], max_depth=3)

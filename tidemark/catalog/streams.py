@@ -8,6 +8,7 @@ from tidemark.catalog.governance import LATEST_SQL
 from tidemark.catalog.learning import CLEAN_SQL, NAMES, small_forest
 from tidemark.catalog.metrics import GROWTH, STATES_SQL, hourly
 from tidemark.catalog.registry import query
+from tidemark.catalog.tabular import DRIFT_BINS, WINDOWED_DRIFT_SQL
 from tidemark.catalog.views import table, v1, v3, v4c, v6reports
 from tidemark.operators import ml, reports
 from tidemark.plans.scratch import scratch_dir
@@ -92,6 +93,15 @@ def _(spark, d):
     return complete(spark, J.request_stats_stream(events_stream(spark, d), F.col("event_type") == "error", "value"))
 
 
+@query("l4_rolling_drift_stream", WINDOWED_DRIFT_SQL)
+def _(spark, d):
+    first_day = F.col("ts") < F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
+    current = events_stream(spark, d).where(~first_day)
+    out = scratch_dir(spark, "rolling")
+    J.rolling_drift_stream(current, table(spark, d, "events").where(first_day), out, out + "-checkpoint", "ts", "1 day", "value", DRIFT_BINS)
+    return ntz(R.read_latest(spark, out), "window_start").withColumn("distance", F.round("distance", 6))
+
+
 def with_arrival(df):
     return df.withColumn("arrived", F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 10 * 20).cast("int")))
 
@@ -99,9 +109,14 @@ def with_arrival(df):
 @query("l5_reject_old", "SELECT event_id, event_id % 10 = 9 AS rejected FROM events")
 def _(spark, d):
     out = scratch_dir(spark, "aged")
-    J.reject_old_to(with_arrival(events_stream(spark, d)), "ts", "arrived", out + "/good", out + "/old", out + "/checkpoint")
-    good, old = spark.read.parquet(out + "/good"), spark.read.parquet(out + "/old")
-    return good.select("event_id", F.lit(False).alias("rejected")).unionAll(old.select("event_id", F.lit(True).alias("rejected")))
+    J.reject_old_to(with_arrival(events_stream(spark, d)), "ts", "arrived", out, out + "-checkpoint")
+    return spark.read.parquet(out).select("event_id", F.col("rejected").cast("boolean").alias("rejected"))
+
+
+@query("l5_reject_old_sides", "SELECT count(*) FILTER (WHERE event_id % 10 < 9) AS kept, count(*) FILTER (WHERE event_id % 10 = 9) AS old FROM events")
+def _(spark, d):
+    good, old = J.reject_old(with_arrival(table(spark, d, "events")), "ts", "arrived")
+    return good.agg(F.count("*").alias("kept")).withColumn("old", old.agg(F.count("*")).scalar())
 
 
 @query("l6_tumbling_counts", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -460,16 +460,18 @@ def _(spark, d):
 DRIFT_BINS = [1, 5, 10, 20, 50, 100]
 
 
-@query(
-    "l4_windowed_drift",
+WINDOWED_DRIFT_SQL = (
     "WITH bins AS (SELECT unnest([-1, 1, 5, 10, 20, 50, 100]) AS b, unnest([1, 5, 10, 20, 50, 100, 1e18]) AS upper_end),"
     """ base AS (SELECT value FROM events WHERE ts < timestamp '2024-01-02 00:00:00'),
        cur AS (SELECT date_trunc('day', ts) AS window_start, value FROM events WHERE ts >= timestamp '2024-01-02 00:00:00'),
        fb AS (SELECT b, (SELECT count(*) FROM base WHERE value < upper_end) / (SELECT count(*) FROM base) AS f FROM bins),
        fc AS (SELECT window_start, b, count(*) FILTER (WHERE value < upper_end) / count(*) AS f, count(*) AS n FROM cur, bins GROUP BY 1, 2)
        SELECT window_start, max(n) AS n, round(max(abs(fc.f - fb.f)), 6) AS distance, max(abs(fc.f - fb.f)) > 0.1 AS drifted
-       FROM fc JOIN fb ON fc.b = fb.b GROUP BY 1""",
+       FROM fc JOIN fb ON fc.b = fb.b GROUP BY 1"""
 )
+
+
+@query("l4_windowed_drift", WINDOWED_DRIFT_SQL)
 def _(spark, d):
     e = table(spark, d, "events")
     first_day = F.col("ts") < F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")

@@ -21,44 +21,51 @@ def ks_pvalue(statistic: Column, n: Column, m: Column, terms: int = 100) -> Colu
     return F.when(lam2 < 1e-3, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * series)))
 
 
-def chi2_pvalue(statistic: Column, dof: Column, terms: int = 400) -> Column:
-    """Upper tail of the chi-squared distribution for whole degrees of freedom.
-
-    With y = x/2 the tail is a finite sum of Poisson-like terms. Even degrees start the sum from
-    exp(-y), odd ones from the complementary error function of sqrt(y), itself a power series.
-    """
-    y = statistic / 2.0
-    odd = dof % 2 == 1
+def erf(x: Column, terms: int = 400) -> Column:
+    """Error function of a non-negative column: a power series with positive terms, 1 beyond |x| = 6."""
+    y = x * x
 
-    def erf_term(acc: Column, k: Column) -> Column:
+    def step(acc: Column, k: Column) -> Column:
         nxt = acc["term"] * (2.0 * y) / (2.0 * k + 1.0)
         return F.struct(nxt.alias("term"), (acc["total"] + nxt).alias("total"))
 
-    first = F.lit(2.0 / math.sqrt(math.pi)) * F.sqrt(y) * F.exp(-y)
-    erf = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms)),
-        F.struct(first.alias("term"), first.alias("total")),
-        erf_term,
-        lambda acc: acc["total"],
-    )
-    erfc = F.when(y > 40, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1.0 - erf))
+    first = F.lit(2.0 / math.sqrt(math.pi)) * x * F.exp(-y)
+    start = F.struct(first.alias("term"), first.alias("total"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda acc: acc["total"])
+    return F.when(x > 6, F.lit(1.0)).otherwise(F.least(F.lit(1.0), series))
+
+
+MANY = 2000  # degrees of freedom above which the normal approximation is used
 
+
+def chi2_pvalue(statistic: Column, dof: Column) -> Column:
+    """Upper tail of the chi-squared distribution for whole degrees of freedom.
+
+    With y = x/2 the tail is a finite sum of Poisson-like terms. Even degrees start the sum from
+    exp(-y), odd ones from the complementary error function of sqrt(y). Beyond ``MANY`` degrees the
+    cube root of x/dof is normal to more digits than a test needs, and the sum would only get longer.
+    """
+    x, k = statistic.cast("double"), dof.cast("double")
+    y = x / 2.0
+    odd = dof % 2 == 1
     start = F.when(odd, F.log(F.lit(2.0 / math.sqrt(math.pi))) + F.log(y) / 2.0).otherwise(F.lit(0.0)) - y
     shift = F.when(odd, F.lit(0.5)).otherwise(F.lit(0.0))
-    count = F.when(odd, (dof - 1) / 2).otherwise(dof / 2).cast("int")
+    count = F.least(F.when(odd, (k - 1) / 2).otherwise(k / 2), F.lit(MANY / 2)).cast("int")
 
-    def tail_term(acc: Column, k: Column) -> Column:
-        nxt = acc["log_term"] + F.log(y) - F.log(k + shift)
+    def step(acc: Column, i: Column) -> Column:
+        nxt = acc["log_term"] + F.log(y) - F.log(i + shift)
         return F.struct(nxt.alias("log_term"), (acc["total"] + F.exp(nxt)).alias("total"))
 
-    total = F.when(
-        count >= 1,
-        F.aggregate(
-            F.when(count >= 2, F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1)))).otherwise(F.array().cast("array<int>")),
-            F.struct(start.alias("log_term"), F.exp(start).alias("total")),
-            tail_term,
-            lambda acc: acc["total"],
-        ),
-    ).otherwise(F.lit(0.0))
-    tail = F.when(odd, erfc + total).otherwise(total)
-    return F.when((statistic <= 0) | (dof < 1), F.lit(1.0)).otherwise(F.least(F.lit(1.0), tail))
+    # the first term is in the start value, so a single term leaves nothing to add
+    more = F.when(count >= 2, F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    summed = F.aggregate(more, F.struct(start.alias("log_term"), F.exp(start).alias("total")), step, lambda acc: acc["total"])
+    total = F.when(count >= 1, summed).otherwise(F.lit(0.0))
+    exact = F.when(odd, 1.0 - erf(F.sqrt(y)) + total).otherwise(total)
+
+    spread = F.lit(2.0) / (9.0 * k)
+    z = (F.pow(x / k, F.lit(1.0 / 3.0)) - (1.0 - spread)) / F.sqrt(spread)
+    half = erf(F.abs(z) / math.sqrt(2.0)) / 2.0
+    normal = F.when(z >= 0, 0.5 - half).otherwise(0.5 + half)
+
+    tail = F.when(dof > MANY, normal).otherwise(exact)
+    return F.when((x <= 0) | (dof < 1), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))

@@ -179,22 +179,29 @@ def retrain_decision(datasets: DataFrame, summaries: DataFrame, key: str = "data
     )
 
 
-def windowed_drift(df: DataFrame, ts, window: str, baseline, col: str, bins: Sequence[float], limit: float = 0.1) -> DataFrame:
-    """Fixed baseline against each window of recent data, on pre-binned counts.
-
-    ``baseline`` is a predicate naming the reference rows. Each window needs one count per bin, so
-    the distance (largest difference of the two binned distribution functions) costs one aggregation.
-    """
+def binned_counts(df: DataFrame, col: str, bins: Sequence[float], by: Sequence = ()) -> DataFrame:
+    """Cumulative rows per bin (``c0`` below the first bound, ``c1`` below the second, ...) and ``n``."""
     bounds = [float("-inf"), *bins]
     slot = F.coalesce(band(F.col(col), bins), F.lit(float("-inf")))
-    base = df.where(baseline)
-    cur = df.where(~baseline).withColumn("_start", F.window(ts, window)["start"])
     counters = [F.count_if(slot <= b).alias(f"c{i}") for i, b in enumerate(bounds)]
-    ref = base.agg(F.struct(*counters, F.count("*").alias("n")).alias("r")).scalar()
-    got = cur.groupBy("_start").agg(*counters, F.count("*").alias("n"))
-    gaps = [
-        F.abs(F.try_divide(F.col(f"c{i}"), F.col("n")) - F.try_divide(ref[f"c{i}"], ref["n"])) for i in range(len(bounds))
-    ]
-    return got.select(F.col("_start").alias("window_start"), "n", F.greatest(*gaps).alias("distance")).withColumn(
-        "drifted", F.col("distance") > limit
-    )
+    return df.groupBy(*by).agg(*counters, F.count("*").alias("n"))
+
+
+def binned_distance(reference: DataFrame, counts: DataFrame, limit: float = 0.1) -> DataFrame:
+    """Largest difference of the binned distribution functions, for each row of counts against the one
+    row of the reference, which enters as a scalar value."""
+    names = [c for c in reference.columns if c != "n"]
+    ref = reference.select(F.struct(*names, "n")).scalar()
+    gaps = [F.abs(F.try_divide(F.col(c), F.col("n")) - F.try_divide(ref[c], ref["n"])) for c in names]
+    keep = [c for c in counts.columns if c not in names]
+    return counts.select(*keep, F.greatest(*gaps).alias("distance")).withColumn("drifted", F.col("distance") > limit)
+
+
+def windowed_drift(df: DataFrame, ts: str, window: str, baseline, col: str, bins: Sequence[float], limit: float = 0.1) -> DataFrame:
+    """Fixed baseline against each window of recent data, on pre-binned counts.
+
+    ``baseline`` is a predicate naming the reference rows. A window needs one count per bin, so all of
+    them together cost one aggregation.
+    """
+    start = F.window(ts, window)["start"].alias("window_start")
+    return binned_distance(binned_counts(df.where(baseline), col, bins), binned_counts(df.where(~baseline), col, bins, [start]), limit)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,36 +70,39 @@ def run_status(events: DataFrame) -> DataFrame:
     )
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, upstream: bool = False, max_depth: int = 100) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, upstream: bool = False, max_depth: int | None = None) -> DataFrame:
     """Nodes reachable from the seeds with their smallest depth (seeds have depth 0).
 
     Breadth-first: each round joins only the newest level with the edges and writes the next level as
     one more ``depth=`` partition of a table in the shared folder. Every round has the same short
     plan, and a lost executor costs one round. Row data never comes to the driver; it only learns
-    whether a round found anything.
+    whether a round found anything. Cycles end by themselves; with ``max_depth`` a deeper graph is an
+    error, never a shorter answer.
     """
     spark = edges.sparkSession
     src, dst = ("dst", "src") if upstream else ("src", "dst")
     steps = cut(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")))
     root = scratch_dir(spark, "walk")
     seeds.select("node").distinct().write.parquet(f"{root}/depth=0")
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
+        if max_depth is not None and depth > max_depth + 1:
+            raise ValueError(f"graph is deeper than {max_depth}")
         seen = spark.read.schema("node string, depth int").parquet(root)
         found = seen.where(F.col("depth") == depth - 1).join(steps, "node").select(F.col("next").alias("node")).distinct()
         level = f"{root}/depth={depth}"
         found.join(seen.select("node"), "node", "left_anti").write.parquet(level)
         if spark.read.schema("node string").parquet(level).isEmpty():
-            return spark.read.schema("node string, depth int").parquet(root)
-    raise ValueError(f"graph is deeper than {max_depth}")
+            break
+    return spark.read.schema("node string, depth int").parquet(root)
 
 
-def lineage_upstream(edges: DataFrame, nodes: Sequence[str], max_depth: int = 100) -> DataFrame:
+def lineage_upstream(edges: DataFrame, nodes: Sequence[str], max_depth: int | None = None) -> DataFrame:
     """Everything the given nodes were made from."""
     seeds = edges.sparkSession.createDataFrame([(n,) for n in nodes], "node string")
     return reachable(edges, seeds, True, max_depth).where("depth > 0")
 
 
-def lineage_downstream(edges: DataFrame, nodes: Sequence[str], max_depth: int = 100) -> DataFrame:
+def lineage_downstream(edges: DataFrame, nodes: Sequence[str], max_depth: int | None = None) -> DataFrame:
     """Everything made from the given nodes."""
     seeds = edges.sparkSession.createDataFrame([(n,) for n in nodes], "node string")
     return reachable(edges, seeds, False, max_depth).where("depth > 0")

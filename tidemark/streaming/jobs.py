@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.scalars import micros
-from tidemark.operators import evaluation, features, ml, tseries
+from tidemark.operators import drift, evaluation, features, ml, tseries
 from tidemark.streaming.runs import each_batch
 
 
@@ -49,15 +49,15 @@ def reject_old(df: DataFrame, ts: str, arrived: str, max_hours: float = 168) ->
     return df.where(~old), df.where(old)
 
 
-def reject_old_to(df: DataFrame, ts: str, arrived: str, good: str, rejected: str, checkpoint: str, max_hours: float = 168):
-    """Both sides of :func:`reject_old` from one read of the stream."""
+def reject_old_to(df: DataFrame, ts: str, arrived: str, out: str, checkpoint: str, max_hours: float = 168):
+    """Both sides of :func:`reject_old` from one read of the stream, as partitions ``rejected=false|true``."""
+    limit = int(max_hours * 3_600_000_000)
+    marked = df.withColumn("rejected", micros(F.col(arrived)) - micros(F.col(ts)) > limit)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        keep, old = reject_old(batch, ts, arrived, max_hours)
-        keep.write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
-        old.write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
+        batch.write.mode("overwrite").partitionBy("rejected").parquet(f"{out}/batch={batch_id}")
 
-    return each_batch(df, work, checkpoint)
+    return each_batch(marked, work, checkpoint)
 
 
 def dedup_stream(df: DataFrame, key: str, ts: str, late: str = "1 hour") -> DataFrame:
@@ -78,6 +78,22 @@ def apply_retention(spark, source: str, out: str, ts: str, as_of: str, hours: fl
     return out
 
 
+def rolling_drift_stream(current: DataFrame, reference: DataFrame, out: str, checkpoint: str, ts: str, window: str, col: str,
+                         bins: Sequence[float], limit: float = 0.1, every: str | None = None):
+    """Each window of the stream against a fixed reference; every cycle publishes all windows' distances.
+
+    The state holds one count per bin and window. The reference is counted once, before the stream.
+    """
+    base = drift.binned_counts(reference, col, bins)
+    fixed = current.sparkSession.createDataFrame(base.collect(), base.schema)  # one row of counts
+    start = F.window(ts, window)["start"].alias("window_start")
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        drift.binned_distance(fixed, batch, limit).write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+
+    return each_batch(drift.binned_counts(current, col, bins, [start]), work, checkpoint, every, "complete")
+
+
 def _versions(spark, root: str) -> DataFrame | None:
     from pyspark.errors import AnalysisException
 

@@ -52,5 +52,6 @@ def read_latest(spark: SparkSession, out: str) -> DataFrame:
     return df.where(F.col("version") == newest.scalar()).drop("version")
 
 
-def each_batch(df: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
-    return _finish(df.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint), every)
+def each_batch(df: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, mode: str = "append"):
+    """Hand every batch and its id to ``work``; a batch repeated after a failure keeps its id."""
+    return _finish(df.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).outputMode(mode), every)
