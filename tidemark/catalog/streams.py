@@ -8,9 +8,9 @@ from tidemark.catalog.governance import LATEST_SQL
 from tidemark.catalog.learning import CLEAN_SQL, NAMES, small_forest
 from tidemark.catalog.metrics import GROWTH, STATES_SQL, hourly
 from tidemark.catalog.registry import query
-from tidemark.catalog.tabular import DRIFT_BINS, WINDOWED_DRIFT_SQL
+from tidemark.catalog.tabular import DRIFT_BINS, PROFILE_SQL, WINDOWED_DRIFT_SQL
 from tidemark.catalog.views import table, v1, v3, v4c, v6reports
-from tidemark.operators import ml, reports
+from tidemark.operators import ml, reports, stats
 from tidemark.plans.scratch import scratch_dir
 from tidemark.sources.reports import skip_unstable
 from tidemark.streaming import jobs as J
@@ -84,6 +84,20 @@ def _(spark, d):
     return ntz(out, "window_start").withColumn("mean", F.round("mean", 6))
 
 
+@query(
+    "l2_profile_batches",
+    PROFILE_SQL
+    + """SELECT "column", "type", count(*) AS "rows", count(*) FILTER (WHERE t IS NULL) AS nulls, min(x) AS "min", max(x) AS "max",
+       round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM long GROUP BY 1, 2""",
+)
+def _(spark, d):
+    out, cols = scratch_dir(spark, "profiled"), ["value", "user_id", "event_type"]
+    rows = table(spark, d, "events").select("ts", *cols)
+    two_steps(spark, rows, "ts", lambda s: J.profile_batches(s, out, out + "-checkpoint", cols))
+    merged = stats.profile_summary(stats.merge_profiles(spark.read.parquet(out)))
+    return merged.drop("cardinality", "q25", "q50", "q75").withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
 @query(
     "l3_request_stats_stream",
     """SELECT count(*) FILTER (WHERE event_type <> 'error') AS predictions, count(*) FILTER (WHERE event_type = 'error') AS errors,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.scalars import micros
-from tidemark.operators import drift, evaluation, features, ml, tseries
+from tidemark.operators import drift, evaluation, features, ml, stats, tseries
 from tidemark.streaming.runs import each_batch
 
 
@@ -29,6 +29,16 @@ def profile_stream(df: DataFrame, ts: str, window: str, col: str, late: str = "1
     )
 
 
+def profile_batches(df: DataFrame, out: str, checkpoint: str, cols: Sequence[str], every: str | None = None):
+    """One mergeable profile per batch, sketches included; ``stats.merge_profiles`` gives any span of them.
+    Scoring does not wait for it: it is a query of its own over the same input."""
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        stats.profile(batch, cols).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return each_batch(df, work, checkpoint, every)
+
+
 def request_stats_stream(df: DataFrame, failed, latency: str) -> DataFrame:
     """Counters since the start."""
     return evaluation.request_stats(df, failed, latency)
