@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, simhash, tokens
+from tidemark.llm import decontamination, licenses, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     found = tokens.token_counts(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+@query("op7_license_scans")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, labels and restriction of every document."""
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("bigint").alias("n_base"),
+        F.array_min("places").alias("first_word"),
+        F.array_max("places").alias("last_word"),
+        F.concat_ws(",", "base_labels").alias("base_labels"),
+        F.concat_ws(",", "labels").alias("labels"),
+        "score",
+        F.concat_ws("; ", "expressions").alias("expressions"),
+    )
