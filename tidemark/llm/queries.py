@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, licenses, quality, simhash, tokens, toxicity
+from tidemark.llm import decontamination, licenses, mixing, quality, sharding, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,39 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     found = quality.quality(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@query(
+    "op2_temperature_mixing",
+    r"""
+    WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n, coalesce(md5(text), '') AS m FROM documents),
+    t AS (SELECT source, CAST(sum(n) AS BIGINT) AS total FROM d GROUP BY source HAVING sum(n) > 0),
+    x AS (SELECT max(total) AS top, min(total) AS least FROM t),
+    a AS (SELECT top, CASE WHEN top <= 2 * least THEN 0.0 ELSE 1 - ln(2.0) / ln(top / least) END AS alpha FROM x),
+    q AS (SELECT source, total, CAST(round(total * pow(top / total, 1 - alpha)) AS BIGINT) AS quota FROM t, a),
+    u AS (SELECT d.doc_id, d.source, d.n, d.m, coalesce(quota // total, 1) AS passes, coalesce(quota % total, 0) AS rest,
+                 unnest(range(0, coalesce(quota // total, 1) + CASE WHEN coalesce(quota % total, 0) > 0 THEN 1 ELSE 0 END)) AS block
+          FROM d LEFT JOIN q ON d.source = q.source),
+    h AS (SELECT *, CAST('0x' || substr(md5('42:' || block || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || m), 1, 15) AS BIGINT) AS number FROM u),
+    r AS (SELECT *, row_number() OVER w - 1 AS place, sum(n) OVER w AS upto FROM h WINDOW w AS (PARTITION BY source, block ORDER BY number ROWS UNBOUNDED PRECEDING))
+    SELECT doc_id, source, n AS n_tokens, block, CAST(place AS BIGINT) AS place FROM r WHERE block < passes OR upto <= rest
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of every document in a mixture that repeats no source more than twice."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "block", "place")
+
+
+@query("op4_interleaved_sharding")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, under the law of equal row counts."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        "source",
+        sharding.number(docs).alias("number"),
+    )
+    found = sharding.assign(rows)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")

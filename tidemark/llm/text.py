@@ -60,3 +60,11 @@ def drop_rows(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 def text_key(text: Column) -> Column:
     """64 bits that, together with the document's id, name a text; null for null."""
     return F.when(text.isNotNull(), F.xxhash64(text))
+
+
+def word_count(text: Column) -> Column:
+    """Words between white space (space and 0x09 to 0x0D), without a regular expression; 0 for null."""
+    spaced = F.coalesce(text, F.lit(""))
+    for blank in ("\t", "\n", "\x0b", "\f", "\r"):
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    return F.size(F.array_remove(F.split(spaced, " "), "")).cast("bigint")
