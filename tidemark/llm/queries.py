@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, licenses, mixing, quality, sharding, simhash, tokens, toxicity
+from tidemark.llm import chat, decontamination, licenses, mixing, quality, sharding, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +151,65 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = sharding.assign(rows)
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+TOOL_SCHEMAS = {
+    "search": {"query": ("string", True), "limit": ("integer", True)},
+    "lookup": {"key": ("string", True)},
+    "count": {"text": ("string", True), "exact": ("boolean", False)},
+}
+
+
+@query(
+    "op5_tool_call_linking",
+    """
+    WITH RECURSIVE c AS (SELECT conv_id, turn, text, length(text) AS n, 'call-' || turn AS call_id,
+                      CASE length(text) % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'count' END AS name,
+                      CASE WHEN conv_id % 5 = 0 AND turn % 8 = 0 THEN 'call-' || (turn + 2) WHEN turn >= 2 AND turn % 6 <> 0 THEN 'call-' || (turn - 2) END AS dep
+               FROM conversations WHERE role = 'user'),
+    r AS (SELECT conv_id, 'call-' || (turn - 1) AS call_id, turn AS result_turn, text AS output FROM conversations WHERE role = 'assistant'),
+    e AS (SELECT c.conv_id, c.call_id, c.turn, d.call_id AS dep, d.turn AS dep_turn FROM c JOIN c d ON c.conv_id = d.conv_id AND c.dep = d.call_id),
+    ahead AS (SELECT DISTINCT conv_id FROM e WHERE dep_turn >= turn),
+    walk AS (SELECT conv_id, call_id, 0 AS level FROM c WHERE conv_id IN (SELECT conv_id FROM ahead) AND (conv_id, call_id) NOT IN (SELECT (conv_id, call_id) FROM e)
+             UNION ALL SELECT e.conv_id, e.call_id, walk.level + 1 FROM walk JOIN e ON e.conv_id = walk.conv_id AND e.dep = walk.call_id),
+    l AS (SELECT c.*, CASE WHEN c.conv_id IN (SELECT conv_id FROM ahead) THEN w.level ELSE 0 END AS level, r.result_turn, r.output,
+                 c.dep IS NOT NULL AND (c.conv_id, c.dep) NOT IN (SELECT (conv_id, call_id) FROM c) AS unknown
+          FROM c LEFT JOIN walk w ON c.conv_id = w.conv_id AND c.call_id = w.call_id LEFT JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id),
+    a AS (SELECT *, CASE name
+              WHEN 'search' THEN '{"limit":' || CASE WHEN turn % 10 = 4 THEN '"many"' ELSE CAST(n AS VARCHAR) END || ',"query":' || CAST(to_json(text) AS VARCHAR) || '}'
+              WHEN 'lookup' THEN CASE WHEN n % 7 = 0 THEN '{"name":' || CAST(to_json(substr(text, 1, 20)) AS VARCHAR) || '}' ELSE '{"key":' || CAST(to_json(substr(text, 1, 20)) AS VARCHAR) || '}' END
+              ELSE '{"exact":true,"text":' || CAST(to_json(text) AS VARCHAR) || '}' END AS args FROM l),
+    s AS (SELECT *, [
+              CASE WHEN level IS NULL THEN 'cycle' END,
+              CASE WHEN name = 'search' AND turn % 10 = 4 THEN 'limit is no integer' END,
+              CASE WHEN name = 'lookup' AND n % 7 = 0 THEN 'missing key' END,
+              CASE WHEN result_turn IS NULL THEN 'no result' END,
+              CASE WHEN name = 'lookup' AND n % 7 = 0 THEN 'unexpected name' END,
+              CASE WHEN unknown THEN 'unknown dependency' END] AS errors FROM a)
+    SELECT conv_id, call_id, turn, CASE WHEN level IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id, level IS NULL ORDER BY level, turn, call_id) - 1 END AS position,
+           level, result_turn, coalesce(array_to_string(errors, '; '), '') AS errors,
+           '{"arguments":' || args || ',"id":"' || call_id || '","name":"' || name || '","result":' || coalesce(CAST(to_json(output) AS VARCHAR), 'null') || '}' AS json
+    FROM s
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a call of a tool, every assistant turn as the result of the call before it.
+
+    The arguments are written with their keys in another order and with spaces; some miss a field, have one
+    too many or of a wrong type, and some calls depend on later ones or on each other.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    n, turn = F.length("text"), F.col("turn")
+    quoted = F.expr("substr({0}, 6, length({0}) - 6)".format("to_json(struct(text as v))"))
+    short = F.expr("substr({0}, 6, length({0}) - 6)".format("to_json(struct(substr(text, 1, 20) as v))"))
+    name = F.when(n % 3 == 0, "search").when(n % 3 == 1, "lookup").otherwise("count")
+    arguments = (
+        F.when(n % 3 == 0, F.concat(F.lit('{"query": '), quoted, F.lit(', "limit": '), F.when(turn % 10 == 4, '"many"').otherwise(n.cast("string")), F.lit("}")))
+        .when(n % 3 == 1, F.concat(F.when(n % 7 == 0, '{ "name" : ').otherwise('{ "key" : '), short, F.lit(" }")))
+        .otherwise(F.concat(F.lit('{"text": '), quoted, F.lit(', "exact": true}')))
+    )
+    dep = F.when((F.col("conv_id") % 5 == 0) & (turn % 8 == 0), F.concat(F.lit("call-"), turn + 2)).when((turn >= 2) & (turn % 6 != 0), F.concat(F.lit("call-"), turn - 2))
+    calls = turns.where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("call-"), turn).alias("call_id"), name.alias("name"), arguments.alias("arguments"), F.array_compact(F.array(dep)).alias("after"))
+    results = turns.where("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("call-"), turn - 1).alias("call_id"), F.col("text").alias("output"))
+    found = chat.link_calls(calls, results, TOOL_SCHEMAS)
+    return found.select("conv_id", "call_id", "turn", "position", "level", "result_turn", F.concat_ws("; ", "errors").alias("errors"), "json")
