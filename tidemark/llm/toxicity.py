@@ -181,15 +181,21 @@ def _worth(counts: tuple[int, int], docs: tuple[int, int]) -> bool:
     return 2 * (part(x, n1, share) + part(y, n0, share) + part(n1 - x, n1, 1 - share) + part(n0 - y, n0, 1 - share)) >= EVIDENCE
 
 
-def features(model: Model, firsts: set[bytes], words: list[bytes]) -> tuple[float, float]:
-    """The log ratio of a text per word, and per square root of its words."""
+def followers(model: Model) -> dict[bytes, dict[bytes, float]]:
+    """By first and second word, what a pair adds to the log ratio of its second word alone."""
+    found: dict[bytes, dict[bytes, float]] = {}
+    for (v, w), ratio in model.pairs.items():
+        found.setdefault(v, {})[w] = ratio - model.words.get(w, 0.0)
+    return found
+
+
+def features(model: Model, pairs: dict[bytes, dict[bytes, float]], words: list[bytes]) -> tuple[float, float]:
+    """The log ratio of a text per word, and per square root of its words; one look-up per word and table."""
     if not words:
         return 0.0, 0.0
-    distinct = set(words)
-    total = math.fsum(model.words[w] * words.count(w) for w in sorted(distinct & model.words.keys()))
-    if firsts and not firsts.isdisjoint(distinct):
-        for pair, n in sorted(Counter(p for p in zip(words, words[1:]) if p in model.pairs).items()):
-            total += n * (model.pairs[pair] - model.words.get(pair[1], 0.0))
+    parts = [r for r in map(model.words.get, words) if r is not None]
+    parts += [after[w] for after, w in zip(map(pairs.get, words), words[1:]) if after is not None and w in after]
+    total = math.fsum(parts)
     return total / len(words), total / math.sqrt(len(words))
 
 
@@ -219,10 +225,10 @@ def _feature_batches(models):
     """Features of labelled texts by the model that has not seen their half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        firsts = [{v for v, _ in m.pairs} for m in models.value]
+        pairs = [followers(m) for m in models.value]
         for batch in batches:
             halves = batch.column("half").to_pylist()
-            got = [features(models.value[1 - h], firsts[1 - h], folded_words(t)) for t, h in zip(texts_of(batch), halves)]
+            got = [features(models.value[1 - h], pairs[1 - h], folded_words(t)) for t, h in zip(texts_of(batch), halves)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), batch.column("toxic")], ["mean", "root", "toxic"])
 
     return run
@@ -281,9 +287,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
 def _score_batches(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         known = model.value
-        firsts = {v for v, _ in known.pairs}
+        pairs = followers(known)
         for batch in batches:
-            got = [features(known, firsts, folded_words(t)) for t in texts_of(batch)]
+            got = [features(known, pairs, folded_words(t)) for t in texts_of(batch)]
             scores = pa.array([probability(known, g) for g in got], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([g[0] for g in got], pa.float64()), scores], ["doc_id", "text_key", "log_ratio", "score"])
 
