@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, licenses, mixing, quality, sharding, simhash, tokens, toxicity
+from tidemark.llm import chat, decontamination, licenses, mixing, quality, sharding, simhash, substrings, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -213,3 +213,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = turns.where("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("call-"), turn - 1).alias("call_id"), F.col("text").alias("output"))
     found = chat.link_calls(calls, results, TOOL_SCHEMAS)
     return found.select("conv_id", "call_id", "turn", "position", "level", "result_turn", F.concat_ws("; ", "errors").alias("errors"), "json")
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that are left without passages of 35 words found elsewhere."""
+    found = substrings.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
