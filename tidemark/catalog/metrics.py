@@ -98,8 +98,8 @@ GRID_SQL = """WITH g AS (SELECT t * 3600000000 AS at_us FROM range((SELECT epoch
     GRID_SQL + """SELECT kind, make_timestamp(at_us) AS "at", count(*) AS n, round(sum(value), 6) AS total FROM s JOIN g ON us BETWEEN at_us - 7200000000 AND at_us GROUP BY 1, 2""",
 )
 def _(spark, d):
-    grid = TS.eval_grid(v4(spark, d), 3600, 7200)
-    return grid.groupBy("kind", "at").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    grid = TS.eval_grid(v4(spark, d), ["kind"], 3600, 7200)
+    return grid.select("kind", "at", "n", F.round("total", 6).alias("total"))
 
 
 @query(
@@ -199,9 +199,11 @@ def TS_key(df):
 
 # standing rules -----------------------------------------------------------------------------------
 # The event month is read sixty times faster, so that a five-minute window holds several samples.
-# Counters are step functions of time, so that a value needs no order of its own.
+# Counters are step functions of time, so that a value needs no order of its own. A series is named by
+# all labels, among them ``method``, which no rule mentions and which splits every series in two.
 
 TICK = 30_000_000
+ALL = "namespace, pod, container, deployment, node, instance, cpu, method"
 
 
 def rule_base(spark, d):
@@ -213,24 +215,25 @@ def rule_base(spark, d):
         "event_id", u.alias("u"), "value", from_micros(us).alias("ts"), (us / F.lit(1e6)).alias("sec"),
         text("ns-", 5).alias("namespace"), text("pod-", 20).alias("pod"), text("c-", 3).alias("container"),
         text("dep-", 4).alias("deployment"), text("node-", 10).alias("node"), text("i-", 10).alias("instance"), text("cpu-", 2).alias("cpu"),
+        F.concat(F.lit("m-"), (F.floor(F.col("event_id") / 7) % 2).cast("string")).alias("method"),
     )
 
 
-RULE_BASE = """rb AS (SELECT event_id, user_id AS u, value, epoch_us(ts) // 60 AS us, (epoch_us(ts) // 60) / 1e6 AS sec,
+RULE_BASE = """rb AS (SELECT event_id, user_id AS u, value AS raw, epoch_us(ts) // 60 AS us, (epoch_us(ts) // 60) / 1e6 AS sec,
   concat('ns-', (user_id % 5)::VARCHAR) AS namespace, concat('pod-', (user_id % 20)::VARCHAR) AS pod, concat('c-', (user_id % 3)::VARCHAR) AS container,
   concat('dep-', (user_id % 4)::VARCHAR) AS deployment, concat('node-', (user_id % 10)::VARCHAR) AS node, concat('i-', (user_id % 10)::VARCHAR) AS instance,
-  concat('cpu-', (user_id % 2)::VARCHAR) AS cpu FROM events)"""
+  concat('cpu-', (user_id % 2)::VARCHAR) AS cpu, concat('m-', ((event_id // 7) % 2)::VARCHAR) AS method FROM events)"""
 
 
 def samples(base, metric, value, **labels):
     """One metric from the base rows; ``labels`` are extra or replaced label expressions."""
-    keep = ["namespace", "pod", "container", "deployment", "node", "instance", "cpu"]
+    keep = ALL.split(", ")
     return base.select(F.lit(metric).alias("metric"), "ts", F.expr(value).cast("double").alias("value"),
                        *[F.col(k) for k in keep if k not in labels], *[F.expr(v).alias(k) for k, v in labels.items()])
 
 
-def rule_query(name, frames, condition_sql):
-    """Register a standing rule: ``frames(base)`` gives its samples, ``condition_sql`` its hits in SQL."""
+def rule_query(name, frames, condition_sql, by=ALL):
+    """Register a standing rule: ``frames(base)`` gives its samples, ``condition_sql`` its hits in SQL; ``by``: their labels."""
     rule = A.RULES[name]
     part = ", ".join(rule.labels)
     summary = "concat('" + rule.summary.replace("{", "', ").replace("}", ", '") + "')"
@@ -238,17 +241,20 @@ def rule_query(name, frames, condition_sql):
     for fmt in ("%.0f", "%.2f"):
         text = text.replace("{value:" + fmt + "}", f"' || printf('{fmt}', value) || '")
     sql = f"""WITH {RULE_BASE}, {condition_sql},
-  isl AS (SELECT *, at_us // {TICK} - row_number() OVER (PARTITION BY {part} ORDER BY at_us) AS grp FROM hits),
-  snc AS (SELECT *, min(at_us) OVER (PARTITION BY {part}, grp) AS since_us FROM isl)
+  isl AS (SELECT *, at_us // {TICK} - row_number() OVER (PARTITION BY {by} ORDER BY at_us) AS grp FROM hits),
+  snc AS (SELECT *, min(at_us) OVER (PARTITION BY {by}, grp) AS since_us FROM isl)
   SELECT {part}, make_timestamp(at_us) AS "at", round(value, 6) AS value, make_timestamp(since_us) AS since,
     CASE WHEN at_us - since_us >= 300000000 THEN 'firing' ELSE 'pending' END AS state, '{rule.alert}' AS alert, '{rule.severity}' AS severity,
     {summary} AS summary, '{text}' AS description FROM snc"""
 
     @query("rule_" + "".join("_" + c.lower() if c.isupper() else c for c in name).lstrip("_").replace("c_p_u", "cpu"), sql)
     def _(spark, d):
-        df = frames(rule_base(spark, d))
-        out = A.evaluate_rule(rule, df, TICK / 1e6)
-        return out.withColumn("value", F.round("value", 6))
+        out = A.evaluate_rule(rule, frames(rule_base(spark, d)), TICK / 1e6)
+        return out.select(*rule.labels, "at", F.round("value", 6).alias("value"), "since", "state", "alert", "severity", "summary", "description")
+
+
+def source_sql(value: str, where: str = "true", more: str = "") -> str:
+    return f"SELECT {ALL}{more}, us, {value} AS value FROM rb WHERE {where}"
 
 
 def grid_sql(name: str, source: str) -> str:
@@ -256,12 +262,12 @@ def grid_sql(name: str, source: str) -> str:
             f"(SELECT max(us) // {TICK} + 1 FROM {name})) r(t))")
 
 
-def instant_sql(name: str, labels: str, source: str, out: str) -> str:
+def instant_sql(name: str, source: str, out: str, labels: str = ALL) -> str:
     return (f"{grid_sql(name, source)}, {out} AS (SELECT {labels}, at_us, arg_max(value, us) AS value FROM {name} JOIN g{name} "
             f"ON us BETWEEN at_us - 300000000 AND at_us GROUP BY {labels}, at_us)")
 
 
-def growth_sql(name: str, labels: str, source: str, out: str, span: int, step: str = GROWTH, per: float = 1.0) -> str:
+def growth_sql(name: str, source: str, out: str, span: int, step: str = GROWTH, per: float = 1.0, labels: str = ALL) -> str:
     return (f"{grid_sql(name, source)}, p{name} AS (SELECT *, lag(value) OVER (PARTITION BY {labels} ORDER BY us) AS p FROM {name}), "
             f"d{name} AS (SELECT *, {step} AS st FROM p{name}), "
             f"{out} AS (SELECT {labels}, at_us, (sum(st) - arg_min(st, us))::DOUBLE / {per} AS value FROM d{name} JOIN g{name} "
@@ -271,52 +277,53 @@ def growth_sql(name: str, labels: str, source: str, out: str, span: int, step: s
 rule_query(
     "PodCrashLooping",
     lambda b: samples(b, "kube_pod_container_status_restarts_total", "floor(sec / (300 * (1 + u % 20 % 5))) % 11"),
-    growth_sql("s", "namespace, pod, container", "SELECT *, floor(sec / (300 * (1 + u % 20 % 5))) % 11 AS value FROM (SELECT * EXCLUDE (value) FROM rb)", "inc", 3600)
-    + ", hits AS (SELECT * FROM inc WHERE value > 3)",
+    growth_sql("s", source_sql("floor(sec / (300 * (1 + u % 20 % 5))) % 11"), "inc", 3600) + ", hits AS (SELECT * FROM inc WHERE value > 3)",
 )
 rule_query(
     "PodNotReady",
     lambda b: samples(b, "kube_pod_status_ready", "case when floor(sec / 900) % 3 = u % 20 % 3 then 1 else 0 end",
                       condition="case when event_id % 2 = 0 then 'false' else 'true' end"),
-    instant_sql("s", "namespace, pod", "SELECT namespace, pod, us, CASE WHEN floor(sec / 900) % 3 = u % 20 % 3 THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM rb WHERE event_id % 2 = 0", "now_")
+    instant_sql("s", source_sql("CASE WHEN floor(sec / 900) % 3 = u % 20 % 3 THEN 1.0::DOUBLE ELSE 0.0 END", "event_id % 2 = 0"), "now_")
     + ", hits AS (SELECT * FROM now_ WHERE value = 1)",
 )
 rule_query(
     "ContainerHighCPU",
     lambda b: samples(b, "container_cpu_usage_seconds_total", "sec * (0.25 + 0.25 * (u % 3))", container="case when u % 7 = 0 then '' else container end"),
-    growth_sql("s", "namespace, pod, container", "SELECT namespace, pod, container, us, sec * (0.25 + 0.25 * (u % 3)) AS value FROM rb WHERE u % 7 <> 0", "r", 300, per=300.0)
+    growth_sql("s", source_sql("sec * (0.25 + 0.25 * (u % 3))", "u % 7 <> 0"), "r", 300, per=300.0)
     + ", hits AS (SELECT namespace, pod, at_us, sum(value) AS value FROM r GROUP BY 1, 2, 3 HAVING sum(value) > 0.8)",
+    "namespace, pod",
 )
 rule_query(
     "ContainerHighMemory",
     lambda b: samples(b, "container_memory_usage_bytes", "least(value, 100)").unionByName(
         samples(b, "container_spec_memory_limit_bytes", "case when u % 20 % 6 = 0 then 0 else 60 end")),
-    instant_sql("s", "namespace, pod, container", "SELECT namespace, pod, container, us, least(value, 100) AS value FROM rb", "mu") + ", "
-    + instant_sql("t", "namespace, pod, container", "SELECT namespace, pod, container, us, CASE WHEN u % 20 % 6 = 0 THEN 0 ELSE 60 END AS value FROM rb", "ml")
+    instant_sql("s", source_sql("least(raw, 100)"), "mu") + ", "
+    + instant_sql("t", source_sql("CASE WHEN u % 20 % 6 = 0 THEN 0 ELSE 60 END"), "ml")
     + """, ma AS (SELECT namespace, pod, at_us, sum(value) AS v FROM mu GROUP BY 1, 2, 3), mb AS (SELECT namespace, pod, at_us, sum(value) AS v FROM ml WHERE value > 0 GROUP BY 1, 2, 3)
        , hits AS (SELECT ma.namespace, ma.pod, ma.at_us, ma.v / mb.v AS value FROM ma JOIN mb ON ma.namespace = mb.namespace AND ma.pod = mb.pod AND ma.at_us = mb.at_us WHERE ma.v / mb.v > 0.9)""",
+    "namespace, pod",
 )
 rule_query(
     "DeploymentReplicasMismatch",
     lambda b: samples(b, "kube_deployment_spec_replicas", "3").unionByName(
         samples(b, "kube_deployment_status_replicas_available", "3 - (floor(sec / 600) + u % 4) % 2")),
-    instant_sql("s", "namespace, deployment", "SELECT namespace, deployment, us, 3.0::DOUBLE AS value FROM rb", "da") + ", "
-    + instant_sql("t", "namespace, deployment", "SELECT namespace, deployment, us, 3 - (floor(sec / 600) + u % 4) % 2 AS value FROM rb", "db")
-    + ", hits AS (SELECT da.namespace, da.deployment, da.at_us, da.value FROM da JOIN db ON da.namespace = db.namespace AND da.deployment = db.deployment AND da.at_us = db.at_us WHERE da.value <> db.value)",
+    instant_sql("s", source_sql("3.0::DOUBLE"), "da") + ", " + instant_sql("t", source_sql("3 - (floor(sec / 600) + u % 4) % 2"), "db")
+    + f", hits AS (SELECT {ALL}, at_us, da.value FROM da JOIN db USING ({ALL}, at_us) WHERE da.value <> db.value)",
 )
 STATUS = "case u % 4 when 0 then '200' when 1 then '500' when 2 then '503' else '404' end"
 rule_query(
     "HighErrorRate",
     lambda b: samples(b, "http_requests_total", "floor(sec / (10 + u % 20)) % 1000 * 1.137", status=STATUS),
-    growth_sql("s", "namespace, pod, status", f"SELECT namespace, pod, us, floor(sec / (10 + u % 20)) % 1000 * 1.137::DOUBLE AS value, {STATUS} AS status FROM rb WHERE u % 4 IN (1, 2)", "r", 300, per=300.0)
+    growth_sql("s", source_sql("floor(sec / (10 + u % 20)) % 1000 * 1.137::DOUBLE", "u % 4 IN (1, 2)", f", {STATUS} AS status"), "r", 300, per=300.0, labels=f"{ALL}, status")
     + ", hits AS (SELECT namespace, at_us, sum(value) AS value FROM r GROUP BY 1, 2 HAVING sum(value) > 0.05)",
+    "namespace",
 )
 BUCKETS = (("0.1", "80"), ("0.5", "90"), ("1", "90 + u % 20 % 12"), ("2.5", "97 + u % 20 % 12"), ("+Inf", "98 + u % 20 % 12"))
 
 
 def _bucket_frames(base):
     le = F.array(*[F.struct(F.lit(b).alias("le"), F.expr(f"cast(floor(sec / 10) * ({k}) as double)").alias("v")) for b, k in BUCKETS])
-    wide = base.select(F.lit("http_request_duration_seconds_bucket").alias("metric"), "ts", "namespace", "pod", F.inline(le))
+    wide = base.select(F.lit("http_request_duration_seconds_bucket").alias("metric"), "ts", *ALL.split(", "), F.inline(le))
     return wide.withColumnRenamed("v", "value")
 
 
@@ -324,49 +331,49 @@ rule_query(
     "HighResponseTime",
     _bucket_frames,
     growth_sql(
-        "s", "namespace, pod, le",
-        "SELECT namespace, pod, us, le, floor(sec / 10) * k AS value FROM (SELECT *, unnest(['0.1', '0.5', '1', '2.5', 'inf'])::DOUBLE AS le, "
-        "unnest([80, 90, 90 + u % 20 % 12, 97 + u % 20 % 12, 98 + u % 20 % 12]) AS k FROM rb)", "r", 300, per=300.0)
-    + """, n AS (SELECT namespace, pod, at_us, max(value) AS n FROM r GROUP BY 1, 2, 3 HAVING max(value) > 0),
-       b AS (SELECT r.namespace, r.pod, r.at_us, le, value AS c, lag(le) OVER w AS pl, lag(value) OVER w AS pc, 0.99::DOUBLE * n AS rank
-             FROM r JOIN n ON r.namespace = n.namespace AND r.pod = n.pod AND r.at_us = n.at_us WINDOW w AS (PARTITION BY r.namespace, r.pod, r.at_us ORDER BY le)),
-       f AS (SELECT *, row_number() OVER (PARTITION BY namespace, pod, at_us ORDER BY le) AS k FROM b WHERE c >= rank),
-       q AS (SELECT namespace, pod, at_us, CASE WHEN le = 'inf'::DOUBLE THEN pl ELSE coalesce(pl, 0) + (le - coalesce(pl, 0)) * (rank - coalesce(pc, 0)) / (c - coalesce(pc, 0)) END AS value FROM f WHERE k = 1),
+        "s",
+        f"SELECT {ALL}, us, le, floor(sec / 10) * k AS value FROM (SELECT *, unnest(['0.1', '0.5', '1', '2.5', 'inf'])::DOUBLE AS le, "
+        "unnest([80, 90, 90 + u % 20 % 12, 97 + u % 20 % 12, 98 + u % 20 % 12]) AS k FROM rb)", "r", 300, per=300.0, labels=f"{ALL}, le")
+    + f""", n AS (SELECT {ALL}, at_us, max(value) AS n FROM r GROUP BY ALL HAVING max(value) > 0),
+       b AS (SELECT {ALL}, at_us, le, value AS c, lag(le) OVER w AS pl, lag(value) OVER w AS pc, 0.99::DOUBLE * n AS rank
+             FROM r JOIN n USING ({ALL}, at_us) WINDOW w AS (PARTITION BY {ALL}, at_us ORDER BY le)),
+       f AS (SELECT *, row_number() OVER (PARTITION BY {ALL}, at_us ORDER BY le) AS k FROM b WHERE c >= rank),
+       q AS (SELECT {ALL}, at_us, CASE WHEN le = 'inf'::DOUBLE THEN pl ELSE coalesce(pl, 0) + (le - coalesce(pl, 0)) * (rank - coalesce(pc, 0)) / (c - coalesce(pc, 0)) END AS value FROM f WHERE k = 1),
        hits AS (SELECT * FROM q WHERE value > 1)""",
 )
 rule_query(
     "NodeHighCPU",
     lambda b: samples(b, "node_cpu_seconds_total", "sec * 0.07 * (1 + u % 10)", mode="case when event_id % 2 = 0 then 'idle' else 'user' end"),
-    growth_sql("s", "instance, cpu", "SELECT instance, cpu, us, sec * 0.07 * (1 + u % 10) AS value FROM rb WHERE event_id % 2 = 0", "r", 300, per=300.0)
+    growth_sql("s", source_sql("sec * 0.07 * (1 + u % 10)", "event_id % 2 = 0"), "r", 300, per=300.0)
     + ", hits AS (SELECT instance, at_us, 100 - avg(value) * 100 AS value FROM r GROUP BY 1, 2 HAVING 100 - avg(value) * 100 > 80)",
+    "instance",
 )
 rule_query(
     "NodeHighMemory",
     lambda b: samples(b, "node_memory_MemTotal_bytes", "1000").unionByName(samples(b, "node_memory_MemAvailable_bytes", "least(value * 5, 1000)")),
-    instant_sql("s", "instance", "SELECT instance, us, 1000.0::DOUBLE AS value FROM rb", "na") + ", "
-    + instant_sql("t", "instance", "SELECT instance, us, least(value * 5, 1000) AS value FROM rb", "nb")
-    + ", hits AS (SELECT na.instance, na.at_us, (na.value - nb.value) / na.value * 100 AS value FROM na JOIN nb ON na.instance = nb.instance AND na.at_us = nb.at_us WHERE (na.value - nb.value) / na.value * 100 > 85)",
+    instant_sql("s", source_sql("1000.0::DOUBLE"), "na") + ", " + instant_sql("t", source_sql("least(raw * 5, 1000)"), "nb")
+    + f", hits AS (SELECT {ALL}, at_us, (na.value - nb.value) / na.value * 100 AS value FROM na JOIN nb USING ({ALL}, at_us) WHERE (na.value - nb.value) / na.value * 100 > 85)",
 )
 rule_query(
     "NodeDiskPressure",
     lambda b: samples(b, "kube_node_status_condition", "floor(sec / 1200) % 2", condition="case when event_id % 2 = 0 then 'DiskPressure' else 'Ready' end",
                       status="case when event_id % 3 = 0 then 'false' else 'true' end"),
-    instant_sql("s", "node", "SELECT node, us, floor(sec / 1200) % 2 AS value FROM rb WHERE event_id % 2 = 0 AND event_id % 3 <> 0", "now_")
-    + ", hits AS (SELECT * FROM now_ WHERE value = 1)",
+    instant_sql("s", source_sql("floor(sec / 1200) % 2", "event_id % 2 = 0 AND event_id % 3 <> 0"), "now_") + ", hits AS (SELECT * FROM now_ WHERE value = 1)",
 )
 rule_query(
     "PrometheusConfigReloadFailed",
     lambda b: samples(b, "prometheus_config_last_reload_successful", "(floor(sec / 1000) + u % 10) % 2"),
-    instant_sql("s", "instance", "SELECT instance, us, (floor(sec / 1000) + u % 10) % 2 AS value FROM rb", "now_") + ", hits AS (SELECT * FROM now_ WHERE value = 0)",
+    instant_sql("s", source_sql("(floor(sec / 1000) + u % 10) % 2"), "now_") + ", hits AS (SELECT * FROM now_ WHERE value = 0)",
 )
 rule_query(
     "PrometheusTooManyRestarts",
     lambda b: samples(b, "process_start_time_seconds", "floor(sec / 200) * 200", job="case when u % 2 = 0 then 'prometheus' else 'other' end"),
-    growth_sql("s", "instance", "SELECT instance, us, floor(sec / 200) * 200 AS value FROM rb WHERE u % 2 = 0", "ch", 900, "CASE WHEN p IS NULL OR p = value THEN 0 ELSE 1 END")
+    growth_sql("s", source_sql("floor(sec / 200) * 200", "u % 2 = 0"), "ch", 900, "CASE WHEN p IS NULL OR p = value THEN 0 ELSE 1 END")
     + ", hits AS (SELECT * FROM ch WHERE value > 2)",
 )
 rule_query(
     "PrometheusTargetDown",
     lambda b: samples(b, "up", "floor(sec / 700) % 2", job="case when u % 5 = 0 then 'prometheus' else 'app' end"),
-    instant_sql("s", "job, instance", "SELECT 'app' AS job, instance, us, floor(sec / 700) % 2 AS value FROM rb WHERE u % 5 <> 0", "now_") + ", hits AS (SELECT * FROM now_ WHERE value = 0)",
+    instant_sql("s", source_sql("floor(sec / 700) % 2", "u % 5 <> 0", ", 'app' AS job"), "now_", f"{ALL}, job") + ", hits AS (SELECT * FROM now_ WHERE value = 0)",
+    f"{ALL}, job",
 )

@@ -81,9 +81,10 @@ BOUNDS = (1, 5, 10, 50, 100, 500)  # fixed values
 def v4h(spark: SparkSession, d: str) -> DataFrame:
     """Cumulative histogram buckets per kind, in one pass without multiplying rows."""
     e = table(spark, d, "events")
-    wide = e.groupBy(F.col("event_type").alias("kind")).agg(*[F.count_if(F.col("value") <= b).alias(f"b{b}") for b in BOUNDS])
+    wide = e.groupBy(F.col("event_type").alias("kind")).agg(*[F.count_if(F.col("value") <= b).alias(f"b{b}") for b in BOUNDS], F.count("value").alias("binf"))
+    bounds = [*BOUNDS, "inf"]
     return wide.select(
-        "kind", F.inline(F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"b{b}").alias("c")) for b in BOUNDS]))
+        "kind", F.inline(F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"b{b}").alias("c")) for b in bounds]))
     )
 
 
@@ -223,7 +224,7 @@ from events where event_type = 'purchase'""",
     "v4c": """select 'demo_total' as metric, event_type as kind, ts,
        cast((row_number() over (partition by event_type order by ts, event_id)) % 100 as double) as value from events""",
     "v4h": """select e.event_type as kind, b.le, cast(sum(case when e.value <= b.le then 1 else 0 end) as bigint) as c
-from events e cross join (select cast(le as double) as le from (values (1),(5),(10),(50),(100),(500)) as t(le)) b
+from events e cross join (select cast(le as double) as le from (values ('1'),('5'),('10'),('50'),('100'),('500'),('inf')) as t(le)) b
 group by e.event_type, b.le""",
     "v5": """select ts, concat('ns-', cast(user_id % 5 as varchar)) as namespace, event_type as app, concat('pod-', cast(user_id as varchar)) as pod,
        concat('c', cast(user_id % 3 as varchar)) as container, concat(upper(event_type), ' user=', cast(user_id as varchar), ' ', props) as line

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import micros
 from tidemark.operators import tseries as TS
-from tidemark.operators.labels import match_labels
+from tidemark.operators.labels import label, match_labels, series_key
 
 
 def alert_states(evals: DataFrame, series: Sequence[str], active: str, hold: float = 300, at: str = "at") -> DataFrame:
@@ -71,7 +71,7 @@ def _template(df: DataFrame, text: str, value: str) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """A standing rule: ``condition(samples, step)`` gives the true series as (labels..., at, value)."""
+    """A standing rule: ``condition(samples, step)`` gives the true series as (labels..., at, value); ``labels``: those its texts and panels use."""
 
     alert: str
     labels: tuple[str, ...]
@@ -82,81 +82,105 @@ class Rule:
     hold: float = 300
 
 
+#: Labels that rules group by, match on or print; taken out of the label map where they are not columns already.
+LIFTED = ("namespace", "pod", "container", "deployment", "node", "instance", "job", "le", "condition", "status", "mode")
+
+
+def lift_labels(samples: DataFrame, names: Sequence[str] = LIFTED) -> DataFrame:
+    """Samples with the named labels as columns and all further labels of a map in one key ``_series``.
+
+    Together the columns beside metric, ts and value are the full label set of a series.
+    """
+    if "labels" not in samples.columns:
+        return samples
+    missing = [n for n in names if n not in samples.columns]
+    rest = F.map_filter("labels", lambda k, _: ~k.isin(*missing)) if missing else F.col("labels")
+    return samples.withColumns({**{n: label(samples, n) for n in missing}, "_series": series_key(rest)}).drop("labels")
+
+
+def identity(samples: DataFrame, without: Sequence[str] = ()) -> list[str]:
+    """The label columns that name a series."""
+    return [c for c in samples.columns if c not in ("metric", "labels", "ts", "value", *without)]
+
+
 def _metric(samples: DataFrame, name: str, **matchers) -> DataFrame:
     return match_labels(samples.where(F.col("metric") == name), **matchers)
 
 
+def _now(s: DataFrame, step: float, name: str, **matchers) -> DataFrame:
+    return TS.instant_grid(_metric(s, name, **matchers), identity(s), step)
+
+
+def _rate(s: DataFrame, step: float, name: str, **matchers) -> DataFrame:
+    return TS.rate_grid(_metric(s, name, **matchers), identity(s), step, 300)
+
+
+def _sum_by(df: DataFrame, *by: str) -> DataFrame:
+    return df.groupBy(*by, "at").agg(F.sum("value").alias("value"))
+
+
 def _crash_looping(s: DataFrame, step: float) -> DataFrame:
-    grown = TS.increase_grid(_metric(s, "kube_pod_container_status_restarts_total"), ["namespace", "pod", "container"], step, 3600)
+    grown = TS.increase_grid(_metric(s, "kube_pod_container_status_restarts_total"), identity(s), step, 3600)
     return TS.threshold_filter(grown, ">", 3)
 
 
 def _pod_not_ready(s: DataFrame, step: float) -> DataFrame:
-    now = TS.instant_grid(_metric(s, "kube_pod_status_ready", eq={"condition": "false"}), ["namespace", "pod"], step)
-    return TS.threshold_filter(now, "==", 1)
+    return TS.threshold_filter(_now(s, step, "kube_pod_status_ready", eq={"condition": "false"}), "==", 1)
 
 
 def _container_cpu(s: DataFrame, step: float) -> DataFrame:
-    cpu = TS.rate_grid(_metric(s, "container_cpu_usage_seconds_total", ne={"container": ""}), ["namespace", "pod", "container"], step, 300)
-    return TS.threshold_filter(cpu.groupBy("namespace", "pod", "at").agg(F.sum("value").alias("value")), ">", 0.8)
+    cpu = _rate(s, step, "container_cpu_usage_seconds_total", ne={"container": ""})
+    return TS.threshold_filter(_sum_by(cpu, "namespace", "pod"), ">", 0.8)
 
 
 def _container_memory(s: DataFrame, step: float) -> DataFrame:
-    def total(name: str, floor: bool) -> DataFrame:
-        v = TS.instant_grid(_metric(s, name, ne={"container": ""}), ["namespace", "pod", "container"], step)
-        v = v.where("value > 0") if floor else v
-        return v.groupBy("namespace", "pod", "at").agg(F.sum("value").alias("value"))
-
-    used, limit = total("container_memory_usage_bytes", False), total("container_spec_memory_limit_bytes", True)
-    return TS.threshold_filter(TS.vector_div(used, limit, ["namespace", "pod", "at"]), ">", 0.9)
+    used = _now(s, step, "container_memory_usage_bytes", ne={"container": ""})
+    limit = _now(s, step, "container_spec_memory_limit_bytes", ne={"container": ""}).where("value > 0")
+    on = ["namespace", "pod"]
+    return TS.threshold_filter(TS.vector_div(_sum_by(used, *on), _sum_by(limit, *on), [*on, "at"]), ">", 0.9)
 
 
 def _replicas(s: DataFrame, step: float) -> DataFrame:
-    on = ["namespace", "deployment"]
-    want = TS.instant_grid(_metric(s, "kube_deployment_spec_replicas"), on, step)
-    have = TS.instant_grid(_metric(s, "kube_deployment_status_replicas_available"), on, step)
-    return TS.vector_ne(want, have, [*on, "at"])
+    want, have = _now(s, step, "kube_deployment_spec_replicas"), _now(s, step, "kube_deployment_status_replicas_available")
+    return TS.vector_ne(want, have, [*identity(s), "at"])
 
 
 def _error_rate(s: DataFrame, step: float) -> DataFrame:
-    per = TS.rate_grid(_metric(s, "http_requests_total", re={"status": "5.."}), ["namespace", "pod", "status"], step, 300)
-    return TS.threshold_filter(per.groupBy("namespace", "at").agg(F.sum("value").alias("value")), ">", 0.05)
+    per = _rate(s, step, "http_requests_total", re={"status": "5.."})
+    return TS.threshold_filter(_sum_by(per, "namespace"), ">", 0.05)
 
 
 def _response_time(s: DataFrame, step: float) -> DataFrame:
-    grown = TS.rate_grid(_metric(s, "http_request_duration_seconds_bucket"), ["namespace", "pod", "le"], step, 300)
-    p99 = TS.histogram_quantile(grown.withColumnRenamed("value", "c"), 0.99, ["namespace", "pod", "at"])
-    return TS.threshold_filter(p99, ">", 1)
+    grown = _rate(s, step, "http_request_duration_seconds_bucket").withColumnRenamed("value", "c")
+    return TS.threshold_filter(TS.histogram_quantile(grown, 0.99, [*identity(s, ["le"]), "at"]), ">", 1)
 
 
 def _node_cpu(s: DataFrame, step: float) -> DataFrame:
-    idle = TS.rate_grid(_metric(s, "node_cpu_seconds_total", eq={"mode": "idle"}), ["instance", "cpu"], step, 300)
+    idle = _rate(s, step, "node_cpu_seconds_total", eq={"mode": "idle"})
     busy = idle.groupBy("instance", "at").agg((F.lit(100.0) - F.avg("value") * 100).alias("value"))
     return TS.threshold_filter(busy, ">", 80)
 
 
 def _node_memory(s: DataFrame, step: float) -> DataFrame:
-    total = TS.instant_grid(_metric(s, "node_memory_MemTotal_bytes"), ["instance"], step)
-    free = TS.instant_grid(_metric(s, "node_memory_MemAvailable_bytes"), ["instance"], step)
-    return TS.threshold_filter(TS.used_percent(total, free, ["instance", "at"]), ">", 85)
+    total, free = _now(s, step, "node_memory_MemTotal_bytes"), _now(s, step, "node_memory_MemAvailable_bytes")
+    return TS.threshold_filter(TS.used_percent(total, free, [*identity(s), "at"]), ">", 85)
 
 
 def _disk_pressure(s: DataFrame, step: float) -> DataFrame:
-    now = TS.instant_grid(_metric(s, "kube_node_status_condition", eq={"condition": "DiskPressure", "status": "true"}), ["node"], step)
-    return TS.threshold_filter(now, "==", 1)
+    return TS.threshold_filter(_now(s, step, "kube_node_status_condition", eq={"condition": "DiskPressure", "status": "true"}), "==", 1)
 
 
 def _reload_failed(s: DataFrame, step: float) -> DataFrame:
-    return TS.threshold_filter(TS.instant_grid(_metric(s, "prometheus_config_last_reload_successful"), ["instance"], step), "==", 0)
+    return TS.threshold_filter(_now(s, step, "prometheus_config_last_reload_successful"), "==", 0)
 
 
 def _restarts(s: DataFrame, step: float) -> DataFrame:
     started = _metric(s, "process_start_time_seconds", eq={"job": "prometheus"})
-    return TS.threshold_filter(TS.increase_grid(started, ["instance"], step, 900, kind="changes"), ">", 2)
+    return TS.threshold_filter(TS.increase_grid(started, identity(s), step, 900, kind="changes"), ">", 2)
 
 
 def _target_down(s: DataFrame, step: float) -> DataFrame:
-    return TS.threshold_filter(TS.instant_grid(_metric(s, "up", ne={"job": "prometheus"}), ["job", "instance"], step), "==", 0)
+    return TS.threshold_filter(_now(s, step, "up", ne={"job": "prometheus"}), "==", 0)
 
 
 # fixed values: rule names, metric names, limits, severities and texts
@@ -191,7 +215,12 @@ RULES = {
 
 
 def evaluate_rule(rule: Rule, samples: DataFrame, step: float = 30) -> DataFrame:
-    """State per true evaluation of a rule, with its texts: (labels..., at, value, since, state, ...)."""
-    hits = rule.condition(samples, step)
-    states = alert_states(fill_evaluations(hits, rule.labels, step), rule.labels, "active", rule.hold).where("active").drop("active")
+    """State per true evaluation of a rule, with its texts: (labels..., at, value, since, state, ...).
+
+    A series is named by all its labels, promoted or in a ``labels`` map; the labels of an alert are those
+    of the rule's result: all of them, or the ones it groups by.
+    """
+    hits = rule.condition(lift_labels(samples), step)
+    series = [c for c in hits.columns if c not in ("at", "value")]
+    states = alert_states(fill_evaluations(hits, series, step), series, "active", rule.hold).where("active").drop("active")
     return render_alert(states, rule.alert, rule.severity, rule.summary, rule.description)
