@@ -128,11 +128,11 @@ def _(spark, d):
     return out.withColumn("rate", F.round("rate", 9))
 
 
-@query("h4_newest_first", "SELECT ts, line FROM v5 WHERE app = 'purchase'")
+@query("h4_newest_first", "SELECT ts, line FROM v5")
 def _(spark, d):
-    return G.log_view(v5(spark, d), app="purchase", limit=None).select("ts", "line")
+    return G.log_view(v5(spark, d)).select("ts", "line")
 
 
 @query("h6_log_view_limit", "SELECT ts, line FROM v5 ORDER BY ts DESC LIMIT 1000")
 def _(spark, d):
-    return G.log_view(v5(spark, d)).select("ts", "line")
+    return G.log_view(v5(spark, d), limit=1000).select("ts", "line")

@@ -1,9 +1,10 @@
-"""Tail probabilities of the two drift tests as plain column expressions."""
+"""Tail probabilities of the two drift tests."""
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,37 +36,48 @@ def erf(x: Column, terms: int = 400) -> Column:
     return F.when(x > 6, F.lit(1.0)).otherwise(F.least(F.lit(1.0), series))
 
 
-MANY = 2000  # degrees of freedom above which the normal approximation is used
+def upper_gamma(a: float, x: float) -> float:
+    """Regularised upper incomplete gamma function, by its series or its continued fraction, run to convergence."""
+    if x <= 0:
+        return 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1.0 / a
+        n = a
+        while abs(term) > abs(total) * 1e-16:
+            n += 1
+            term *= x / n
+            total += term
+        return max(0.0, 1.0 - front * total)
+    tiny = 1e-300
+    b = x + 1 - a
+    c, d = 1 / tiny, 1 / b
+    h, i, step = d, 0, 0.0
+    while abs(step - 1) > 1e-15:
+        i += 1
+        an = -i * (i - a)
+        b += 2
+        d = an * d + b
+        d = 1 / (d if abs(d) > tiny else tiny)
+        c = b + an / c
+        c = c if abs(c) > tiny else tiny
+        step = d * c
+        h *= step
+    return min(1.0, front * h)
+
+
+def _chi2_tail(statistic: pd.Series, dof: pd.Series) -> pd.Series:
+    def tail(x, k):
+        if pd.isna(x) or pd.isna(k):
+            return None
+        return 1.0 if x <= 0 or k < 1 else upper_gamma(k / 2, x / 2)
+
+    return pd.Series([tail(x, k) for x, k in zip(statistic, dof)], dtype="float64")
 
 
 def chi2_pvalue(statistic: Column, dof: Column) -> Column:
-    """Upper tail of the chi-squared distribution for whole degrees of freedom.
+    """Upper tail of the chi-squared distribution, by one rule for any number of degrees of freedom.
 
-    With y = x/2 the tail is a finite sum of Poisson-like terms. Even degrees start the sum from
-    exp(-y), odd ones from the complementary error function of sqrt(y). Beyond ``MANY`` degrees the
-    cube root of x/dof is normal to more digits than a test needs, and the sum would only get longer.
+    The input has one row per tested column, so a small function over batches of it is in place.
     """
-    x, k = statistic.cast("double"), dof.cast("double")
-    y = x / 2.0
-    odd = dof % 2 == 1
-    start = F.when(odd, F.log(F.lit(2.0 / math.sqrt(math.pi))) + F.log(y) / 2.0).otherwise(F.lit(0.0)) - y
-    shift = F.when(odd, F.lit(0.5)).otherwise(F.lit(0.0))
-    count = F.least(F.when(odd, (k - 1) / 2).otherwise(k / 2), F.lit(MANY / 2)).cast("int")
-
-    def step(acc: Column, i: Column) -> Column:
-        nxt = acc["log_term"] + F.log(y) - F.log(i + shift)
-        return F.struct(nxt.alias("log_term"), (acc["total"] + F.exp(nxt)).alias("total"))
-
-    # the first term is in the start value, so a single term leaves nothing to add
-    more = F.when(count >= 2, F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    summed = F.aggregate(more, F.struct(start.alias("log_term"), F.exp(start).alias("total")), step, lambda acc: acc["total"])
-    total = F.when(count >= 1, summed).otherwise(F.lit(0.0))
-    exact = F.when(odd, 1.0 - erf(F.sqrt(y)) + total).otherwise(total)
-
-    spread = F.lit(2.0) / (9.0 * k)
-    z = (F.pow(x / k, F.lit(1.0 / 3.0)) - (1.0 - spread)) / F.sqrt(spread)
-    half = erf(F.abs(z) / math.sqrt(2.0)) / 2.0
-    normal = F.when(z >= 0, 0.5 - half).otherwise(0.5 + half)
-
-    tail = F.when(dof > MANY, normal).otherwise(exact)
-    return F.when((x <= 0) | (dof < 1), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
+    return F.pandas_udf(_chi2_tail, "double")(statistic.cast("double"), dof.cast("double"))

@@ -61,7 +61,7 @@ def line_filter(df: DataFrame, regex: str, line: str = "line") -> DataFrame:
     return df.where(F.col(line).rlike(regex))
 
 
-def log_view(df: DataFrame, search: str = "", namespace: str = ".+", app: str = ".+", limit: int | None = 1000,
+def log_view(df: DataFrame, search: str = "", namespace: str = ".+", app: str = ".+", limit: int | None = None,
              ties: Sequence[str] = ()) -> DataFrame:
     """Newest first, case-insensitive search; empty search matches everything. Labels filter before text."""
     picked = match_labels(df, re={"namespace": namespace, "app": app})

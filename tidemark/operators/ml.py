@@ -16,8 +16,6 @@ from tidemark.functions.scalars import hash_int
 from tidemark.operators import clean, evaluation
 from tidemark.plans.ordered import block_count, row_ranks
 
-MAX_CATEGORIES = 1000
-
 
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean and population standard deviation per column, as a savable table of one row per column."""
@@ -44,12 +42,13 @@ def standard_scale(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None
     return apply_scaler(df, fit_scaler(df if fit_on is None else fit_on, cols), cols) if cols else df
 
 
-def fit_one_hot(df: DataFrame, cols: Sequence[str], limit: int = MAX_CATEGORIES) -> dict[str, list]:
-    """Sorted distinct values per column; refuses a column with more than ``limit`` of them."""
+def fit_one_hot(df: DataFrame, cols: Sequence[str], limit: int | None = None) -> dict[str, list]:
+    """Sorted distinct values per column, each a column to be; with ``limit`` a column with more is refused."""
     found: dict[str, list] = {}
     for c in cols:
-        values = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(limit + 1).collect()]
-        if len(values) > limit:
+        distinct = df.select(c).where(F.col(c).isNotNull()).distinct()
+        values = [r[0] for r in (distinct if limit is None else distinct.limit(limit + 1)).collect()]
+        if limit is not None and len(values) > limit:
             raise ValueError(f"{c} has more than {limit} categories; use one_hot_vector")
         found[c] = sorted(values)
     return found

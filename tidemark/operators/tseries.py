@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import from_micros, micros, whole, whole_up
 
-MAX_FANOUT = 10_000
-
 
 def instant(df: DataFrame, series: Sequence[str], at: str, lookback: float = 300, ts: str = "ts", value: str = "value") -> DataFrame:
     """Latest sample per series at or before ``at``, at most ``lookback`` seconds old."""
@@ -124,24 +122,27 @@ def _last_tick(df: DataFrame, ts: str, tick: int, end: str | None) -> Column:
     return whole(ceiling, tick)
 
 
-def eval_grid(df: DataFrame, step: float, lookback: float, ts: str = "ts", name: str = "at",
+def eval_grid(df: DataFrame, series: Sequence[str], step: float, lookback: float, ts: str = "ts", value: str = "value",
               start: str | None = None, end: str | None = None) -> DataFrame:
-    """One row per sample and step-aligned evaluation time that can see it (``at - lookback <= ts <= at``).
+    """Per series and step-aligned evaluation time: ``n, total, min, max`` of the samples it can see.
 
-    The fan-out per sample is at most lookback/step + 1, so no range join is needed; larger ratios are
-    refused. Without ``end`` evaluation stops at the last sample. For latest values and counter growth
-    use :func:`instant_grid` and :func:`increase_grid`, which do not multiply the samples.
+    An evaluation sees ``at - lookback <= ts <= at``; those that see none have no row. Samples that the same
+    evaluations see combine first (map-side), and only these sums are spread over the evaluations, so no
+    ratio of look-back to step is too large and no range join is needed. Without ``end`` evaluation stops
+    at the last sample.
     """
-    if lookback / step + 1 > MAX_FANOUT:
-        raise ValueError(f"look-back of {lookback / step:.0f} steps is above {MAX_FANOUT}")
     tick, reach = int(step * 1e6), int(lookback * 1e6)
     us = micros(F.col(ts))
-    lo = whole_up(us, tick)
-    hi = F.least(whole(us + reach, tick), _last_tick(df, ts, tick, end))
+    first, last = whole_up(us, tick), whole(us + reach, tick)
+    parts = df.groupBy(*series, first.alias("_lo"), last.alias("_hi")).agg(
+        F.count("*").alias("n"), F.sum(value).alias("total"), F.min(value).alias("min"), F.max(value).alias("max")
+    )
+    lo, hi = F.col("_lo"), F.least("_hi", _last_tick(df, ts, tick, end))
     if start:
         lo = F.greatest(lo, whole_up(micros(F.lit(start).cast("timestamp_ntz")), tick))
-    spots = F.when(lo <= hi, F.sequence(lo, hi))
-    return df.withColumn("_at", F.explode(spots)).withColumn(name, from_micros(F.col("_at") * tick)).drop("_at")
+    spread = parts.select(*series, F.explode(F.when(lo <= hi, F.sequence(lo, hi))).alias("_at"), "n", "total", "min", "max")
+    sums = spread.groupBy(*series, "_at").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("min").alias("min"), F.max("max").alias("max"))
+    return sums.select(*series, from_micros(F.col("_at") * tick).alias("at"), "n", "total", "min", "max")
 
 
 def instant_grid(df: DataFrame, series: Sequence[str], step: float, lookback: float = 300, ts: str = "ts",
@@ -216,11 +217,12 @@ def histogram_quantile(buckets: DataFrame, q: float, series: Sequence[str], le:
     """Quantile from cumulative buckets by linear interpolation in the first bucket reaching ``q`` of the total.
 
     The lower bound of the first bucket is 0; a quantile in the infinite bucket gives the last finite
-    bound. Buckets are first summed per bound, so a group holds one entry per distinct bound.
+    bound, and null without an infinite bucket, as the total is then unknown. Buckets are first summed
+    per bound, so a group holds one entry per distinct bound.
     """
     once = buckets.groupBy(*series, F.col(le).cast("double").alias("_le")).agg(F.sum(F.col(count).cast("double")).alias("_c"))
     packed = once.groupBy(*series).agg(F.array_sort(F.collect_list(F.struct("_le", "_c"))).alias("_b"))
-    total = F.element_at("_b", -1)["_c"]
+    total = F.when(F.element_at("_b", -1)["_le"] == float("inf"), F.element_at("_b", -1)["_c"])
     rank = F.lit(float(q)) * total
     at = F.array_position(F.transform("_b", lambda b: b["_c"] >= rank), True).cast("int")
     first = F.when(at > 1, F.try_element_at("_b", F.greatest(at - 1, F.lit(1))))
@@ -228,7 +230,7 @@ def histogram_quantile(buckets: DataFrame, q: float, series: Sequence[str], le:
     low, under = F.coalesce(first["_le"], F.lit(0.0)), F.coalesce(first["_c"], F.lit(0.0))
     inside = low + (hit["_le"] - low) * F.coalesce(F.try_divide(rank - under, hit["_c"] - under), F.lit(0.0))
     value = F.when(hit["_le"] == float("inf"), first["_le"]).otherwise(inside)
-    return packed.where(total > 0).select(*series, value.alias("value"))
+    return packed.where(F.coalesce(total, F.lit(1.0)) > 0).select(*series, F.when(total.isNotNull(), value).alias("value"))
 
 
 def threshold_filter(df: DataFrame, op: str, limit: float, value: str = "value") -> DataFrame:

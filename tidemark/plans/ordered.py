@@ -1,7 +1,7 @@
 """Global order statistics without a single-task window.
 
 A window over ``ORDER BY v`` with no partitioning puts all rows into one task. Here the value range
-is first cut into blocks at approximate quantiles. The cut points are at most one number per shuffle
+is first cut into blocks at approximate quantiles. The cut points are a few numbers per shuffle
 partition and are fixed before the query is planned, so every branch of a query, and every retry of
 a lost task, sees the same blocks. Sums run inside a block; a table with one row per block carries
 the offsets. The cut points only steer balance: results are exact for any choice of them.
@@ -15,12 +15,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BLOCKS = 2000
+#: Blocks per shuffle partition: blocks are hashed to partitions, and several per partition even them out.
+PER_PARTITION = 3
 
 
 def block_count(df: DataFrame) -> int:
-    """One block per shuffle partition, within reason."""
-    return max(1, min(MAX_BLOCKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    """A few blocks per shuffle partition."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return PER_PARTITION * partitions if partitions > 1 else 1
 
 
 def block_splits(df: DataFrame, cols: Sequence[str], blocks: int | None = None) -> dict[str, list[float]]:
@@ -70,7 +72,7 @@ def running_sums(
     """Add ``<m>_upto`` (inclusive running sum) and ``<m>_total`` for each measure.
 
     ``block`` must be non-decreasing in the order within a group. The offset table has one row per
-    (group, block), so broadcasting it is bounded by block count times group count. With ``head`` set,
+    (group, block); the rows are hashed by the same columns already, so meeting it moves only that table. With ``head`` set,
     ``_next_head`` holds the smallest value of that column in the following block.
     """
     groups = list(groups)
@@ -88,7 +90,7 @@ def running_sums(
 
     inside = Window.partitionBy(*groups, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumns({f"_in_{m}": F.sum(m).over(inside) for m in measures})
-    joined = local.join(F.broadcast(offsets), [*groups, block])
+    joined = local.join(offsets, [*groups, block])
     done = joined.withColumns({f"{m}_upto": F.col(f"_in_{m}") + F.col(f"_before_{m}") for m in measures})
     return done.drop(*[f"_in_{m}" for m in measures], *[f"_before_{m}" for m in measures])
 
