@@ -250,8 +250,109 @@ def test_describe_treats_nan_as_missing_and_keeps_infinity(spark):
 
 def test_order_statistics_of_empty_and_missing_columns(spark):
     empty = spark.createDataFrame([], "x double, y long")
-    assert drift.drift_report(empty, empty).collect() == []
+    assert [(r["statistic"], r["drifted"]) for r in drift.drift_report(empty, empty).collect()] == [(None, False)] * 2
     some = spark.createDataFrame([(None, 3), (None, None), (None, 1)], "x double, y long")
     assert [(r["row_id"], r["y"]) for r in clean.add_row_id(some, "y").collect()] == [(0, None), (1, 1), (2, 3)]
     scored = spark.createDataFrame([(1, None), (0, 0.5), (1, 0.5), (1, 0.9)], "y int, s double")
     assert evaluation.roc_auc(scored, "y", "s").first()[0] == pytest.approx(0.75)
+
+
+def test_no_infinite_bucket_no_quantile(spark):
+    rows = spark.createDataFrame([("a", 0.5, 5.0), ("a", 1.0, 10.0)], "s string, le double, c double")
+    assert tseries.histogram_quantile(rows, 0.9, ["s"]).first()["value"] is None
+
+
+@pytest.mark.parametrize("as_map", [False, True])
+def test_counters_of_two_methods_are_two_series(spark, as_map):
+    """Neither grows by 0.05 a second, and the jumps between them are no restarts."""
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(seconds=15 * i + 7 * m), 1000.0 * m + i // 20, method) for i in range(80) for m, method in enumerate(("get", "put"))]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, value double, method string").withColumn("metric", F.lit("http_requests_total"))
+    if as_map:
+        pairs = [F.lit("method"), F.col("method"), F.lit("namespace"), F.lit("n"), F.lit("status"), F.lit("500")]
+        df = df.select("metric", "ts", "value", F.create_map(*pairs).alias("labels"))
+    else:
+        df = df.withColumns({"namespace": F.lit("n"), "status": F.lit("500")})
+    assert alerts.evaluate_rule(alerts.RULES["HighErrorRate"], df).count() == 0
+
+
+def test_a_column_that_vanishes_has_drifted(spark):
+    ref = spark.createDataFrame([(float(i), "a", 1.0, None) for i in range(50)], "x double, t string, y double, z double")
+    cur = spark.createDataFrame([(None, None, 1.0, None) for _ in range(50)], "x double, t string, y double, z double")
+    rows = {r["column"]: r for r in drift.drift_report(ref, cur).collect()}
+    assert {c: r["drifted"] for c, r in rows.items()} == {"x": True, "t": True, "y": False, "z": False}
+    assert rows["x"]["statistic"] is None and rows["x"]["drift_share"] == 0.5
+
+
+def test_profile_of_large_offsets_and_nan(spark):
+    from tidemark.operators import stats
+
+    rows = [(1e9, 0, True), (1e9 + 1, 1, None), (float("nan"), 0, False)]
+    df = spark.createDataFrame(rows, "x double, part int, b boolean")
+    whole = {r["column"]: r for r in stats.profile_summary(stats.profile(df, sketches=False)).collect()}
+    parts = {r["column"]: r for r in stats.profile_summary(stats.merge_profiles(stats.profile(df, ["x"], by=["part"], sketches=False))).collect()}
+    for r in (whole["x"], parts["x"]):
+        assert r["std"] == pytest.approx(0.5) and r["nulls"] == 1 and r["mean"] == 1e9 + 0.5
+    assert whole["b"]["nulls"] == 1
+    assert {r["column"]: r["nulls"] for r in stats.null_counts(df).collect()} == {"x": 1, "b": 1}
+
+
+def test_classes_outside_the_list_stay(spark):
+    from tidemark.operators import evaluation
+
+    df = spark.createDataFrame([(0, 2), (2, 2), (0, 0)], "y int, pred int")
+    rows = {r["actual"]: r for r in evaluation.confusion_matrix(df, "y", "pred", [0, 1]).collect()}
+    assert rows[0]["pred_2"] == 1 and rows[2]["pred_2"] == 1 and rows[1]["pred_1"] == 0
+
+
+def test_unlisted_severities_are_counted(spark):
+    from tidemark.operators import reports
+
+    df = spark.createDataFrame([("i", "LOW", 1), ("i", "NEW", 2), ("i", None, 4)], "image string, severity string, n long")
+    row = reports.to_matrix(df, "image", "severity", "n", ["LOW"]).first()
+    assert (row["LOW"], row["other"]) == (1, 6)
+
+
+@pytest.mark.parametrize("x,k,want", [(3.841458820694124, 1, 0.05), (18.307038053275146, 10, 0.05), (0.0, 5, 1.0)])
+def test_chi_squared_tail_at_any_size(x, k, want):
+    from tidemark.functions.special import upper_gamma
+
+    assert upper_gamma(k / 2, x / 2) == pytest.approx(want, rel=1e-12)
+
+
+@pytest.mark.parametrize("k", [2_001, 50_000, 1_000_000])
+def test_chi_squared_tail_of_many_degrees_is_near_its_normal_limit(k):
+    from tidemark.functions.special import upper_gamma
+
+    for z in (-2.0, 0.0, 1.5):
+        x = k * (1 - 2 / (9 * k) + z * math.sqrt(2 / (9 * k))) ** 3
+        assert upper_gamma(k / 2, x / 2) == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), rel=1e-3)
+
+
+def test_missing_run_ids_are_made(spark):
+    from tidemark.operators import lineage
+
+    t = datetime(2024, 1, 1)
+    jobs = spark.createDataFrame([(None, "a", t, t, ["i"], ["o"]), (None, "b", t, t, ["i"], ["o"]), ("r", "c", t, t, ["i"], ["o"])],
+                                 "run_id string, job string, started timestamp_ntz, ended timestamp_ntz, inputs array<string>, outputs array<string>")
+    by_job = {}
+    for r in lineage.lineage_events(jobs).collect():
+        by_job.setdefault(r["job"]["name"], set()).add(r["run"]["runId"])
+    assert all(len(v) == 1 and None not in v for v in by_job.values())
+    assert len(set.union(*by_job.values())) == 3 and by_job["c"] == {"r"}
+
+
+def test_a_cycle_forgets_what_is_gone(spark, tmp_path):
+    from tidemark.streaming import runs
+
+    out = str(tmp_path / "cycle")
+    assert runs.publish_cycle(spark.range(3), out) == 0
+    assert runs.publish_cycle(spark.range(1), out) == 1
+    assert runs.read_latest(spark, out).count() == 1
+
+
+def test_grids_take_any_ratio(spark):
+    rows = spark.createDataFrame([("a", datetime(2024, 1, 1), 1.0), ("a", datetime(2024, 1, 1, 10), 2.0)], "s string, ts timestamp_ntz, value double")
+    grid = tseries.eval_grid(rows, ["s"], 1, 36_000)
+    last = grid.orderBy(F.col("at").desc()).first()
+    assert (grid.count(), last["n"], last["total"]) == (36_001, 2, 3.0)

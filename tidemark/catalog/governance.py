@@ -45,10 +45,10 @@ def _(spark, d):
 @query(
     "a17_seed_zone",
     """SELECT 'features' AS zone, 'v1' AS version, 'first' AS message, count(*) AS n_rows,
-       sum(('0x' || substr(md5(concat('["', o_orderkey::VARCHAR, '","', o_orderstatus, '"]')), 1, 8))::BIGINT)::BIGINT AS digest FROM orders""",
+       sum(('0x' || substr(md5(to_json([o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, o_totalprice::VARCHAR, o_orderdate::VARCHAR, o_orderpriority])::VARCHAR), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS digest FROM orders""",
 )
 def _(spark, d):
-    return SRC.seed_zone(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), scratch_dir(spark, "zones"), "features", "v1", "first")
+    return SRC.seed_zone(table(spark, d, "orders"), scratch_dir(spark, "zones"), "features", "v1", "first")
 
 
 PIT_SQL = """f AS (SELECT user_id, ts AS fts, value AS feature_1, length(props)::DOUBLE AS feature_3 FROM events WHERE event_type = 'purchase'),

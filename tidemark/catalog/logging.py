@@ -68,6 +68,14 @@ def _(spark, d):
     return G.path_labels(table(spark, d, "customer").select("c_custkey", path.alias("path")), "path").drop("path")
 
 
+for _period in ("hour", "week", "month"):
+
+    @query(f"a16_partition_by_{_period}", "SELECT ts, namespace, line FROM v5 WHERE ts >= timestamp '2024-01-10 06:00:00' AND ts < timestamp '2024-01-12 06:00:00'")
+    def _(spark, d, period=_period):
+        path = partition_by_period(v5(spark, d), scratch_dir(spark, "periods"), period=period)
+        return read_period(spark, path, "ts", "2024-01-10 06:00:00", "2024-01-12 06:00:00", period=period).select("ts", "namespace", "line")
+
+
 @query("a16_partition_by_period", "SELECT ts, namespace, line FROM v5 WHERE ts >= timestamp '2024-01-10 06:00:00' AND ts < timestamp '2024-01-12 06:00:00'")
 def _(spark, d):
     path = partition_by_period(v5(spark, d), scratch_dir(spark, "periods"))

@@ -162,11 +162,11 @@ def _(spark, d):
 @query(
     "d23_to_matrix",
     """SELECT image, count(*) FILTER (WHERE severity = 'CRITICAL') AS "CRITICAL", count(*) FILTER (WHERE severity = 'HIGH') AS "HIGH",
-       count(*) FILTER (WHERE severity = 'MEDIUM') AS "MEDIUM", count(*) FILTER (WHERE severity = 'LOW') AS "LOW" FROM v6 GROUP BY 1""",
+       count(*) FILTER (WHERE severity = 'MEDIUM') AS "MEDIUM", count(*) FILTER (WHERE severity = 'LOW') AS "LOW", count(*) FILTER (WHERE coalesce(severity, 'UNKNOWN') = 'UNKNOWN') AS "UNKNOWN", 0::BIGINT AS other FROM v6 GROUP BY 1""",
 )
 def _(spark, d):
     counted = flat(spark, d).groupBy("image", "severity").agg(F.count("*").alias("n"))
-    return R.to_matrix(counted, "image", "severity", "n", R.SEVERITIES)
+    return R.to_matrix(counted, "image", "severity", "n", [*R.SEVERITIES, "UNKNOWN"])
 
 
 @query("d24_row_count_footer", f"WITH {F6} SELECT count(*) AS n_rows FROM (SELECT DISTINCT image, severity, package FROM f6)")

@@ -201,11 +201,19 @@ def _(spark, d):
     return spark.read.parquet(out)
 
 
-@query("l12_periodic_cycle", "SELECT image, coalesce(severity, 'UNKNOWN') AS severity, package, count(*) AS n FROM v6 GROUP BY 1, 2, 3")
+@query(
+    "l12_periodic_cycle",
+    """SELECT image, coalesce(severity, 'UNKNOWN') AS severity, package, count(*) AS n FROM v6
+       WHERE substr(image, 5)::INT % 3 <> 0 OR severity = 'CRITICAL' GROUP BY 1, 2, 3""",
+)
 def _(spark, d):
-    out = scratch_dir(spark, "cycle")
-    stream = as_stream(spark, v6reports(spark, d), "reports")
-    R.replace_table(reports.vuln_counts(reports.findings(stream)), out, out + "-checkpoint")
+    """Two cycles: before the second, reports of every third image are deleted, those with a critical finding aside."""
+    out, folder = scratch_dir(spark, "cycle"), scratch_dir(spark, "reports")
+    first = v6reports(spark, d)
+    stays = (F.expr("substring(ArtifactName, 5)").cast("int") % 3 != 0) | F.expr("coalesce(Results[0].Vulnerabilities[0].Severity = 'CRITICAL', false)")
+    for now in (first, first.where(stays)):
+        now.write.mode("overwrite").parquet(folder)
+        R.publish_cycle(reports.vuln_counts(reports.findings(spark.read.parquet(folder))), out)
     return R.read_latest(spark, out)
 
 

@@ -72,5 +72,6 @@ def hash_int(*parts: Column) -> Column:
 
 
 def row_digest(cols: list[Column]) -> Column:
-    """md5-derived integer of one row; nulls and empty text stay apart."""
-    return hash_int(F.to_json(F.array(*[c.cast("string") for c in cols])))
+    """60-bit integer from the md5 of one row; nulls and empty text stay apart."""
+    text = F.to_json(F.array(*[c.cast("string") for c in cols]))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")

@@ -72,13 +72,25 @@ def drift_distances(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> Data
         "n_ref_total",
         "n_cur_total",
     )
-    out = steps.groupBy("column").agg(
+    found = steps.groupBy("column").agg(
         F.max("gap").alias("statistic"),
         F.coalesce(F.sum(F.col("gap") * F.col("width")), F.lit(0.0)).alias("wasserstein"),
         F.max("n_ref_total").alias("n_ref"),
         F.max("n_cur_total").alias("n_cur"),
     )
-    return out.withColumn("p_value", ks_pvalue(F.col("statistic"), F.col("n_ref"), F.col("n_cur")))
+    out = _every_column(ref, cols).join(found, "column", "left")
+    p = F.when(_vanished("n_ref", "n_cur"), 0.0).otherwise(ks_pvalue(F.col("statistic"), F.col("n_ref"), F.col("n_cur")))
+    return out.withColumn("p_value", F.when(F.col("n_ref").isNotNull(), p))
+
+
+def _every_column(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row per tested column, so that one without any value keeps its row."""
+    return df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+
+
+def _vanished(ref: str, cur: str):
+    """Values on one side only: there is no statistic, and nothing left to compare, so the column has drifted."""
+    return (F.coalesce(F.col(ref), F.lit(0)) > 0) != (F.coalesce(F.col(cur), F.lit(0)) > 0)
 
 
 def drift_ks(ref: DataFrame, cur: DataFrame, cols: Sequence[str], alpha: float = 0.05) -> DataFrame:
@@ -119,11 +131,16 @@ def drift_chi2(ref: DataFrame, cur: DataFrame, cols: Sequence[str], alpha: float
     stat = (
         counts.join(F.broadcast(totals), "column")
         .groupBy("column")
-        .agg(F.sum(part("n_ref", "t_ref") + part("n_cur", "t_cur")).alias("statistic"), (F.count("*") - 1).alias("dof"))
+        .agg(
+            F.sum(part("n_ref", "t_ref") + part("n_cur", "t_cur")).alias("statistic"), (F.count("*") - 1).alias("dof"),
+            F.max("t_ref").alias("t_ref"), F.max("t_cur").alias("t_cur"),
+        )
     )
-    p = chi2_pvalue(F.col("statistic"), F.col("dof"))
-    return stat.withColumn("p_value", p).select(
-        "column", "statistic", "dof", "p_value", (F.col("p_value") < alpha).alias("drifted")
+    gone = _vanished("t_ref", "t_cur")
+    every = _every_column(ref, cols).join(stat, "column", "left").withColumn("statistic", F.when(~gone, F.col("statistic")))
+    p = F.when(gone, F.lit(0.0)).otherwise(chi2_pvalue(F.col("statistic"), F.col("dof")))
+    return every.withColumn("p_value", p).select(
+        "column", "statistic", "dof", "p_value", F.coalesce(F.col("p_value") < alpha, F.lit(False)).alias("drifted")
     )
 
 
@@ -165,10 +182,10 @@ def drift_status(summaries: DataFrame, threshold: float = 0.1) -> DataFrame:
     drifted = share > threshold
     status = F.when(~F.col("has_report"), "no_report").when(drifted, "drift_detected").otherwise("healthy")
     head = F.format_string(
-        "%.1f%% of features have drifted beyond the %.0f%% threshold. ", share * 100, F.lit(threshold * 100)
+        "Drifted features: %.1f%% (limit %.0f%%). ", share * 100, F.lit(threshold * 100)
     )
-    tail = F.when(drifted, "Retraining is recommended").otherwise("No retraining needed yet")
-    text = F.when(~F.col("has_report"), "No drift report found yet.").otherwise(F.concat(head, tail))
+    tail = F.when(drifted, "Train again.").otherwise("The model can stay.")
+    text = F.when(~F.col("has_report"), "There is no report to judge by.").otherwise(F.concat(head, tail))
     return summaries.withColumns({"status": status, "explanation": text})
 
 

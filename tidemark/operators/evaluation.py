@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +53,12 @@ def classes(df: DataFrame, y: str) -> DataFrame:
     return df.select(F.col(y).alias("class")).distinct().orderBy("class")
 
 
-def confusion_matrix(df: DataFrame, y: str, pred: str, labels: list) -> DataFrame:
-    """Rows actual, one column ``pred_<label>`` per class; every given class appears on both sides."""
+def confusion_matrix(df: DataFrame, y: str, pred: str, labels: Sequence = ()) -> DataFrame:
+    """Rows actual, one column ``pred_<label>`` per class; every class of either side, and every given one, is on both."""
     spark = df.sparkSession
     counts = confusion_counts(df, y, pred)
+    pairs = counts.select(F.explode(F.array("actual", "predicted")).alias("c")).where("c IS NOT NULL").distinct()
+    labels = sorted({*labels, *(r["c"] for r in pairs.collect())})  # one value per class
     frame = spark.createDataFrame([(v,) for v in labels], counts.select("actual").schema)
     wide = counts.groupBy("actual").agg(
         *[F.sum(F.when(F.col("predicted") == v, F.col("n")).otherwise(0)).alias(f"pred_{v}") for v in labels]

@@ -30,7 +30,7 @@ def lineage_events(jobs: DataFrame, namespace: str = "default") -> DataFrame:
     metrics = F.col("metrics") if "metrics" in jobs.columns else F.lit(None).cast("map<string,double>")
     n_rows = F.col("n_rows") if "n_rows" in jobs.columns else F.lit(None).cast("bigint")
     facets = F.when(metrics.isNotNull(), F.struct(n_rows.cast("bigint").alias("rowCount"), metrics.alias("customMetrics")))
-    run = F.col("run_id") if "run_id" in jobs.columns else F.uuid()
+    run = F.coalesce(F.col("run_id"), F.uuid()) if "run_id" in jobs.columns else F.uuid()
 
     def event(kind: str, when: str, with_facets: bool) -> Column:
         return F.struct(

@@ -136,9 +136,12 @@ def reduce(df: DataFrame, value: str, ts: str, by: Sequence[str] = ()) -> DataFr
 
 
 def to_matrix(df: DataFrame, row: str, column: str, value: str, values: Sequence[str]) -> DataFrame:
-    """One column per listed value, zero where a pair is absent; the values are given, so no extra pass."""
+    """One column per listed value, zero where a pair is absent, and ``other`` for all further values and null;
+    the values are given, so no extra pass."""
+    unlisted = ~F.coalesce(F.col(column).isin(*values), F.lit(False))
     return df.groupBy(row).agg(
-        *[F.sum(F.when(F.col(column) == v, F.col(value)).otherwise(0)).alias(v) for v in values]
+        *[F.sum(F.when(F.col(column) == v, F.col(value)).otherwise(0)).alias(v) for v in values],
+        F.sum(F.when(unlisted, F.col(value)).otherwise(0)).alias("other"),
     )
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.clean import numeric_columns
+from tidemark.operators.clean import _missing, numeric_columns
 from tidemark.plans.ordered import exact_quantiles
 
 
@@ -60,8 +61,8 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = Tru
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    """Nulls per column, columns without nulls left out; one pass over the data."""
-    return _long(df, {c: {"nulls": F.count_if(F.col(c).isNull())} for c in df.columns}).where("nulls > 0")
+    """Missing values (null or NaN) per column, columns without any left out; one pass over the data."""
+    return _long(df, {c: {"nulls": F.count_if(_missing(df, c))} for c in df.columns}).where("nulls > 0")
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -86,24 +87,30 @@ def n_unique(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFr
 
 
 def profile(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = (), bins: int = 10,
-            limits: tuple[float, float] = (0.0, 500.0), sketches: bool = True) -> DataFrame:
+            limits: dict[str, tuple[float, float]] | None = None, sketches: bool = True) -> DataFrame:
     """Mergeable profile rows, one per (``by``..., column).
 
-    Exact part: count, nulls, min, max, sum, sum of squares, fixed-width histogram. Sketch part: a
-    distinct-count sketch and, for numbers, a quantile sketch. Everything is one aggregation with
-    map-side partials over (column, value) pairs, and every field can be merged later.
+    Exact part: count, nulls (NaN too), min, max, sum, centred sum of squares, fixed-width histogram.
+    Sketch part: a distinct-count sketch and, for numbers, a quantile sketch. Everything is one aggregation
+    with map-side partials over (column, value) pairs, and every field can be merged later. By default all
+    columns of numbers, text, booleans, dates and times are profiled. Histogram ranges are those given in
+    ``limits``, else the exact range of the column, found in a pass of its own; histograms can be merged if
+    they were made with the same limits.
     """
-    cols = list(cols or [f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.StringType))])
+    kinds = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    cols = list(cols or [f.name for f in df.schema if isinstance(f.dataType, kinds)])
     cols = [c for c in cols if c not in by]
     numeric = set(numeric_columns(df))
-    lo, hi = limits
+    limits = _ranges(df, [c for c in cols if c in numeric], limits)
     structs = [
         F.struct(
             F.lit(c).alias("column"),
             F.lit(df.schema[c].dataType.simpleString()).alias("type"),
-            (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("number"),
-            F.col(c).isNull().alias("empty"),
-            *([F.col(c).cast("string").alias("text")] if sketches else []),
+            (F.when(~_missing(df, c), F.col(c)).cast("double") if c in numeric else F.lit(None).cast("double")).alias("number"),
+            _missing(df, c).alias("empty"),
+            F.lit(limits.get(c, (0.0, 1.0))[0]).alias("lo"),
+            F.lit(limits.get(c, (0.0, 1.0))[1]).alias("hi"),
+            *([F.when(~_missing(df, c), F.col(c)).cast("string").alias("text")] if sketches else []),
         )
         for c in cols
     ]
@@ -114,21 +121,40 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str]
         F.min("number").alias("min"),
         F.max("number").alias("max"),
         F.sum("number").alias("total"),
-        F.sum(F.col("number") * F.col("number")).alias("total_sq"),
+        (F.var_pop("number") * F.count("number")).alias("spread"),
     ]
     # one counter per bin, so the histogram never holds rows
-    slot = F.least(F.greatest(F.width_bucket("number", F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(0)), F.lit(bins + 1))
+    slot = F.least(F.greatest(F.width_bucket("number", "lo", "hi", F.lit(bins)), F.lit(0)), F.lit(bins + 1))
     aggs.append(F.array(*[F.count_if(slot == i) for i in range(bins + 2)]).alias("histogram"))
     if sketches:
         aggs += [F.hll_sketch_agg("text").alias("distinct_sketch"), F.kll_sketch_agg_double("number").alias("quantile_sketch")]
     return long.groupBy(*by, "column", "type").agg(*aggs)
 
 
+def _ranges(df: DataFrame, cols: Sequence[str], given: dict[str, tuple[float, float]] | None) -> dict[str, tuple[float, float]]:
+    """Histogram range per column: the given one, or from the smallest value to just above the largest."""
+    found = dict(given or {})
+    open_ = [c for c in cols if c not in found]
+    if open_:
+        inner = {c: F.when(~_missing(df, c), F.col(c)).cast("double") for c in open_}
+        row = df.agg(*[f(inner[c]).alias(f"{n}{i}") for i, c in enumerate(open_) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        for i, c in enumerate(open_):
+            lo, hi = row[f"lo{i}"], row[f"hi{i}"]
+            if lo is not None and math.isfinite(lo) and math.isfinite(hi):
+                found[c] = (lo, math.nextafter(max(hi, lo), math.inf))
+    return found
+
+
 def merge_profiles(profiles: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Profiles of parts to the profile of the whole."""
+    """Profiles of parts to the profile of the whole; spreads are centred anew on the common mean."""
+    whole = Window.partitionBy(*by, "column", "type")
+    filled = F.col("rows") - F.col("nulls")
+    mean = F.try_divide(F.sum("total").over(whole), F.sum(filled).over(whole))
+    shift = F.try_divide(F.col("total"), filled) - mean
+    profiles = profiles.withColumn("spread", F.col("spread") + F.coalesce(filled * shift * shift, F.lit(0.0)))
     aggs = [F.sum(c).alias(c) for c in ("rows", "nulls")]
     aggs += [F.min("min").alias("min"), F.max("max").alias("max")]
-    aggs += [F.sum("total").alias("total"), F.sum("total_sq").alias("total_sq")]
+    aggs += [F.sum("total").alias("total"), F.sum("spread").alias("spread")]
     if "distinct_sketch" in profiles.columns:
         aggs += [
             F.hll_union_agg("distinct_sketch").alias("distinct_sketch"),
@@ -141,9 +167,8 @@ def profile_summary(profiles: DataFrame) -> DataFrame:
     """Readable numbers from profile rows: mean, population std, distinct estimate, quartiles."""
     filled = F.col("rows") - F.col("nulls")
     mean = F.try_divide(F.col("total"), filled)
-    spread = F.try_divide(F.col("total_sq"), filled) - mean * mean
-    keep = [c for c in profiles.columns if c not in ("distinct_sketch", "quantile_sketch", "total", "total_sq", "histogram")]
-    out = [*[F.col(c) for c in keep], mean.alias("mean"), F.sqrt(F.when(spread < 0, 0.0).otherwise(spread)).alias("std")]
+    keep = [c for c in profiles.columns if c not in ("distinct_sketch", "quantile_sketch", "total", "spread", "histogram")]
+    out = [*[F.col(c) for c in keep], mean.alias("mean"), F.sqrt(F.try_divide("spread", filled)).alias("std")]
     if "distinct_sketch" in profiles.columns:
         has = F.col("total").isNotNull()
         out += [

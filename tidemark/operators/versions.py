@@ -11,10 +11,11 @@ from tidemark.functions.scalars import row_digest
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-insensitive content fingerprint: row count and the sum of md5-derived row integers."""
+    """Order-insensitive content fingerprint: row count and, as text, the sum of md5-derived row integers,
+    which holds for more rows than a table can have."""
     return df.agg(
         F.count("*").alias("n_rows"),
-        F.coalesce(F.sum(row_digest([F.col(c) for c in df.columns])), F.lit(0)).alias("digest"),
+        F.coalesce(F.sum(row_digest([F.col(c) for c in df.columns]).cast("decimal(28,0)")), F.lit(0)).cast("string").alias("digest"),
     )
 
 

@@ -25,5 +25,5 @@ def scan_panels(good_reports: DataFrame) -> dict[str, DataFrame]:
         "details": reports.vuln_details(found),
         "last_scan": reports.last_scan(good_reports),
         "images": reports.images_scanned(good_reports),
-        "matrix": reports.to_matrix(counts, "image", "severity", "n", reports.SEVERITIES),
+        "matrix": reports.to_matrix(counts, "image", "severity", "n", [*reports.SEVERITIES, "UNKNOWN"]),
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,12 +62,16 @@ def partition_by_period(df: DataFrame, path: str, ts: str = "ts", period: str =
     return write_table(dated.hint("rebalance", F.col("dt")), path, partition_by=["dt"])
 
 
-def read_period(spark: SparkSession, path: str, ts: str, start: str, end: str, fmt: str = "parquet") -> DataFrame:
-    """Rows with ``start <= ts < end``. The partition predicate on ``dt`` is added here, because the
-    optimizer does not derive it from the timestamp predicate."""
+def read_period(spark: SparkSession, path: str, ts: str, start: str, end: str, fmt: str = "parquet", period: str = "day") -> DataFrame:
+    """Rows with ``start <= ts < end`` of a table partitioned by the start of each ``period``.
+
+    The partition predicate on ``dt`` is added here, because the optimizer does not derive it from the
+    timestamp predicate.
+    """
     lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
     df = spark.read.format(fmt).load(path)
-    pruned = df.where((F.col("dt") >= lo.cast("date")) & (F.col("dt") <= hi.cast("date")))
+    dt = F.col("dt").cast("timestamp_ntz")
+    pruned = df.where((dt >= F.date_trunc(period, lo).cast("timestamp_ntz")) & (dt <= F.date_trunc(period, hi).cast("timestamp_ntz")))
     return pruned.where((F.col(ts) >= lo) & (F.col(ts) < hi))
 
 
@@ -104,11 +109,12 @@ def append_snapshot(df: DataFrame, path: str, ts, column: str = "profile_ts") ->
 
 
 def append_rows(df: DataFrame, path: str, fmt: str = "parquet", strict: bool = False) -> bool:
-    """Append; unless ``strict`` a failure is reported as False and never raised (best effort)."""
+    """Append; unless ``strict`` a failure is logged, reported as False and never raised (best effort)."""
     try:
         df.write.mode("append").format(fmt).save(path)
         return True
     except Exception:
         if strict:
             raise
+        logging.getLogger(__name__).warning("could not append to %s", path, exc_info=True)
         return False

@@ -29,12 +29,12 @@ def profile_stream(df: DataFrame, ts: str, window: str, col: str, late: str = "1
     )
 
 
-def profile_batches(df: DataFrame, out: str, checkpoint: str, cols: Sequence[str], every: str | None = None):
+def profile_batches(df: DataFrame, out: str, checkpoint: str, cols: Sequence[str], every: str | None = None, limits: dict | None = None):
     """One mergeable profile per batch, sketches included; ``stats.merge_profiles`` gives any span of them.
     Scoring does not wait for it: it is a query of its own over the same input."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        stats.profile(batch, cols).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        stats.profile(batch, cols, limits=limits).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return each_batch(df, work, checkpoint, every)
 
@@ -80,10 +80,10 @@ def retention(df: DataFrame, ts: str, as_of: str, hours: float = 720) -> DataFra
     return df.where(F.col(ts) >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(int(hours))))
 
 
-def apply_retention(spark, source: str, out: str, ts: str, as_of: str, hours: float = 720) -> str:
-    """Rewrite a ``dt``-partitioned table without its expired days; those folders are not even listed for reading."""
+def apply_retention(spark, source: str, out: str, ts: str, as_of: str, hours: float = 720, period: str = "day") -> str:
+    """Rewrite a ``dt``-partitioned table without its expired periods; those folders are not even listed for reading."""
     end = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(int(hours)))
-    kept = retention(spark.read.parquet(source).where(F.col("dt") >= end.cast("date")), ts, as_of, hours)
+    kept = retention(spark.read.parquet(source).where(F.col("dt").cast("timestamp_ntz") >= F.date_trunc(period, end).cast("timestamp_ntz")), ts, as_of, hours)
     kept.write.mode("overwrite").partitionBy("dt").parquet(out)
     return out
 

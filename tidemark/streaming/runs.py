@@ -45,6 +45,21 @@ def replace_table(df: DataFrame, out: str, checkpoint: str, mode: str = "complet
     return _finish(df.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).outputMode(mode), every)
 
 
+def publish_cycle(df: DataFrame, out: str) -> int:
+    """Publish a table made from what is there now as the next version folder; returns its number.
+
+    A cycle that starts from the present files forgets replaced and deleted ones, which a stream over the
+    same folder, adding up what arrives, does not. Readers of :func:`read_latest` switch when it is complete.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    number = 1 + max((int(n[len("version="):]) for n in names if n.startswith("version=")), default=-1)
+    df.write.mode("overwrite").parquet(f"{out}/version={number}")
+    return number
+
+
 def read_latest(spark: SparkSession, out: str) -> DataFrame:
     """The newest version of a replaced table (version is a partition column, so others are not read)."""
     df = spark.read.parquet(out)
