@@ -309,7 +309,8 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
 
     def texts(rows: DataFrame) -> DataFrame:
         places = rows.groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
-        return keyed.join(places, ["k1", "k2"]).select("k1", "k2", "text", "places")
+        # all columns, so that the texts are shuffled once for all uses
+        return keyed.join(places, ["k1", "k2"]).select(*keyed.columns, "places")
 
     stretches = texts(met.where("NOT hot")).mapInArrow(_stretch_batches(window, gram), "anchor bigint, k1 bigint, k2 bigint, first bigint, stretch binary")
     together = stretches.repartition("anchor").sortWithinPartitions("anchor")
@@ -333,6 +334,6 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(1), "doc_id").alias("k2"))
     spans = repeated_spans(keyed, window, gram, hot, shard_words)
     per_text = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    joined = keyed.join(per_text, ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    joined = keyed.join(per_text, ["k1", "k2"], "left").select(*keyed.columns, "spans")
     kind = type_of(docs, "doc_id")
     return joined.mapInArrow(_removal_batches(), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string")
