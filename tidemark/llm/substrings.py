@@ -8,8 +8,8 @@ the anchor; the stretches of some anchors are a reference shard of bounded size,
 the number of places of each state, is built from its distinct stretches; these are streamed through it for
 matching statistics, and spans of at least a window that have a second place go.
 
-Anchors with more than ``HOT`` places don't meet in one task: their windows are counted by a 128-bit hash in
-an ordinary aggregation, and the counts are joined back.
+Anchors with more than ``HOT`` places don't meet in one task: their stretches, and the windows of the distinct
+ones, are counted by 128-bit hashes in ordinary aggregations, and the counts are joined back.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from tidemark.llm.text import texts_of, type_of
 from tidemark.plans.scratch import cut
 
 WINDOW, GRAM = 35, 8
-#: Places of an anchor beyond which its windows are counted instead of gathered.
+#: Places of an anchor beyond which its stretches are counted instead of gathered.
 HOT = 512
 #: Words in the stretches of one reference shard.
 SHARD_WORDS = 40_000
@@ -186,28 +186,41 @@ def _signed(found):
     return (found[0].view(np.int64), *found[1:])
 
 
-def _window_batches(window: int, gram: int):
-    """Two hashes of each window that the listed anchors own."""
+def _hot_batches(window: int, gram: int):
+    """A 128-bit hash of each stretch that the listed anchors own, and those of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         known = WordHashes()
+        names = ("s1", "s2", "k1", "k2", "first")
         for batch in batches:
-            k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
-            parts: list[tuple] = []
+            k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
+            rows: list[tuple[int, ...]] = []
+            windows: tuple[list, list] = ([], [])
             for row, (text, wanted) in enumerate(zip(texts_of(batch), batch.column("places").to_pylist())):
                 hashes = known.of(text.split())
                 _, at, low, high = anchors(hashes, window, gram)
-                mine = np.isin(at, wanted)
-                if mine.any():
-                    starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(low[mine], high[mine])])
-                    both = [rolling(hashes, window, b).view(np.int64)[starts] for b in _BASES]
-                    parts.append((*both, np.full(len(starts), k1[row]), np.full(len(starts), k2[row]), starts))
-            columns = [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["w1", "w2", "k1", "k2", "first"])
+                mine = np.flatnonzero(np.isin(at, wanted))
+                if not len(mine):
+                    continue
+                both = [rolling(hashes, window, b).view(np.int64) for b in _BASES]
+                for a, b in zip(low[mine].tolist(), high[mine].tolist()):
+                    own = [w[a : b + 1] for w in both]
+                    digest = xxhash.xxh3_128_intdigest(own[0].tobytes() + own[1].tobytes())
+                    rows.append((*(_signed64(digest >> s) for s in (64, 0)), k1[row], k2[row], a))
+                    for out, w in zip(windows, own):
+                        out.append(w)
+            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
+            columns += [pa.array(w, pa.list_(pa.int64())) for w in windows]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "w1", "w2"])
 
     return run
 
 
+def _signed64(value: int) -> int:
+    value &= (1 << 64) - 1
+    return value - (1 << 64) if value >> 63 else value
+
+
 def _shard_batches(window: int, shard_words: int):
     """Repeated spans of stretches; those of an anchor follow one another, equal ones too."""
 
@@ -298,6 +311,22 @@ def _removal_batches():
     return run
 
 
+def _hot_spans(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """Repeated spans of the stretches of anchors with many places.
+
+    Equal stretches are counted first; windows are counted over the distinct ones, each with the number of
+    its places. The starts in a stretch are less than a window apart, so its repeated windows cover one span.
+    """
+    rows = texts.mapInArrow(_hot_batches(window, gram), "s1 bigint, s2 bigint, k1 bigint, k2 bigint, first bigint, w1 array<bigint>, w2 array<bigint>")
+    distinct = rows.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.first("w1").alias("w1"), F.first("w2").alias("w2"))
+    windows = distinct.select("s1", "s2", "n", F.posexplode(F.arrays_zip("w1", "w2")).alias("at", "w")).select("s1", "s2", "n", "at", "w.*")
+    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("_places")).where("_places > 1").select("w1", "w2")
+    ends = windows.join(twice, ["w1", "w2"]).groupBy("s1", "s2").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    return rows.select("s1", "s2", "k1", "k2", "first").join(ends, ["s1", "s2"]).select(
+        "k1", "k2", (F.col("first") + F.col("a")).alias("low"), (F.col("first") + F.col("b") + window).alias("high")
+    )
+
+
 def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``k1, k2, low, high``: stretches of words inside windows that stand in two places or more.
 
@@ -316,10 +345,7 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     together = stretches.repartition("anchor").sortWithinPartitions("anchor")
     spans = together.mapInArrow(_shard_batches(window, shard_words), "k1 bigint, k2 bigint, low bigint, high bigint")
     if not many.where("hot").isEmpty():
-        windows = texts(met.where("hot")).mapInArrow(_window_batches(window, gram), "w1 bigint, w2 bigint, k1 bigint, k2 bigint, first bigint")
-        twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-        found = windows.join(twice, ["w1", "w2"]).select("k1", "k2", F.col("first").alias("low"), (F.col("first") + window).alias("high"))
-        spans = spans.union(found)
+        spans = spans.union(_hot_spans(texts(met.where("hot")), window, gram))
     return spans
 
 
