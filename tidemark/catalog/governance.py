@@ -298,6 +298,20 @@ def _(spark, d):
     return VS.stale_stages(old, new, edges)
 
 
+@query("j19_run_ids", "SELECT count(*) AS n_jobs, 2 * count(*) AS n_events, count(*) AS n_ids, 0::BIGINT AS split FROM orders")
+def _(spark, d):
+    """Jobs without a run id: both events of a job share a fresh one, and no two jobs do."""
+    from tidemark.operators import lineage
+
+    when = F.col("o_orderdate").cast("timestamp_ntz")
+    jobs = table(spark, d, "orders").select(
+        F.lit(None).cast("string").alias("run_id"), F.col("o_orderkey").cast("string").alias("job"), when.alias("started"), when.alias("ended"),
+        F.array(F.lit("in")).alias("inputs"), F.array(F.lit("out")).alias("outputs"),
+    )
+    per_job = lineage.lineage_events(jobs).groupBy("job.name").agg(F.count("*").alias("n"), F.min("run.runId").alias("a"), F.max("run.runId").alias("b"))
+    return per_job.agg(F.count("*").alias("n_jobs"), F.sum("n").alias("n_events"), F.count_distinct("a").alias("n_ids"), F.count_if(F.col("a") != F.col("b")).alias("split"))
+
+
 @query("f9_missing_paths", "SELECT path FROM v10 WHERE old_md5 IS NOT NULL AND new_md5 IS NULL")
 def _(spark, d):
     old, new = manifests(spark, d)

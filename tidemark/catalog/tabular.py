@@ -388,6 +388,22 @@ def _(spark, d):
     return rounded(drift.drift_chi2(*drift_pair(spark, d), ["event_type"]), "statistic", "p_value")
 
 
+@query(
+    "k10_drift_chi2_many",
+    """WITH c AS (SELECT o_custkey AS v, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS a, count(*) FILTER (WHERE o_orderkey % 2 = 1) AS b FROM orders GROUP BY 1),
+       t AS (SELECT sum(a)::DOUBLE AS ta, sum(b)::DOUBLE AS tb FROM c),
+       s AS (SELECT sum(pow(a - (a + b) * ta / (ta + tb), 2) / ((a + b) * ta / (ta + tb)) + pow(b - (a + b) * tb / (ta + tb), 2) / ((a + b) * tb / (ta + tb))) AS x,
+                    count(*) - 1 AS dof FROM c, t)
+       SELECT 'o_custkey' AS "column", round(x, 6) AS statistic, dof,
+              (pow(x / dof, 1.0 / 3) - (1 - 2.0 / (9 * dof))) / sqrt(2.0 / (9 * dof)) > 1.6448536 AS drifted FROM s""",
+)
+def _(spark, d):
+    """As many categories as customers; the verdict is checked against the cube-root normal limit."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"))
+    out = drift.drift_chi2(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), ["o_custkey"])
+    return rounded(out, "statistic").drop("p_value")
+
+
 REPORT_SQL = f"""WITH {KS_SQL}, {CHI_SQL},
   r AS (SELECT "column", 'ks' AS method, dd AS statistic, p AS p_value, p < 0.05 AS drifted FROM ksp
         UNION ALL SELECT 'event_type', 'chi2', x, p, p < 0.05 FROM chip)"""

@@ -89,7 +89,8 @@ def v4h(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v5(spark: SparkSession, d: str) -> DataFrame:
-    """Log lines."""
+    """Log lines; each begins with a level word in one of its spellings, some with two of them."""
+    level = F.element_at(F.array(*[F.lit(w) for w in ("WARN ", "warning: ", "info ", "ERROR after INFO: ")]), (F.col("event_id") % 4 + 1).cast("int"))
     user = F.col("user_id").cast("string")
     return table(spark, d, "events").select(
         "ts",
@@ -97,7 +98,7 @@ def v5(spark: SparkSession, d: str) -> DataFrame:
         F.col("event_type").alias("app"),
         F.concat(F.lit("pod-"), user).alias("pod"),
         F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("container"),
-        F.concat(F.upper("event_type"), F.lit(" user="), user, F.lit(" "), F.col("props")).alias("line"),
+        F.concat(level, F.upper("event_type"), F.lit(" user="), user, F.lit(" "), F.col("props")).alias("line"),
     )
 
 
@@ -227,7 +228,7 @@ from events where event_type = 'purchase'""",
 from events e cross join (select cast(le as double) as le from (values ('1'),('5'),('10'),('50'),('100'),('500'),('inf')) as t(le)) b
 group by e.event_type, b.le""",
     "v5": """select ts, concat('ns-', cast(user_id % 5 as varchar)) as namespace, event_type as app, concat('pod-', cast(user_id as varchar)) as pod,
-       concat('c', cast(user_id % 3 as varchar)) as container, concat(upper(event_type), ' user=', cast(user_id as varchar), ' ', props) as line
+       concat('c', cast(user_id % 3 as varchar)) as container, concat(CASE event_id % 4 WHEN 0 THEN 'WARN ' WHEN 1 THEN 'warning: ' WHEN 2 THEN 'info ' ELSE 'ERROR after INFO: ' END, upper(event_type), ' user=', cast(user_id as varchar), ' ', props) as line
 from events""",
     "v6": """select concat('img-', cast(l_suppkey as varchar)) as image, concat('CVE-', cast(l_partkey as varchar)) as vulnerability_id,
        concat('pkg-', cast(l_partkey % 50 as varchar)) as package, l_returnflag as installed_version,
