@@ -356,3 +356,13 @@ def test_grids_take_any_ratio(spark):
     grid = tseries.eval_grid(rows, ["s"], 1, 36_000)
     last = grid.orderBy(F.col("at").desc()).first()
     assert (grid.count(), last["n"], last["total"]) == (36_001, 2, 3.0)
+
+
+def test_equal_times_give_one_whole_row(spark):
+    from tidemark.operators import features
+
+    rows = spark.createDataFrame([(1, T0, 1.0, 9.0), (1, T0, 2.0, 3.0), (1, T0, 2.0, None)], "e int, ts timestamp_ntz, a double, b double")
+    assert features.materialize_latest(rows, "e", "ts", ["a", "b"]).first()[2:] == (2.0, 3.0)
+    spine = spark.createDataFrame([(1, T0), (1, at(7200))], "e int, at timestamp_ntz")
+    got = features.point_in_time(spine, rows, "e", "at", "ts", ["a", "b"]).collect()
+    assert [(r["a"], r["b"]) for r in got] == [(2.0, 3.0)] * 2

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import micros, whole
@@ -38,11 +38,18 @@ def register_view(view: FeatureView) -> FeatureView:
     return view
 
 
+def newest_row(cols: Sequence[str], ts: str) -> Column:
+    """The columns of one newest row, as a struct; of rows with equal times the one that is greatest by its columns."""
+    row = F.struct(*cols)
+    return F.max_by(row, F.when(F.col(ts).isNotNull(), F.struct(F.col(ts), row)))
+
+
 def point_in_time(spine: DataFrame, features: DataFrame, entity: str, ts: str, feature_ts: str, cols: Sequence[str],
                   ttl: float = 365 * DAY, block: float = 3600) -> DataFrame:
     """Each spine row with the newest feature row of its entity at or before its time, not older than ``ttl``.
 
-    Rows are grouped by entity and time block, so an entity with a third of all rows spreads over many
+    Of feature rows with equal times the one that is greatest by its columns counts, as a whole. Rows are
+    grouped by entity and time block, so an entity with a third of all rows spreads over many
     tasks. Inside a block the two sides are merged by time and the last feature row is carried forward.
     A block that starts without one takes it from a table holding the newest feature row of each
     (entity, block), which combines map-side and has no more rows than the features.
@@ -55,7 +62,7 @@ def point_in_time(spine: DataFrame, features: DataFrame, entity: str, ts: str, f
     blocked = lambda df: df.withColumn("_blk", whole(F.col("_us"), width))
     left, right = blocked(left.drop(*[c for c in cols if c in spine.columns])), blocked(right)
 
-    newest = right.groupBy(entity, "_blk").agg(*[F.max_by(c, "_us").alias(c) for c in cols], F.max("_us").alias("_f_us"))
+    newest = right.groupBy(entity, "_blk").agg(newest_row(["_f_us", *cols], "_us").alias("_row")).select(entity, "_blk", "_row.*")
     stops = left.select(entity, "_blk").distinct().withColumn("_stop", F.lit(True))
     ladder = stops.join(newest.withColumn("_has", F.lit(True)), [entity, "_blk"], "full")
     earlier = Window.partitionBy(entity).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,7 +73,7 @@ def point_in_time(spine: DataFrame, features: DataFrame, entity: str, ts: str, f
     )
 
     merged = left.unionByName(right, allowMissingColumns=True)
-    upto = Window.partitionBy(entity, "_blk").orderBy("_us", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(entity, "_blk").orderBy("_us", "_side", *cols).rowsBetween(Window.unboundedPreceding, 0)
     inside = F.last(F.when(F.col("_side") == 0, F.struct(*carried)), True).over(upto)
     local = merged.withColumn("_local", inside).where("_side = 1").drop(*carried)
     both = local.join(start, [entity, "_blk"], "left").withColumn("_hit", F.coalesce("_local", "_start"))
@@ -83,7 +90,8 @@ def materialize_latest(rows: DataFrame, entity: str, ts: str, cols: Sequence[str
         rows = rows.where(F.col(ts) <= end)
         if ttl is not None:
             rows = rows.where(F.col(ts) >= end - F.make_dt_interval(secs=F.lit(float(ttl))))
-    return rows.groupBy(entity).agg(F.max(ts).alias(ts), *[F.max_by(c, ts).alias(c) for c in cols])
+    best = rows.groupBy(entity).agg(F.max(ts).alias(ts), newest_row(cols, ts).alias("_row"))
+    return best.select(entity, ts, *[F.col("_row")[c].alias(c) for c in cols])
 
 
 def online_lookup(latest: DataFrame, keys: DataFrame, entity: str) -> DataFrame:
