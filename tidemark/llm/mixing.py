@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.ranks import running, shuffle_number
-from tidemark.llm.text import word_count
+from tidemark.llm.text import with_texts, word_count
 from tidemark.plans.scratch import cut
 
 REPEAT_LIMIT, SEED = 2.0, 42
@@ -23,6 +23,10 @@ REPEAT_LIMIT, SEED = 2.0, 42
 POINTS, ROUNDS = 31, 9
 
 
+#: Columns of the manifest that replace those of the documents.
+_NEW = ("text", "text_md5", "n_tokens", "block", "place")
+
+
 def token_totals(rows: DataFrame) -> DataFrame:
     """``_source, total`` from ``_source, tokens``; sources without tokens are left out."""
     return rows.groupBy("_source").agg(F.sum("tokens").alias("total")).where("total > 0")
@@ -74,10 +78,15 @@ def mix(docs: DataFrame, repeat_limit: float | None = REPEAT_LIMIT, entropy: flo
     of the budget, short of it by less than the document that follows. Null sources are a source; repeated
     rows are used as rows of their own. Columns named like a new one are replaced.
     """
-    new = ("text", "text_md5", "n_tokens", "block", "place")
-    rest = [c for c in docs.columns if c not in new]
+    kept = _uses(docs, repeat_limit, entropy, budget, seed, tokens)
+    rest = [F.col("_row")[c].alias(c) for c in docs.columns if c not in _NEW]
+    return kept.select(*rest, F.col("_md5").alias("text_md5"), F.col("tokens").alias("n_tokens"), "block", F.col("rank").alias("place"))
+
+
+def _uses(docs: DataFrame, repeat_limit: float | None = REPEAT_LIMIT, entropy: float | None = None, budget: int | None = None, seed: int = SEED, tokens=None) -> DataFrame:
+    """``_row`` (the columns of ``docs`` but ``text``), ``_md5, tokens, block, rank`` of every use."""
     rows = docs.select(
-        F.struct(*rest).alias("_row"),
+        F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"),
         F.to_json(F.struct("source")).alias("_source"),
         F.md5("text").alias("_md5"),
         (word_count(F.col("text")) if tokens is None else tokens.cast("bigint")).alias("tokens"),
@@ -97,13 +106,11 @@ def mix(docs: DataFrame, repeat_limit: float | None = REPEAT_LIMIT, entropy: flo
     uses = planned.where(last >= 0).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
     uses = uses.withColumn("_number", shuffle_number(seed, F.col("block"), F.col("_row")["doc_id"], F.coalesce("_md5", F.lit(""))))
     ordered = running(cut(uses, "uses"), ["_source", "block"], "_number", "tokens")
-    kept = ordered.where((F.col("block") < F.col("passes")) | (F.col("upto") <= F.col("left")))
-    return kept.select(*[F.col("_row")[c].alias(c) for c in rest], F.col("_md5").alias("text_md5"), F.col("tokens").alias("n_tokens"), "block", F.col("rank").alias("place"))
+    return ordered.where((F.col("block") < F.col("passes")) | (F.col("upto") <= F.col("left")))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mixture, each as often as it is used, with the columns of ``docs``; texts move once."""
-    manifest = mix(docs, **how)
-    texts = docs.select(F.col("doc_id").alias("_id"), F.md5("text").alias("_md5"), F.col("text").alias("_text")).groupBy("_id", "_md5").agg(F.first("_text").alias("_text"))
-    joined = manifest.join(texts, manifest["doc_id"].eqNullSafe(texts["_id"]) & manifest["text_md5"].eqNullSafe(texts["_md5"]))
-    return joined.select(*[F.col("_text").alias("text") if c == "text" else c for c in docs.columns])
+    manifest = _uses(docs, **how).select("_row", F.col("_row")["doc_id"].alias("doc_id"), "_md5")
+    joined = with_texts(manifest, docs, "_md5")
+    return joined.select(*[(F.col("_text") if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns])

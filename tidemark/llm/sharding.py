@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.ranks import buckets_for, running, shuffle_number
+from tidemark.llm.text import with_texts
 from tidemark.plans.scratch import cut
 
 SHARDS, SEED = 16, 42
@@ -53,6 +54,5 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("text", "shard", "slot")]
     key = F.md5("text")
     placed = assign(docs.select(*rest, key.alias("_key"), number(docs, seed).alias("_shuffle")), number="_shuffle", shards=shards)
-    texts = docs.select(F.col("doc_id").alias("_id"), key.alias("_text_key"), "text").groupBy("_id", "_text_key").agg(F.first("text").alias("text"))
-    joined = placed.join(texts, placed["doc_id"].eqNullSafe(texts["_id"]) & placed["_key"].eqNullSafe(texts["_text_key"]))
-    return joined.select(*[c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
+    joined = with_texts(placed, docs, "_key")
+    return joined.select(*[F.col("_text").alias("text") if c == "text" else c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")

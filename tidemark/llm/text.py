@@ -57,6 +57,19 @@ def drop_rows(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return docs.join(key, same, "left_anti")
 
 
+def with_texts(manifest: DataFrame, docs: DataFrame, text_md5: str) -> DataFrame:
+    """Rows of a manifest (``doc_id``, the md5 of the text, ...) with the ``_text`` of that document.
+
+    Both sides are keyed by columns that are never null, so that the texts are shuffled once: to be made
+    distinct, and in the same partitions to be joined.
+    """
+    def keyed(df: DataFrame, md5: Column) -> DataFrame:
+        return df.withColumns({"_id_key": F.to_json(F.struct(df["doc_id"].alias("id"))), "_text_key": F.coalesce(md5, F.lit(""))})
+
+    texts = keyed(docs, F.md5(docs["text"])).groupBy("_id_key", "_text_key").agg(F.first(docs["text"]).alias("_text"))
+    return keyed(manifest, manifest[text_md5]).join(texts, ["_id_key", "_text_key"]).drop("_id_key", "_text_key")
+
+
 def text_key(text: Column) -> Column:
     """64 bits that, together with the document's id, name a text; null for null."""
     return F.when(text.isNotNull(), F.xxhash64(text))
