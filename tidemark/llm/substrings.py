@@ -322,7 +322,11 @@ def _hot_spans(texts: DataFrame, window: int, gram: int) -> DataFrame:
     windows = distinct.select("s1", "s2", "n", F.posexplode(F.arrays_zip("w1", "w2")).alias("at", "w")).select("s1", "s2", "n", "at", "w.*")
     twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("_places")).where("_places > 1").select("w1", "w2")
     ends = windows.join(twice, ["w1", "w2"]).groupBy("s1", "s2").agg(F.min("at").alias("a"), F.max("at").alias("b"))
-    return rows.select("s1", "s2", "k1", "k2", "first").join(ends, ["s1", "s2"]).select(
+    # by one more key than the counts are partitioned by, so that both sides are shuffled for the join itself:
+    # only then can adaptive execution split a stretch with very many places
+    more = F.xxhash64("s1", "s2").alias("s")
+    placed = rows.select(more, "s1", "s2", "k1", "k2", "first")
+    return placed.join(ends.select(more, "s1", "s2", "a", "b"), ["s", "s1", "s2"]).select(
         "k1", "k2", (F.col("first") + F.col("a")).alias("low"), (F.col("first") + F.col("b") + window).alias("high")
     )
 
