@@ -204,7 +204,12 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
 
     Of rows that repeat the kept id one stays. Rows with a null id can't be named and stay.
     """
-    found = cut(near_duplicates(docs, **how), "duplicates")
+    return first_of(docs, near_duplicates(docs, **how))
+
+
+def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """:func:`keep_first` for given groups (``doc_id, component_id``)."""
+    found = cut(groups.select("doc_id", "component_id"), "duplicates")
     named = found.where(F.col("doc_id").isNotNull())
     gone = cut(named.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
     repeated = cut(named.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
