@@ -28,6 +28,8 @@ from tidemark.llm.text import FOLDED_WORD, ascii_lower, folded_words, text_key,
 from tidemark.plans.scratch import cut, scratch_dir
 
 WINDOW = 10
+#: In production, the words of a window are close together if less than this many words from its rarest one.
+WITHIN = 20
 #: Words after which a block is closed.
 BLOCK_WORDS = 1 << 17
 #: Test vocabularies of up to this many distinct terms are sent to the tasks, so that only their postings are

@@ -67,6 +67,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op1_benchmark_proximity")
+def op1_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items with a ten-word window whose words all stand close together in a document, in any order."""
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), within=decontamination.WITHIN)
+    return found.select(
+        "doc_id",
+        F.size("near_items").cast("bigint").alias("n_near_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("near_items")), 256).alias("near_items_sha256"),
+        (F.size("near_items") > 0).alias("near"),
+    )
+
+
 TOKEN_LIMIT = 1024
 
 
