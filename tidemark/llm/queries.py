@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, licenses, mixing, quality, sharding, simhash, substrings, tokens, toxicity
+from tidemark.llm import chat, decontamination, licenses, mixing, quality, sharding, simhash, spelling, substrings, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -232,3 +232,31 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that are left without passages of 35 words found elsewhere."""
     found = substrings.deduplicated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op13_spelling_variants",
+    r"""
+    WITH RECURSIVE tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))) ORDER BY i) AS t FROM range(256) AS r(i)),
+    r AS (SELECT doc_id, run, count(*) AS k
+          FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+          WHERE length(run) >= 7 GROUP BY ALL),
+    x AS (SELECT run, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS hex FROM r),
+    h AS (SELECT run, k, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(hex) // 2), lambda i: CAST('0x' || substr(hex, 2 * i + 1, 2) AS BIGINT))),
+                 lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM x, tab),
+    d AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+    w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM d WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+    p AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+    near AS (SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM p a JOIN p b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+             UNION SELECT a.word, b.word, b.n FROM p a JOIN w b ON a.less = b.word
+             UNION SELECT b.word, a.word, a.n FROM p a JOIN w b ON a.less = b.word),
+    best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+    f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM w LEFT JOIN best USING (word)),
+    walk AS (SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL),
+    ends AS (SELECT walk.word, walk.root FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NULL)
+    SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words one edit apart, and the frequent word that each is a variant of."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
