@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, licenses, mixing, quality, sharding, simhash, spelling, substrings, tokens, toxicity
+from tidemark.llm import chat, decontamination, licenses, mixing, quality, repair, sharding, simhash, spelling, substrings, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -260,3 +260,51 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words one edit apart, and the frequent word that each is a variant of."""
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_structure_repair",
+    r"""
+    WITH RECURSIVE tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))) ORDER BY i) AS t FROM range(256) AS r(i)),
+    c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS k FROM conversations),
+    h AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(k, lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS h FROM c, tab),
+    x AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                 unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h <> 0),
+    r AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM x),
+    f AS (SELECT *, substr(role, 1, 1) AS c, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault,
+                 CASE WHEN i > 1 AND lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END AS illegal FROM r),
+    n AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+                 count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated, CAST(sum(illegal) AS BIGINT) AS illegal FROM f GROUP BY conv_id),
+    back AS (SELECT conv_id, rows + 1 AS i, 0 AS f0, 6 AS f1, 3 AS f2, 0 AS f3 FROM n
+             UNION ALL
+             SELECT conv_id, i, least(g0, 3 + g2, 6 + g3), least(g1, 3 + g2, 6 + g3), least(g2, 3 + g3), least(g3, 3 + g2)
+             FROM (SELECT f.conv_id, f.i,
+                          CASE WHEN fault IN ('b', 'd') THEN 4 + f0 ELSE least(4 + f0, t + 3 + f2, CASE c WHEN 's' THEN t + f1 WHEN 'u' THEN t + f2 ELSE 1000000 END) END AS g0,
+                          CASE WHEN fault IN ('b', 'd') THEN 4 + f1 ELSE least(4 + f1, t + 3 + f2, CASE c WHEN 'u' THEN t + f2 ELSE 1000000 END) END AS g1,
+                          CASE WHEN fault IN ('b', 'd') THEN 4 + f2 ELSE least(4 + f2, t + 3 + f3, CASE c WHEN 'a' THEN t + f3 ELSE 1000000 END) END AS g2,
+                          CASE WHEN fault IN ('b', 'd') THEN 4 + f3 ELSE least(4 + f3, t + 3 + f2, CASE c WHEN 'u' THEN t + f2 ELSE 1000000 END) END AS g3
+                   FROM (SELECT *, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS t FROM f) f JOIN back ON back.conv_id = f.conv_id AND back.i = f.i + 1)),
+    v AS (SELECT conv_id, i, [f0, f1, f2, f3] AS f FROM back),
+    walk AS (SELECT conv_id, 1::BIGINT AS i, 0 AS s, '' AS audit, NULL::VARCHAR AS text, false AS done FROM n
+             UNION ALL
+             SELECT conv_id, CASE WHEN letter IN ('I', '') THEN i ELSE i + 1 END, CASE letter WHEN 'K' THEN k WHEN 'D' THEN s WHEN '' THEN s ELSE due END, audit || letter,
+                    CASE WHEN letter IN ('D', '') THEN text ELSE concat_ws(chr(10), text, CASE WHEN letter = 'K' THEN role ELSE CASE due WHEN 2 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN letter = 'I' THEN '' ELSE line END) END,
+                    letter = ''
+             FROM (SELECT *, CASE WHEN role IS NULL AND now = 0 THEN '' WHEN role IS NOT NULL AND 4 + after[s + 1] = now THEN 'D' WHEN 3 + here[due + 1] = now THEN 'I'
+                                  WHEN k IS NOT NULL AND t + after[k + 1] = now THEN 'K' ELSE 'R' END AS letter
+                   FROM (SELECT walk.conv_id, walk.i, walk.s, walk.audit, walk.text, a.f AS here, a.f[walk.s + 1] AS now, b.f AS after, f.role, f.text AS line, CASE WHEN walk.s = 2 THEN 3 ELSE 2 END AS due,
+                                CASE WHEN fault = 't' THEN 3 ELSE 0 END AS t,
+                                CASE WHEN c = 's' AND s = 0 THEN 1 WHEN c = 'u' AND s <> 2 THEN 2 WHEN c = 'a' AND s = 2 THEN 3 END AS k
+                         FROM walk JOIN v a ON a.conv_id = walk.conv_id AND a.i = walk.i LEFT JOIN v b ON b.conv_id = walk.conv_id AND b.i = walk.i + 1
+                         LEFT JOIN f ON f.conv_id = walk.conv_id AND f.i = walk.i WHERE NOT walk.done))),
+    o AS (SELECT DISTINCT conv_id FROM conversations)
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           CAST(coalesce(v.f[1], 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(walk.text, '')) AS repaired_sha256
+    FROM o LEFT JOIN n USING (conv_id) LEFT JOIN v ON v.conv_id = o.conv_id AND v.i = 1 LEFT JOIN walk ON walk.conv_id = o.conv_id AND walk.done
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every conversation after the damage, and its cheapest repair."""
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(turns), turns)
