@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, licenses, mixing, quality, repair, sharding, simhash, spelling, substrings, tokens, toxicity
+from tidemark.llm import chat, classes, decontamination, licenses, mixing, quality, repair, sharding, simhash, spelling, substrings, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -308,3 +308,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of every conversation after the damage, and its cheapest repair."""
     turns = table(spark, sf_dir, "conversations")
     return repair.repair(repair.damage(turns), turns)
+
+
+@query("op12_class_lm_scores")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a class-based bigram model learned from four fifths of them."""
+    return classes.class_scores(table(spark, sf_dir, "documents"))
