@@ -3,8 +3,8 @@
 The probability of a word after another is ``P(class | class of the word before) * P(word | class)``. Classes are
 found by exchange: each word is moved to the class that raises the likelihood of the training tokens most, for
 which its counts before and after every class are enough (``gains``). A round spreads the words over blocks
-that move theirs one after another, each block from the class counts at the start of the round; a round that
-does not raise the likelihood is undone and ends the search.
+that move theirs one after another, each block from the class counts at the start of the round; if a round does
+not raise the likelihood, it is undone and only every second, fourth, ... of its moves is made.
 
 What is sent to every task is bounded by parameters, not by the corpus: ``WORDS`` words are clustered singly, every other word
 moves with the words of the same ending (``ENDINGS`` groups), and the counts of ``LOOKUP`` words are known in
@@ -38,7 +38,7 @@ WORDS, ENDINGS, LOOKUP = 1 << 14, 1 << 10, 1 << 18
 #: Longer words (in bytes) are never sent out.
 WIDEST = 64
 #: Rounds of exchange, and blocks of words that move at the same time.
-ROUNDS, BLOCKS = 4, 16
+ROUNDS, BLOCKS = 5, 16
 #: Added to each count of a word, and weight of the class shares against the transitions of a class.
 ADDED, PRIOR = 0.5, float(CLASSES)
 #: Distinct words, and pairs, that a task holds before it passes the counts on.
@@ -236,21 +236,22 @@ def exchange(pairs: DataFrame, classes: np.ndarray, rounds: int = ROUNDS) -> tup
     each = F.when(F.col("a") == F.col("b"), F.array(seen("a", 2, "b"))).otherwise(F.array(seen("a", 0, "b"), seen("b", 1, "a")))
     # in the order of the items, so that the counts of an item meet in one or two tasks of every round
     flat = cut(pairs.select(F.inline(each), "n").repartitionByRange("item"), "neighbours")
-    best, best_counts, now = classes, None, classes
+    best, best_counts, now, moved, every = classes, None, classes, [], 1
     for step in range(rounds + 1):
         contexts = cut(_contexts(flat, now), "contexts")
         counts = _class_counts(contexts, now, wide)
-        if best_counts is not None and likelihood(counts) <= likelihood(best_counts):
+        if best_counts is None or likelihood(counts) > likelihood(best_counts):
+            best, best_counts, every = now, counts, 1
+            blocks = contexts.where(F.col("item") < len(classes) - 1).withColumn("block", F.col("item") % BLOCKS)
+            # one row an item at most
+            moved = blocks.groupBy("block").applyInPandas(_exchange(sc.broadcast((counts, now))), "item int, own int").collect() if step < rounds else []
+        else:
+            every *= 2  # too many moved at once
+        steps = [r for r in moved if r["item"] % every == step % every]
+        if not steps:
             break
-        best, best_counts = now, counts
-        if step == rounds:
-            break
-        blocks = contexts.where(F.col("item") < len(classes) - 1).withColumn("block", F.col("item") % BLOCKS)
-        moved = blocks.groupBy("block").applyInPandas(_exchange(sc.broadcast((counts, now))), "item int, own int").collect()  # one row an item at most
-        if not moved:
-            break
-        now = now.copy()
-        now[[r["item"] for r in moved]] = [r["own"] for r in moved]
+        now = best.copy()
+        now[[r["item"] for r in steps]] = [r["own"] for r in steps]
     return best, best_counts
 
 
