@@ -42,7 +42,7 @@ ROUNDS, BLOCKS = 5, 16
 #: Added to each count of a word, and weight of the class shares against the transitions of a class.
 ADDED, PRIOR = 0.5, float(CLASSES)
 #: Distinct words, and pairs, that a task holds before it passes the counts on.
-HELD, HELD_PAIRS = 150_000, 1 << 22
+HELD, HELD_PAIRS = 150_000, 1 << 19
 #: Word that stands for the end of a text; no word is empty.
 END = ""
 
@@ -125,9 +125,11 @@ def _pair_batches(shared):
         held, size = [], 0
         get = places.get
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             codes, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array((codes // items).astype(np.int32)), pa.array((codes % items).astype(np.int32)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+            for low in range(0, len(codes), 1 << 16):
+                part, m = codes[low : low + (1 << 16)], n[low : low + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array((part // items).astype(np.int32)), pa.array((part % items).astype(np.int32)), pa.array(m.astype(np.int64))], ["a", "b", "n"])
 
         for batch in batches:
             for text in texts_of(batch):
@@ -136,10 +138,10 @@ def _pair_batches(shared):
                 held.append(walk[:-1] * items + walk[1:])
                 size += len(found) - 1
                 if size > HELD_PAIRS:
-                    yield flush()
+                    yield from flush()
                     held, size = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
