@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -13,7 +14,7 @@ from tests.conftest import SF
 from tidemark.catalog import views
 from tidemark.functions.special import chi2_pvalue, ks_pvalue
 from tidemark.operators import evaluation, features, labels, logs, ml, stats, tseries
-from tidemark.plans import ordered
+from tidemark.plans import blocks, ordered
 
 T0 = datetime(2024, 1, 1)
 
@@ -54,6 +55,47 @@ def test_increase_matches_brute_force_for_any_block(spark, block):
     assert got == brute_increase(rows, 300, lambda m: [t for t, _ in m])
 
 
+@pytest.mark.parametrize("rows", [7, 60])
+@pytest.mark.parametrize("span", [300, 30 * 86_400])
+def test_increase_over_ranges_longer_than_blocks(spark, rows, span):
+    df, data = skewed_samples(spark)
+    want = brute_increase(data, span, lambda m: [t for t, _ in m])
+    got = {(r["s"], r["ts"]): r["increase"] for r in tseries.increase(df, ["s"], span, rows=rows).collect()}
+    assert got == want
+    banded = {(r["s"], r["ts"]): r["changes"] for r in tseries.changes(df, ["s"], span, block=3600, rows=rows).collect()}
+    assert banded == brute_increase(data, span, lambda m: [t for t, _ in m], "changes")
+
+
+def test_blocks_are_cut_by_rows_also_in_a_burst(spark):
+    us = [10**9 * i for i in range(50)] + [40 * 10**9 + i for i in range(2000)] + [86_400 * 10**6 * 3]
+    df = spark.createDataFrame([(None, u) for u in us] + [("a", 5), (None, 7)], "k string, us long").withColumn("_s", F.struct("k"))
+    cutter = blocks.TimeBlocks(df.select("_s", "us"), ["_s"], "us", rows=100)
+    placed = cutter.place(df, "us").collect()
+    sizes = Counter((r["k"], r["_blk"]) for r in placed)
+    assert max(sizes.values()) <= 200 and sum(sizes.values()) == len(us) + 2
+    order = sorted((r["us"], r["_blk"]) for r in placed if r["k"] is None)
+    assert [b for _, b in order] == sorted(b for _, b in order)
+    # times without a row have a block between those of their neighbours
+    asked = cutter.place(spark.createDataFrame([(None, u + 3) for u in us], "k string, us long").withColumn("_s", F.struct("k")), "us").collect()
+    merged = sorted([(r["us"], r["_blk"]) for r in asked] + order)
+    assert [b for _, b in merged] == sorted(b for _, b in merged)
+
+
+def test_null_labels_and_other_time_types_stay_a_series(spark):
+    df = spark.createDataFrame([(None, 1, 10), (None, 2, 15), ("x", 1, 1), (None, 400, 3)], "s string, t int, value int").select("s", F.timestamp_seconds("t").alias("ts"), "value")
+    got = sorted((r["s"] or "", r["value"], r["increase"]) for r in tseries.increase(df, ["s"], 1000, rows=1).collect())
+    assert got == [("", 3, 8.0), ("", 15, 5.0)]
+    assert tseries.increase(df, ["s"], 1000).schema["ts"].dataType == df.schema["ts"].dataType
+    previous = sorted((r["s"] or "", r["value"], r["previous"]) for r in tseries.previous_value(df, ["s"], rows=1).collect())
+    assert previous == [("", 3, 15), ("", 10, None), ("", 15, 10), ("x", 1, None)]
+
+
+def test_range_operator_moves_two_rows_a_sample(spark):
+    df, _ = skewed_samples(spark)
+    seen = plan(tseries.increase(df, ["s"], 30 * 86_400))
+    assert "RangeFrame" not in seen and "Generate inline" in seen and "CartesianProduct" not in seen and "BroadcastNestedLoopJoin" not in seen
+
+
 @pytest.mark.parametrize("kind", ["increase", "changes"])
 def test_increase_grid_matches_brute_force(spark, kind):
     df, rows = skewed_samples(spark, 300)
@@ -85,8 +127,8 @@ def test_previous_value_crosses_empty_blocks(spark):
         assert [got[s, t] for t, _ in mine] == [None] + [v for _, v in mine][:-1]
 
 
-@pytest.mark.parametrize("block,ttl", [(60, 1e9), (3600, 1e9), (3600, 500)])
-def test_point_in_time_matches_merge_asof(spark, block, ttl):
+@pytest.mark.parametrize("block,ttl,rows", [(60, 1e9, None), (3600, 1e9, None), (3600, 500, 4), (1e6, 1e9, 9)])
+def test_point_in_time_matches_merge_asof(spark, block, ttl, rows):
     rng = random.Random(3)
     def side(n):
         return [("hot" if rng.random() < 0.8 else rng.choice("ab"), T0 + timedelta(seconds=rng.randrange(0, 50_000))) for _ in range(n)]
@@ -94,7 +136,7 @@ def test_point_in_time_matches_merge_asof(spark, block, ttl):
     spine = [(i, e, t) for i, (e, t) in enumerate(side(200))]
     got = features.point_in_time(
         spark.createDataFrame(spine, "id int, e string, ts timestamp_ntz"), spark.createDataFrame(feats, "e string, fts timestamp_ntz, x double"),
-        "e", "ts", "fts", ["x"], ttl=ttl, block=block,
+        "e", "ts", "fts", ["x"], ttl=ttl, block=block, rows=rows,
     ).toPandas().set_index("id")["x"]
     a = pd.DataFrame(spine, columns=["id", "e", "ts"]).sort_values("ts")
     b = pd.DataFrame(feats, columns=["e", "fts", "x"]).sort_values("fts")

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import micros, whole
+from tidemark.functions.scalars import micros
+from tidemark.plans.blocks import TimeBlocks
 
 DAY = 86_400.0
 
@@ -45,22 +46,22 @@ def newest_row(cols: Sequence[str], ts: str) -> Column:
 
 
 def point_in_time(spine: DataFrame, features: DataFrame, entity: str, ts: str, feature_ts: str, cols: Sequence[str],
-                  ttl: float = 365 * DAY, block: float = 3600) -> DataFrame:
+                  ttl: float = 365 * DAY, block: float | None = None, rows: int | None = None) -> DataFrame:
     """Each spine row with the newest feature row of its entity at or before its time, not older than ``ttl``.
 
     Of feature rows with equal times the one that is greatest by its columns counts, as a whole. Rows are
-    grouped by entity and time block, so an entity with a third of all rows spreads over many
+    grouped by entity and block, blocks being cut by the rows of both sides in them (``plans.blocks``; ``block`` and
+    ``rows`` are the length in seconds and the number of rows), so an entity with a third of all rows, or a burst of one, spreads over many
     tasks. Inside a block the two sides are merged by time and the last feature row is carried forward.
     A block that starts without one takes it from a table holding the newest feature row of each
     (entity, block), which combines map-side and has no more rows than the features.
     """
-    width = int(block * 1e6)
     carried = ["_f_us", *cols]
     left = spine.withColumns({"_us": micros(F.col(ts)), "_side": F.lit(1)})
     right = features.select(F.col(entity), micros(F.col(feature_ts)).alias("_us"), F.lit(0).alias("_side"), *cols)
     right = right.where(F.col("_us").isNotNull()).withColumn("_f_us", F.col("_us"))
-    blocked = lambda df: df.withColumn("_blk", whole(F.col("_us"), width))
-    left, right = blocked(left.drop(*[c for c in cols if c in spine.columns])), blocked(right)
+    blocks = TimeBlocks(left.select(entity, "_us").union(right.select(entity, "_us")), [entity], "_us", block, rows)
+    left, right = blocks.place(left.drop(*[c for c in cols if c in spine.columns])), blocks.place(right)
 
     newest = right.groupBy(entity, "_blk").agg(newest_row(["_f_us", *cols], "_us").alias("_row")).select(entity, "_blk", "_row.*")
     stops = left.select(entity, "_blk").distinct().withColumn("_stop", F.lit(True))

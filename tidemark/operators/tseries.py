@@ -4,10 +4,10 @@ A series is named by ``series``, a list of columns (promoted labels, or one cano
 ``labels.series_key``). Times are timestamps; ranges and steps are given in seconds. One sample per
 series and time is assumed.
 
-Ordered work never takes a whole series into one task. Samples are grouped by series *and* a time
-block; samples near the end of a block are repeated in the next one (the halo), which makes each
-block self-contained for a look-back of the given range. A series holding a third of the data is
-spread over as many tasks as there are blocks.
+Ordered work never takes a whole series into one task. Samples are grouped by series *and* block, and blocks
+are cut by the number of rows in them (``plans.blocks``). What a block needs of those before or behind it comes from a table
+with one row per (series, block): the last value before, the growth before, the first sample behind. A range may
+therefore be longer than any block, and no sample is repeated.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import from_micros, micros, whole, whole_up
+from tidemark.plans.blocks import TimeBlocks
 
 
 def instant(df: DataFrame, series: Sequence[str], at: str, lookback: float = 300, ts: str = "ts", value: str = "value") -> DataFrame:
@@ -28,18 +29,6 @@ def instant(df: DataFrame, series: Sequence[str], at: str, lookback: float = 300
     return live.groupBy(*series).agg(F.max_by(value, ts).alias("value"), F.max(ts).alias("ts"))
 
 
-def with_halo(df: DataFrame, us: str, reach: int, block: int) -> DataFrame:
-    """Add ``_blk`` and ``_own``: each row in its own time block, and repeated as a guest in the next
-    block when it is within ``reach`` of it. At most one repeat per row because ``block >= reach``."""
-    if block < reach:
-        raise ValueError("the block must be at least as long as the look-back")
-    home = whole(F.col(us), block)
-    near_end = F.col(us) >= (home + 1) * block - reach
-    spots = F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))
-    spread = df.withColumn("_home", home).withColumn("_blk", F.explode(spots))
-    return spread.withColumn("_own", F.col("_blk") == F.col("_home")).drop("_home")
-
-
 def _growth(kind: str, value: str, previous: Column) -> Column:
     now = F.col(value)
     if kind == "increase":
@@ -54,65 +43,83 @@ def growth_step(value: str, previous: Column) -> Column:
     return _growth("increase", value, previous)
 
 
-def previous_value(df: DataFrame, series: Sequence[str], ts: str = "ts", value: str = "value", block: float = 3600) -> DataFrame:
+def _in_blocks(df: DataFrame, series: Sequence[str], ts: str, block: float | None, rows: int | None) -> tuple[DataFrame, TimeBlocks]:
+    """The samples with their microseconds, one key ``_s`` for the series (null labels included) and block."""
+    keyed = df.withColumn("_us", micros(F.col(ts))).withColumn("_s", F.struct(*series))
+    blocks = TimeBlocks(keyed.select("_s", "_us"), ["_s"], "_us", block, rows)
+    return blocks.place(keyed), blocks
+
+
+def previous_value(df: DataFrame, series: Sequence[str], ts: str = "ts", value: str = "value", block: float | None = None,
+                   rows: int | None = None) -> DataFrame:
     """Add ``previous``: the value of the sample before this one in its series, however far back.
 
-    Inside a (series, time block) it is a lag; the first sample of a block takes the newest one of the
-    block before, from a table with one row per (series, block).
+    Inside a (series, block) it is a lag; the first sample of a block takes the newest one of the
+    block before, from a table with one row per (series, block). ``block`` and ``rows`` are the length in seconds
+    and the number of rows at which blocks are cut.
     """
-    width = int(block * 1e6)
-    rows = df.withColumn("_us", micros(F.col(ts))).withColumn("_blk", whole(F.col("_us"), width))
-    newest = rows.groupBy(*series, "_blk").agg(F.max_by(value, "_us").alias("_last"))
-    carried = newest.select(*series, "_blk", F.lag("_last").over(Window.partitionBy(*series).orderBy("_blk")).alias("_carried"))
-    inside = Window.partitionBy(*series, "_blk").orderBy("_us")
-    both = rows.join(carried, [*series, "_blk"])
-    first = F.row_number().over(inside) == 1
-    previous = F.when(first, F.col("_carried")).otherwise(F.lag(value).over(inside))
-    return both.withColumn("previous", previous).select(*df.columns, "previous")
-
-
-def _over_range(df: DataFrame, series: Sequence[str], span: float, kind: str, ts: str, value: str, block: float | None) -> DataFrame:
-    reach = int(span * 1e6)
-    width = int((block or span) * 1e6)
-    keep = [*series, ts, value]
-    spread = with_halo(df.select(*keep).withColumn("_us", micros(F.col(ts))), "_us", reach, max(width, reach))
-    part = [*series, "_blk"]
-    by_time = Window.partitionBy(*part).orderBy("_us")
-    run = by_time.rowsBetween(Window.unboundedPreceding, 0)
-    summed = spread.withColumn("_step", _growth(kind, value, F.lag(value).over(by_time))).withColumn(
-        "_sum", F.sum("_step").over(run)
-    )
-    # Each sample also asks, at time - range, for the first sample at or after that moment. Reading
-    # the merged rows backwards turns that into "last seen", which costs the same for any range.
-    probe = F.struct((F.col("_us") - reach).alias("_at"), F.lit(1).alias("_probe"), F.lit(None).cast("double").alias("_base"),
-                     F.lit(None).cast("long").alias("_first"))
-    sample = F.struct(F.col("_us").alias("_at"), F.lit(0).alias("_probe"), F.col("_sum").alias("_base"), F.col("_us").alias("_first"))
-    both = F.when(F.col("_own"), F.array(sample, probe)).otherwise(F.array(sample))
-    merged = summed.select(*keep, "_us", "_blk", "_sum", F.inline(both))
-    back = Window.partitionBy(*part).orderBy(F.col("_at").desc(), "_probe").rowsBetween(Window.unboundedPreceding, 0)
-    seen = merged.withColumns({"_base": F.last("_base", True).over(back), "_first": F.last("_first", True).over(back)})
-    return seen.where((F.col("_probe") == 1) & (F.col("_first") < F.col("_us"))).select(
-        *keep, (F.col("_sum") - F.col("_base")).alias("_out")
-    )
+    placed, _ = _in_blocks(df, series, ts, block, rows)
+    newest = placed.groupBy("_s", "_blk").agg(F.max_by(value, "_us").alias("_last"))
+    carried = newest.select("_s", "_blk", F.lag("_last").over(Window.partitionBy("_s").orderBy("_blk")).alias("_carried"))
+    inside = Window.partitionBy("_s", "_blk").orderBy("_us")
+    lagged = placed.withColumns({"_lag": F.lag(value).over(inside), "_n": F.row_number().over(inside)})
+    both = lagged.join(carried, ["_s", "_blk"])
+    return both.select(*df.columns, F.when(F.col("_n") == 1, F.col("_carried")).otherwise(F.col("_lag")).alias("previous"))
 
 
-def increase(df: DataFrame, series: Sequence[str], span: float, ts: str = "ts", value: str = "value", block: float | None = None) -> DataFrame:
+def _over_range(df: DataFrame, series: Sequence[str], span: float, kind: str, ts: str, value: str, block: float | None, rows: int | None) -> DataFrame:
+    reach = int(span * 1e6)
+    placed, blocks = _in_blocks(df, series, ts, block, rows)
+    # key, time and value are all that both uses of a shuffle need, so that it runs once
+    slim = placed.select("_s", "_blk", "_us", F.col(value).alias("_v"))
+    inside = Window.partitionBy("_s", "_blk").orderBy("_us")
+    run = inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = slim.withColumn("_step", _growth(kind, "_v", F.lag("_v").over(inside))).withColumn("_inside", F.sum("_step").over(run))
+    ends = local.groupBy("_s", "_blk").agg(F.min_by("_v", "_us").alias("_head"), F.max_by("_v", "_us").alias("_tail"), F.max_by("_inside", "_us").alias("_all"))
+    across = Window.partitionBy("_s").orderBy("_blk")
+    entered = ends.withColumn("_enter", _growth(kind, "_head", F.lag("_tail").over(across)))
+    upto = across.rowsBetween(Window.unboundedPreceding, 0)
+    before = entered.select("_s", "_blk", (F.sum(F.col("_all") + F.col("_enter")).over(upto) - F.col("_all")).alias("_before"))
+    summed = local.join(before, ["_s", "_blk"]).withColumn("_sum", F.col("_before") + F.col("_inside"))
+
+    # Each sample also asks, at time - range, for the first sample at or after that moment: two rows a sample,
+    # each in the block of its time. Reading a block backwards turns the question into "last seen", which costs
+    # the same for any range; a question behind the last sample of its block takes the first one that follows.
+    asking = blocks.place(summed.withColumn("_ask_at", F.col("_us") - reach), "_ask_at", "_ask_blk")
+    sample = F.struct(F.col("_blk").alias("_blk"), F.col("_us").alias("_at"), F.lit(0).alias("_ask"), F.lit(None).cast(slim.schema["_v"].dataType).alias("_v"), F.col("_sum").alias("_sum"))
+    question = F.struct(F.col("_ask_blk").alias("_blk"), F.col("_ask_at").alias("_at"), F.lit(1).alias("_ask"), F.col("_v"), F.col("_sum").alias("_sum"))
+    merged = asking.select("_s", F.inline(F.array(sample, question)))
+    found = F.when(F.col("_ask") == 0, F.struct(F.col("_at").alias("us"), F.col("_sum").alias("sum")))
+    back = Window.partitionBy("_s", "_blk").orderBy(F.col("_at").desc(), "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    seen = merged.withColumn("_here", F.last(found, True).over(back))
+    # the count says nothing new, but keeps the value among the columns of both uses, as above
+    firsts = seen.groupBy("_s", "_blk").agg(F.min_by("_here", "_at").alias("_first"), F.count("_v").alias("_n")).where("_n >= 0")
+    behind = Window.partitionBy("_s").orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    following = firsts.select("_s", "_blk", F.last("_first", True).over(behind).alias("_next"))
+    asked = seen.where("_ask = 1").join(following, ["_s", "_blk"]).withColumn("_first", F.coalesce("_here", "_next"))
+    us = F.col("_at") + reach
+    types = df.select(ts, value).schema
+    own = [F.timestamp_micros(us).cast(types[ts].dataType).alias(ts), F.col("_v").cast(types[value].dataType).alias(value)]
+    return asked.where(F.col("_first.us") < us).select(*[F.col("_s")[c].alias(c) for c in series], *own, (F.col("_sum") - F.col("_first.sum")).alias("_out"))
+
+
+def increase(df: DataFrame, series: Sequence[str], span: float, ts: str = "ts", value: str = "value", block: float | None = None, rows: int | None = None) -> DataFrame:
     """Reset-corrected growth over the closed window of ``span`` seconds ending at each sample.
 
     A drop means the counter restarted, so the new value is the growth. No row where the window holds
     fewer than two samples, and no extrapolation to the window edges.
     """
-    return _over_range(df, series, span, "increase", ts, value, block).withColumnRenamed("_out", "increase")
+    return _over_range(df, series, span, "increase", ts, value, block, rows).withColumnRenamed("_out", "increase")
 
 
-def rate(df: DataFrame, series: Sequence[str], span: float, ts: str = "ts", value: str = "value", block: float | None = None) -> DataFrame:
-    grown = increase(df, series, span, ts, value, block)
+def rate(df: DataFrame, series: Sequence[str], span: float, ts: str = "ts", value: str = "value", block: float | None = None, rows: int | None = None) -> DataFrame:
+    grown = increase(df, series, span, ts, value, block, rows)
     return grown.withColumn("rate", F.col("increase") / F.lit(float(span))).drop("increase")
 
 
-def changes(df: DataFrame, series: Sequence[str], span: float, ts: str = "ts", value: str = "value", block: float | None = None) -> DataFrame:
+def changes(df: DataFrame, series: Sequence[str], span: float, ts: str = "ts", value: str = "value", block: float | None = None, rows: int | None = None) -> DataFrame:
     """Number of value changes over the closed window ending at each sample."""
-    out = _over_range(df, series, span, "changes", ts, value, block)
+    out = _over_range(df, series, span, "changes", ts, value, block, rows)
     return out.withColumn("changes", F.round("_out").cast("long")).drop("_out")
 
 
@@ -168,10 +175,10 @@ def instant_grid(df: DataFrame, series: Sequence[str], step: float, lookback: fl
 
 
 def increase_grid(df: DataFrame, series: Sequence[str], step: float, span: float, ts: str = "ts", value: str = "value",
-                  kind: str = "increase", block: float | None = None, end: str | None = None) -> DataFrame:
+                  kind: str = "increase", block: float | None = None, end: str | None = None, rows: int | None = None) -> DataFrame:
     """Growth (or ``changes``) over the last ``span`` seconds at every evaluation step.
 
-    Steps between neighbouring samples are found inside time blocks and then combine to one row per
+    Steps between neighbouring samples are found inside blocks and then combine to one row per
     series and half-step (samples exactly on an evaluation time, and samples between two of them). The
     rest works on these: running sums, the evaluations each row answers, and a backward pass finding
     the first half-step inside each range. No sample is multiplied, and a series is no longer than
@@ -181,10 +188,8 @@ def increase_grid(df: DataFrame, series: Sequence[str], step: float, span: float
     if reach % tick:
         raise ValueError("the range must be a multiple of the step")
     back_ticks = reach // tick
-    width = int((block or span) * 1e6)
-    spread = with_halo(df.select(*series, ts, value).withColumn("_us", micros(F.col(ts))), "_us", reach, max(width, reach))
-    by_time = Window.partitionBy(*series, "_blk").orderBy("_us")
-    steps = spread.withColumn("_step", _growth(kind, value, F.lag(value).over(by_time))).where("_own")
+    paired = previous_value(df.select(*series, ts, value), series, ts, value, block, rows)
+    steps = paired.withColumn("_us", micros(F.col(ts))).withColumn("_step", _growth(kind, value, F.col("previous")))
     half = whole(F.col("_us"), tick) + whole_up(F.col("_us"), tick)  # even on an evaluation time, odd between
     slots = steps.groupBy(*series, half.alias("_slot")).agg(
         F.sum("_step").alias("_all"), F.min_by("_step", "_us").alias("_lead"), F.count("*").alias("_n")
