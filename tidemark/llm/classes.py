@@ -43,6 +43,8 @@ ROUNDS, BLOCKS = 5, 16
 ADDED, PRIOR = 0.5, float(CLASSES)
 #: Distinct words, and pairs, that a task holds before it passes the counts on.
 HELD, HELD_PAIRS = 150_000, 1 << 19
+#: Texts whose listed words a task holds at a time.
+STEP = 500
 #: Word that stands for the end of a text; no word is empty.
 END = ""
 
@@ -326,7 +328,7 @@ def _score_batches(shared):
         end, size, get = CLASSES, len(lookup), lookup.get
         end_log = math.log10(n_ends + ADDED)
         listed = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
-        for batch in batches:
+        for batch in (whole.slice(low, STEP) for whole in batches for low in range(0, whole.num_rows, STEP)):
             n_tokens, n_known, base, score, others = [], [], [], [], []
             for text in texts_of(batch):
                 found = tokens(text)
