@@ -222,7 +222,16 @@ def _(spark, d):
     from tidemark.sources.tables import partition_by_period
 
     path = partition_by_period(table(spark, d, "events").select("event_id", "ts"), scratch_dir(spark, "days"))
-    out = J.apply_retention(spark, path, scratch_dir(spark, "kept"), "ts", "2024-01-31 00:00:00", 240)
+    J.drop_expired(spark, path, "ts", "2024-01-31 00:00:00", 240)
+    return spark.read.parquet(path).select("event_id", "ts")
+
+
+@query("l13_retention_copy", "SELECT event_id, ts FROM events WHERE ts >= timestamp '2024-01-31 00:00:00' - INTERVAL 252 HOUR")
+def _(spark, d):
+    from tidemark.sources.tables import partition_by_period
+
+    path = partition_by_period(table(spark, d, "events").select("event_id", "ts"), scratch_dir(spark, "days"))
+    out = J.apply_retention(spark, path, scratch_dir(spark, "kept"), "ts", "2024-01-31 00:00:00", 252)
     return spark.read.parquet(out).select("event_id", "ts")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import clean, evaluation, lineage, ml
@@ -37,15 +38,27 @@ class TrainingResult:
     folder: str
 
 
+def _now() -> Column:
+    """The time of this call, not of the query that uses it."""
+    return F.timestamp_micros(F.lit(int(time.time() * 1e6)))
+
+
 def train(source: DataFrame, params: Params | None = None, folder: str | None = None, run_id: str = "run") -> TrainingResult:
     """Run every stage; only published tables are materialised.
 
+    The lineage gets a START before the first stage and a COMPLETE behind the last, each with its own time, so a run
+    that failed shows as a START alone.
+
     The feature table is written once to the shared folder, and training, scoring and lineage all read
     it from there. ``fit_on='train'`` fits scaler and encoder on the train part only.
     """
     p = params or Params()
     spark = source.sparkSession
     folder = folder or scratch_dir(spark, "training")
+    job = F.lit(run_id).alias("run_id"), F.lit("training.train").alias("job"), F.array(F.lit("features")).alias("inputs"), F.array(F.lit("model")).alias("outputs")
+    started = _now().alias("started")
+    begun = spark.range(1).select(*job, started, F.lit(None).cast("timestamp").alias("ended"))
+    append_rows(lineage.lineage_events(begun), f"{folder}/lineage")
     dropped = clean.dropped_row_count(source)
     prepared, _ = clean.normalise_columns(clean.drop_null_rows(source))
 
@@ -78,11 +91,9 @@ def train(source: DataFrame, params: Params | None = None, folder: str | None =
     for row in rows[1:]:
         stages = stages.unionByName(row)
 
-    job = metrics.select(
-        F.lit(run_id).alias("run_id"), F.lit("training.train").alias("job"), F.current_timestamp().alias("started"),
-        F.current_timestamp().alias("ended"), F.array(F.lit("features")).alias("inputs"), F.array(F.lit("model")).alias("outputs"),
-        counts.select("train").scalar().alias("n_rows"),
+    done = metrics.select(
+        *job, started, _now().alias("ended"), counts.select("train").scalar().alias("n_rows"),
         F.create_map(F.lit("accuracy"), F.col("accuracy"), F.lit("f1"), F.col("f1")).alias("metrics"),
-    )
-    append_rows(lineage.lineage_events(job), f"{folder}/lineage")
+    )
+    append_rows(lineage.lineage_events(done).where("eventType = 'COMPLETE'"), f"{folder}/lineage")
     return TrainingResult(model, metrics, stages, folder)

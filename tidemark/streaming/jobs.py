@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.ml import PipelineModel
@@ -88,6 +90,38 @@ def apply_retention(spark, source: str, out: str, ts: str, as_of: str, hours: fl
     return out
 
 
+def drop_expired(spark, table: str, ts: str, as_of: str, hours: float = 720) -> dict[str, int]:
+    """Remove what is older than the period from a table partitioned by day (``dt=yyyy-mm-dd``), in place.
+
+    Folders of expired days are deleted and only the day in which the period begins is written again, so the cost
+    follows what goes, not what stays: the files of all later days are left as they are. The rewritten day is
+    made beside the old one and takes its place by renaming. Returns how many folders went and were rewritten.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(table)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    begin = datetime.fromisoformat(as_of) - timedelta(hours=hours)
+    done = {"dropped": 0, "rewritten": 0}
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if not name.startswith("dt="):
+            continue
+        day = datetime.fromisoformat(name[3:])
+        if day + timedelta(days=1) <= begin:
+            fs.delete(status.getPath(), True)
+            done["dropped"] += 1
+        elif day < begin:
+            # names with a leading underscore are no part of the table
+            new, old = path(root, f"_new-{uuid.uuid4().hex}"), path(root, f"_old-{uuid.uuid4().hex}")
+            rows = spark.read.parquet(status.getPath().toString())
+            rows.where(F.col(ts) >= F.lit(begin.isoformat(sep=" ")).cast("timestamp_ntz")).write.parquet(new.toString())
+            fs.rename(status.getPath(), old)
+            fs.rename(new, status.getPath())
+            fs.delete(old, True)
+            done["rewritten"] += 1
+    return done
+
+
 def rolling_drift_stream(current: DataFrame, reference: DataFrame, out: str, checkpoint: str, ts: str, window: str, col: str,
                          bins: Sequence[float], limit: float = 0.1, every: str | None = None):
     """Each window of the stream against a fixed reference; every cycle publishes all windows' distances.
