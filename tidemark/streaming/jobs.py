@@ -17,6 +17,10 @@ from tidemark.operators import drift, evaluation, features, ml, stats, tseries
 from tidemark.streaming.runs import each_batch
 
 
+#: Versions of a state table that stay.
+KEPT = 3
+
+
 def score_stream(model: PipelineModel, requests: DataFrame, names: Sequence[str], model_name: str = "baseline-v1") -> DataFrame:
     """Valid requests scored as they arrive."""
     return ml.score(model, ml.valid_requests(requests, names)[0], model_name)
@@ -156,11 +160,23 @@ def _state_before(spark, root: str, batch_id: int) -> DataFrame | None:
     return rows.where(F.col("version") == rows.agg(F.max("version").alias("v")).scalar()).drop("version")
 
 
+def _forget(spark, root: str, batch_id: int) -> None:
+    """Delete versions that no reader can need: all but the newest ``KEPT`` up to this batch.
+
+    A repeated batch needs the version before its own, and a reader that began earlier the one it began with.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = {int(n[len("version="):]): s.getPath() for s in fs.listStatus(path) if (n := s.getPath().getName()).startswith("version=")}
+    for number in sorted(v for v in held if v <= batch_id)[:-KEPT]:
+        fs.delete(held[number], True)
+
+
 def incremental_materialize(df: DataFrame, out: str, checkpoint: str, entity: str, ts: str, cols: Sequence[str]):
     """Keep the latest-value table up to date from a stream of feature rows.
 
     Each batch merges into the previous version and is published as the next one, so a batch that is
-    repeated after a failure gives the same version.
+    repeated after a failure gives the same version. The newest ``KEPT`` versions stay.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
@@ -168,6 +184,7 @@ def incremental_materialize(df: DataFrame, out: str, checkpoint: str, entity: st
         before = _state_before(spark, out, batch_id)
         merged = features.merge_latest(before, batch, entity, ts, cols)
         merged.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+        _forget(spark, out, batch_id)
 
     return each_batch(df, work, checkpoint)
 
@@ -193,6 +210,7 @@ def counter_delta_stream(df: DataFrame, out: str, state: str, checkpoint: str, s
         paired.where("_new").select(*keep, step.alias("delta")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         last = rows.groupBy(*series).agg(F.max(ts).alias(ts), F.max_by(value, ts).alias(value))
         last.write.mode("overwrite").parquet(f"{state}/version={batch_id}")
+        _forget(spark, state, batch_id)
         batch.unpersist()
 
     return each_batch(df, work, checkpoint)
