@@ -22,20 +22,6 @@ def ks_pvalue(statistic: Column, n: Column, m: Column, terms: int = 100) -> Colu
     return F.when(lam2 < 1e-3, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * series)))
 
 
-def erf(x: Column, terms: int = 400) -> Column:
-    """Error function of a non-negative column: a power series with positive terms, 1 beyond |x| = 6."""
-    y = x * x
-
-    def step(acc: Column, k: Column) -> Column:
-        nxt = acc["term"] * (2.0 * y) / (2.0 * k + 1.0)
-        return F.struct(nxt.alias("term"), (acc["total"] + nxt).alias("total"))
-
-    first = F.lit(2.0 / math.sqrt(math.pi)) * x * F.exp(-y)
-    start = F.struct(first.alias("term"), first.alias("total"))
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda acc: acc["total"])
-    return F.when(x > 6, F.lit(1.0)).otherwise(F.least(F.lit(1.0), series))
-
-
 def upper_gamma(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function, by its series or its continued fraction, run to convergence."""
     if x <= 0:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -174,7 +173,3 @@ def baseline(df: DataFrame, target: str, key: str, trees: int = 100) -> DataFram
     train, test = train_test_split(numeric, key)
     scored = score(fit_forest(train, features, target, trees=trees), test)
     return evaluation.classification_report(scored, target, "prediction")
-
-
-def expected_test_rows(n: int, test_size: float) -> int:
-    return math.ceil(n * test_size)
