@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +35,6 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` under a name that says what it is for."""
-    return df.mapInArrow(fn, schema)
-
-
 def type_of(df: DataFrame, column: str) -> str:
     """The SQL type of a column, for output schemas that carry it along."""
     return df.schema[column].dataType.simpleString()
