@@ -73,7 +73,33 @@ def test_ratios_equal_direct_computation(spark):
     assert set(model.words) == want and b"idiot" in want
     for w, ratio in model.words.items():
         assert ratio == pytest.approx(math.log(p(1, w.decode()) / p(0, w.decode())))
-    assert (b"go", b"away") in model.pairs
+    both = [{}, {}]
+    for t, y, out in ((t.split(), truth[i], held(i)) for i, t, _ in rows):
+        for pair in set() if out else set(zip(t, t[1:])):
+            both[y][pair] = both[y].get(pair, 0) + 1
+    dp = []
+    for c in (0, 1):
+        once, twice = (sum(v == k for v in both[c].values()) for k in (1, 2))
+        dp.append(min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5)
+
+    def joint(c, v, w):
+        mine = [k for (a, _), k in both[c].items() if a == v]
+        if not mine:
+            return p(c, w)
+        return (max(both[c].get((v, w), 0) - dp[c], 0) + dp[c] * len(mine) * p(c, w)) / sum(mine)
+
+    chosen = {pair for pair in {*both[0], *both[1]} if tx._worth((both[0].get(pair, 0), both[1].get(pair, 0)), (n[1], n[0]))}
+    assert {(v.decode(), w.decode()) for v, w in model.pairs} == chosen and ("go", "away") in chosen
+    assert any(not both[1].get(pair) for pair in chosen)  # of ordinary documents only
+    for (v, w), ratio in model.pairs.items():
+        assert ratio == pytest.approx(math.log(joint(1, v.decode(), w.decode()) / joint(0, v.decode(), w.decode())))
+    # the score: the curve over the mean and root features of the whole text
+    after = tx.followers(model)
+    for r in tx.score(docs, model).collect()[:40]:
+        words = rows[r["doc_id"]][1].encode().split()
+        ratios = [model.words.get(w, 0.0) for w in words] + [after.get(v, {}).get(w, 0.0) for v, w in zip(words, words[1:])]
+        z = model.curve[0] + model.curve[1] * sum(ratios) / len(words) + model.curve[2] * sum(ratios) / math.sqrt(len(words))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)))
 
 
 def test_edge_rows(spark):

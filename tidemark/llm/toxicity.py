@@ -3,7 +3,8 @@
 Each class has a model with absolute discounting over continuation counts: in how many different documents
 of the class an expression stands, so that one document that repeats itself counts once. The mass of the
 discounts goes to backoff counts that both classes share, taken from all documents, labelled or not; a rare
-expression thus owes its probability mostly to them. A pair backs off to its second word.
+expression thus owes its probability mostly to them. A pair backs off to its second word, with the mass that
+the discounts of all pairs of its first word leave in the class.
 
 An expression whose class counts differ no more than chance explains (a likelihood-ratio statistic below
 ``EVIDENCE``) has the shared probability in both classes and cancels out of the comparison. What is left is
@@ -33,8 +34,6 @@ from tidemark.plans.scratch import cut
 FIT_ROWS = 200_000
 #: Least likelihood-ratio statistic of an expression of its own (chance gives one word in ten thousand more).
 EVIDENCE = 15.0
-#: Documents of a class in which a pair must stand to be looked at.
-PAIR_DOCS = 4
 #: Distinct expressions that a task counts before it passes the counts on.
 HELD = 150_000
 #: Strength of the prior that keeps the logistic curve finite.
@@ -71,7 +70,7 @@ def _pair(a: bytes, b: bytes) -> bytes:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Documents per expression: slot 4 for all of them, 2 * half + class for labelled ones; pairs of toxic ones."""
+    """Documents per expression: slot 4 for all of them, 2 * half + class for labelled ones, with their pairs."""
     held = [Counter() for _ in range(5)]
 
     def flush(slot: int) -> pa.RecordBatch:
@@ -88,8 +87,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch
             if toxic is not None:
                 slot = 2 * half + toxic
                 held[slot].update(distinct)
-                if toxic:
-                    held[slot].update(set(map(_pair, words, words[1:])))
+                held[slot].update(set(map(_pair, words, words[1:])))
                 if len(held[slot]) > HELD:
                     yield flush(slot)
             if len(held[4]) > HELD:
@@ -99,22 +97,6 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch
             yield flush(slot)
 
 
-def _pair_batches(wanted):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        keys = wanted.value
-        counts = [Counter(), Counter()]
-        for batch in batches:
-            for text, half in zip(texts_of(batch), batch.column("half").to_pylist()):
-                words = folded_words(text)
-                counts[half].update(keys & set(map(_pair, words, words[1:])))
-        for half in (0, 1):
-            names = pa.array(list(counts[half]), pa.binary()).cast(pa.string())
-            n = len(counts[half])
-            yield pa.RecordBatch.from_arrays([names, pa.array([2 * half] * n, pa.int32()), pa.array(list(counts[half].values()), pa.int64())], ["expr", "slot", "n"])
-
-    return run
-
-
 def _table(rows: DataFrame) -> DataFrame:
     return rows.groupBy("expr").agg(*[F.coalesce(F.sum(F.when(F.col("slot") == s, F.col("n"))), F.lit(0)).alias(f"c{s}") for s in range(5)])
 
@@ -129,14 +111,20 @@ def _statistic(x: Column, y: Column, n1: int, n0: int) -> Column:
     return 2 * (part(x, n1, share) + part(y, n0, share) + part(F.lit(n1) - x, n1, 1 - share) + part(F.lit(n0) - y, n0, 1 - share))
 
 
-def _ratios(rows: list, totals, docs: tuple[int, int], pick) -> Model:
-    """The table of one model; pick gives (toxic, ordinary) counts of a row."""
+def _discount(once: int, twice: int) -> float:
+    """Absolute discount from how many expressions stand in one and in two documents."""
+    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+
+
+def _ratios(rows: list, contexts: list, totals, docs: tuple[int, int], m: int, pick) -> Model:
+    """The table of model ``m``; pick gives (toxic, ordinary) counts of a row; contexts are sums by first word."""
     n1, n0 = docs
     model = Model(prior=(n1 + 1) / (n1 + n0 + 2))
-    types, mass, once, twice = totals["types"], totals["mass"], totals["once"], totals["twice"]
+    types, mass = totals["types"], totals["mass"]
     if not (n1 and n0 and mass[0] and mass[1]):
         return model
-    discount = [min(0.95, max(0.1, once[c] / (once[c] + 2 * twice[c]))) if once[c] else 0.5 for c in (0, 1)]
+    discount = [_discount(totals["once"][c], totals["twice"][c]) for c in (0, 1)]
+    of_pairs = [_discount(totals["pair_once"][c], totals["pair_twice"][c]) for c in (0, 1)]
     spare = [discount[c] * types[c] / mass[c] for c in (0, 1)]
 
     def word(counts: tuple[int, int], shared: float) -> tuple[float, float]:
@@ -147,26 +135,22 @@ def _ratios(rows: list, totals, docs: tuple[int, int], pick) -> Model:
     for r in rows:
         toxic, ordinary = pick(r)
         if " " in r["expr"]:
-            pairs.append((tuple(r["expr"].encode().split(b" ")), (ordinary, toxic), r))
+            pairs.append((tuple(r["expr"].encode().split(b" ")), (ordinary, toxic)))
         else:
             known[r["expr"].encode()] = ((ordinary, toxic), max(r["c4"], 1) / max(totals["shared"], 1))
     for name, (counts, shared) in known.items():
         if _worth(counts, docs):
             o, t = word(counts, shared)
             model.words[name] = math.log(t / o)
-    followers: dict[bytes, list[int]] = {}
-    for (v, _), counts, _ in pairs:
-        sums = followers.setdefault(v, [0, 0])
-        sums[0] += counts[0]
-        sums[1] += counts[1]
-    for (v, w), counts, _ in pairs:
-        if v not in known or w not in known or not _worth(counts, docs):
+    after = {r["first"].encode(): [(r[f"mass{m}{c}"], r[f"types{m}{c}"]) for c in (0, 1)] for r in contexts}
+    for (v, w), counts in pairs:
+        if not _worth(counts, docs):
             continue
-        below = word(*known[w])
-        own = []
+        own = list(word(*known[w]))
         for c in (0, 1):
-            seen = max(known[v][0][c], followers[v][c], 1)
-            own.append(max(counts[c] - discount[c], 0.0) / seen + max(discount[c] / seen, 1 - followers[v][c] / seen) * below[c])
+            seen, kinds = after[v][c]
+            if seen:
+                own[c] = (max(counts[c] - of_pairs[c], 0.0) + of_pairs[c] * kinds * own[c]) / seen
         model.pairs[v, w] = math.log(own[1] / own[0])
     return model
 
@@ -247,24 +231,28 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     single, pair = counts.where(~F.contains("expr", F.lit(" "))), counts.where(F.contains("expr", F.lit(" ")))
     halves = {0: [0], 1: [1], 2: [0, 1]}  # the halves that each model learns from
     side = {(m, c): sum((F.col(f"c{2 * h + c}") for h in hs), F.lit(0)) for m, hs in halves.items() for c in (0, 1)}
-    sums = [F.sum("c4").alias("shared")]
-    for (m, c), n in side.items():
-        sums += [F.sum(n).alias(f"mass{m}{c}"), F.count_if(n > 0).alias(f"types{m}{c}"), F.count_if(n == 1).alias(f"once{m}{c}"), F.count_if(n == 2).alias(f"twice{m}{c}")]
-    total = single.agg(*sums).first()
+
+    def sums(which) -> list[Column]:
+        each = {"mass": F.sum, "types": lambda n: F.count_if(n > 0), "once": lambda n: F.count_if(n == 1), "twice": lambda n: F.count_if(n == 2)}
+        return [each[k](n).alias(f"{k}{m}{c}") for (m, c), n in side.items() for k in which]
+
+    total = single.agg(F.sum("c4").alias("shared"), *sums(["mass", "types", "once", "twice"])).first()
+    joint = pair.agg(*sums(["once", "twice"])).first()
     totals = {m: {k: [total[f"{k}{m}{c}"] or 0 for c in (0, 1)] for k in ("mass", "types", "once", "twice")} | {"shared": total["shared"] or 0} for m in halves}
+    for m in halves:
+        totals[m] |= {f"pair_{k}": [joint[f"{k}{m}{c}"] or 0 for c in (0, 1)] for k in ("once", "twice")}
     docs_of = {m: tuple(sum(sizes.get((h, c), 0) for h in hs) for c in (1, 0)) for m, hs in halves.items()}
 
-    wanted = pair.where(F.col("c1") + F.col("c3") >= PAIR_DOCS)
-    names = {r["expr"].encode() for r in wanted.select("expr").collect()}  # bounded with the sample
-    ordinary = fit.where("toxic = 0").select("text", "half").mapInArrow(_pair_batches(spark.sparkContext.broadcast(names)), "expr string, slot int, n bigint")
-    pairs = _table(wanted.select("expr", F.inline(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(f"c{s}").alias("n")) for s in (1, 3)]))).union(ordinary))
-
     def worth(x: Column, y: Column, m: int) -> Column:
         n1, n0 = docs_of[m]
         return (_statistic(x.cast("double"), y.cast("double"), n1, n0) >= EVIDENCE * 0.999) if n1 and n0 else F.lit(False)
 
     any_model = lambda: worth(side[0, 1], side[0, 0], 0) | worth(side[1, 1], side[1, 0], 1) | worth(side[2, 1], side[2, 0], 2)
-    rows = cut(pairs.where(any_model()), "pairs").collect()
+    chosen = cut(pair.where(any_model()), "pairs")
+    first = F.substring_index("expr", " ", 1).alias("first")
+    ahead = cut(chosen.select(first).distinct(), "firsts")
+    contexts = pair.select(first, "*").join(ahead, "first").groupBy("first").agg(*sums(["mass", "types"])).collect()  # bounded with the sample
+    rows = chosen.collect()
     parts = {w for r in rows for w in r["expr"].split(" ")}
     near = F.broadcast(spark.createDataFrame([(w,) for w in sorted(parts)], "part string"))
     rows += single.where(any_model()).collect()
@@ -275,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     def pick(m: int):
         return lambda r: tuple(sum(r[f"c{2 * h + c}"] for h in halves[m]) for c in (1, 0))
 
-    models = {m: _ratios(rows, totals[m], docs_of[m], pick(m)) for m in halves}
+    models = {m: _ratios(rows, contexts, totals[m], docs_of[m], m, pick(m)) for m in halves}
     whole = models[2]
     if all(docs_of[2]):
         crossed = fit.select("text", "half", "toxic").mapInArrow(_feature_batches(spark.sparkContext.broadcast([models[0], models[1]])), "mean double, root double, toxic int")
