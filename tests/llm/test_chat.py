@@ -101,8 +101,8 @@ def test_empty(spark):
     assert chat.link_calls(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).count() == 0
 
 
-def test_long_chain_backwards(spark):
-    n = 12
+def test_long_chain_forwards_in_logarithmic_rounds(spark):
+    n = 5000
     calls = [(1, i, f"c{i}", "ping", "{}", [f"c{i + 1}"] if i + 1 < n else None, "x") for i in range(n)]
     got = chat.link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), SCHEMAS)
     assert {r["call_id"]: r["position"] for r in got.collect()} == {f"c{i}": n - 1 - i for i in range(n)}

@@ -1,8 +1,9 @@
 """Tool-call linking for chat data, in DataFrame operations only.
 
 Calls and results meet in a hash join on (conversation, identifier). Calls are put in a topological order of
-their declared dependencies: where these all point back in time the order of the turns is one already; the
-conversations in which some do not are ordered by levels, a round of joins for each. Arguments are parsed as
+their declared dependencies: where these all point back in time the order of the turns is one already; in the
+conversations in which some do not, chains of single dependencies are contracted by doubling, and what is left
+is ordered by levels, a round of joins for each. Arguments are parsed as
 variants, checked against a schema of the tool, and written as canonical JSON: object keys sorted at every
 depth, no spaces, numbers in one form. Conversations may be of any length: positions come from counts per
 block of turns, and no conversation is gathered.
@@ -35,6 +36,25 @@ def first_of_each(rows: DataFrame, value: str) -> DataFrame:
     return best.select("conv_id", "call_id", *[F.col("_b")[c].alias(c) for c in others], "n")
 
 
+def _chains(pending: DataFrame) -> DataFrame:
+    """``conv_id, call_id, to, far`` of calls with a single dependency: where the chain of such calls ends, how far.
+
+    Every round doubles the distance. A chain that runs into a cycle of such calls goes on beyond the number of
+    calls; its end is then null.
+    """
+    degree = pending.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("dep").alias("to")).where("n = 1")
+    now = cut(degree.select("conv_id", "call_id", "to", F.lit(1).cast("bigint").alias("far")), "chains")
+    for _ in range(now.count().bit_length() + 1):
+        ahead = now.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("then"), F.col("far").alias("more"))
+        met = now.join(ahead, ["conv_id", "to"], "left")
+        now = cut(met.select("conv_id", "call_id", F.coalesce("then", "to").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("then").isNotNull().alias("moved")), "chains")
+        if now.where("moved").isEmpty():
+            break
+        now = now.drop("moved")
+    inner = now.select("conv_id", F.col("call_id").alias("to"), F.lit(True).alias("inside"))
+    return now.join(inner, ["conv_id", "to"], "left").select("conv_id", "call_id", F.when(F.col("inside").isNull(), F.col("to")).alias("to"), "far")
+
+
 def dependency_levels(calls: DataFrame) -> DataFrame:
     """``conv_id, call_id, level, missing`` of calls (``conv_id, call_id, turn, after``).
 
@@ -50,15 +70,22 @@ def dependency_levels(calls: DataFrame) -> DataFrame:
     ahead = cut(real.where(F.col("dep_turn") >= F.col("turn")).select("conv_id").distinct(), "ahead")
     mine = cut(calls.join(ahead, "conv_id", "left_semi").select("conv_id", "call_id"), "unordered")
     pending = cut(real.join(ahead, "conv_id", "left_semi").select("conv_id", "call_id", "dep"), "pending")
-    done = cut(mine.join(pending, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    size = done.count()
-    while size:
-        reached = pending.join(done.select("conv_id", F.col("call_id").alias("dep"), F.col("level").alias("below")), ["conv_id", "dep"], "left")
-        ready = reached.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("below").alias("m"), F.max("below").alias("top")).where("n = m")
-        done = cut(done.where("level = 0").join(pending, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", "level").union(ready.select("conv_id", "call_id", (F.col("top") + 1).cast("int"))), "levels")
+    chains = cut(_chains(pending), "chains")
+    over = chains.select("conv_id", F.col("call_id").alias("dep"), "to", "far")
+    rest = pending.join(chains, ["conv_id", "call_id"], "left_anti").join(over, ["conv_id", "dep"], "left")
+    # a dependency in a chain counts as one on the chain's end; one into a cycle stays, and is never met
+    rest = cut(rest.select("conv_id", "call_id", F.coalesce("to", "dep").alias("dep"), F.coalesce("far", F.lit(0)).alias("far")), "rest")
+    roots = cut(mine.join(pending, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "roots")
+    done, size = roots, roots.count()
+    while size and not rest.isEmpty():
+        reached = rest.join(done.select("conv_id", F.col("call_id").alias("dep"), F.col("level").alias("below")), ["conv_id", "dep"], "left")
+        ready = reached.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("below").alias("m"), F.max(F.col("below") + F.col("far")).alias("top")).where("n = m")
+        done = cut(roots.union(ready.select("conv_id", "call_id", (F.col("top") + 1).cast("int"))), "levels")
         before, size = size, done.count()
         if size == before:
             break
+    ends = done.select("conv_id", F.col("call_id").alias("to"), "level")
+    done = done.union(chains.join(ends, ["conv_id", "to"]).select("conv_id", "call_id", (F.col("level") + F.col("far")).cast("int")))
     found = mine.join(done, ["conv_id", "call_id"], "left").withColumn("_unordered", F.lit(True))
     joined = calls.select("conv_id", "call_id").join(found, ["conv_id", "call_id"], "left").join(missing, ["conv_id", "call_id"], "left")
     return joined.select("conv_id", "call_id", F.when(F.col("_unordered"), F.col("level")).otherwise(0).alias("level"), F.coalesce("missing", F.lit(0)).alias("missing"))
