@@ -1,4 +1,4 @@
-"""Proximity matches of the registered uses, against brute force."""
+"""Phrase and proximity matches of the registered uses, against brute force."""
 
 import hashlib
 import random
@@ -20,14 +20,14 @@ def corpus():
     return [(d, " ".join(w)) for d, w in docs], items
 
 
-def test_proximity_reaches_query_and_stage(spark, tmp_path):
+def test_matches_reach_query_and_stage(spark, tmp_path):
     docs, items = corpus()
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     want = brute(docs, items, 10, 20)
-    got = queries.QUERIES["op1_benchmark_proximity"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["op1_benchmark_decontamination"](spark, str(tmp_path)).collect()
     digest = lambda ids: hashlib.sha256(",".join(ids).encode()).hexdigest()
-    assert sorted(map(tuple, got)) == sorted((int(d), len(near), digest(near), bool(near)) for d, _, _, _, near in want)
+    assert sorted(map(tuple, got)) == sorted((int(d), n, len(hit), len(met), digest(met), bool(hit), len(near), digest(near)) for d, n, hit, met, near in want)
     assert [bool(near) for *_, near in want] == [False, True, True, True, False]
     kept = cp.decontaminate(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 4]

@@ -35,8 +35,10 @@ BLOCK_WORDS = 1 << 17
 #: Test vocabularies of up to this many distinct terms are sent to the tasks, so that only their postings are
 #: stored; for a larger one the postings of all terms are stored, which gives the same matches.
 MAX_TERMS = 300_000
-#: Test windows searched in one pass over the index.
+#: Test windows searched in one pass over the index; what a pass finds is written before the next one.
 MAX_WINDOWS = 50_000
+#: Groups of index blocks in which the counts of a term are added up first.
+GROUPS = 64
 
 
 def _index_batches(vocabulary, id_type: pa.DataType, block_words: int):
@@ -124,7 +126,9 @@ def test_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def by_rarity(windows: DataFrame, index: DataFrame) -> DataFrame:
     """Windows whose terms all occur in the index: ``item_id, size, plan``; plan lists (count, offset, term), rarest first."""
-    counts = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("n"))
+    listed = index.select(F.pmod(F.xxhash64("block"), F.lit(GROUPS)).alias("group"), F.explode(F.arrays_zip("terms", "counts")).alias("t"))
+    some = listed.groupBy(F.col("t.terms").alias("term"), "group").agg(F.sum("t.counts").alias("n"))
+    counts = some.groupBy("term").agg(F.sum("n").alias("n"))
     parts = windows.select("item_id", "terms", F.posexplode("terms").alias("offset", "term"))
     met = parts.join(counts, "term").groupBy("item_id", "terms").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("plan"))
     return met.where(F.size("plan") == F.size("terms")).select("item_id", F.size("terms").alias("size"), "plan")
@@ -226,7 +230,11 @@ def matches(index: DataFrame, windows: DataFrame, within: int | None = None, max
     for chunk in range(chunks):
         mine = plans.where(F.pmod(F.xxhash64("item_id", "plan"), F.lit(chunks)) == chunk) if chunks > 1 else plans
         rows = [(r["item_id"], r["size"], [(p["offset"], p["term"]) for p in r["plan"]]) for r in mine.collect()]
-        part = index.mapInArrow(_match_batches(spark.sparkContext.broadcast(rows), within, id_type), schema)
+        shared = spark.sparkContext.broadcast(rows)
+        part = index.mapInArrow(_match_batches(shared, within, id_type), schema)
+        if chunks > 1:
+            part = cut(part.where((F.size("items") > 0) | (F.size("near_items") > 0) | F.lit(chunk == 0)), "matches")
+            shared.destroy()
         found = part if found is None else found.union(part)
     if chunks > 1:
         first = Window.partitionBy("block", "slot")

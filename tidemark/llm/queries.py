@@ -41,41 +41,45 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""
     WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
     b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-    win AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[s:s + 9], ' ') AS gram
+    win AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, w[s:s + 9] AS terms, array_to_string(w[s:s + 9], ' ') AS gram
             FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS s FROM b WHERE len(w) > 0)),
     sizes AS (SELECT DISTINCT k FROM win),
     g AS (SELECT doc_id, s, k, array_to_string(w[s:s + k - 1], ' ') AS gram
           FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, sizes WHERE len(w) >= k)),
     m AS (SELECT g.doc_id, g.s, g.k, win.item_id FROM g JOIN win USING (k, gram)),
     h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM m) GROUP BY doc_id),
-    i AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM m) GROUP BY doc_id)
+    i AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM m) GROUP BY doc_id),
+    c AS (SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM d) GROUP BY term),
+    rare AS (SELECT item_id, terms, arg_min(term, 100 * n + place) AS term
+             FROM (SELECT item_id, terms, unnest(terms) AS term, unnest(range(1, len(terms) + 1)) AS place FROM win) JOIN c USING (term)
+             GROUP BY item_id, terms),
+    around AS (SELECT doc_id, w[p] AS term, w[greatest(1, p - 19):p + 19] AS near
+               FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d) WHERE w[p] IN (SELECT term FROM rare)),
+    x AS (SELECT doc_id, count(*) AS n_near, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM around JOIN rare USING (term) WHERE list_has_all(near, terms))
+          GROUP BY doc_id)
     SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
-           sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
-    FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+           sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated,
+           coalesce(x.n_near, 0) AS n_near_items, sha256(coalesce(x.ids, '')) AS near_items_sha256
+    FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN x USING (doc_id)
     """,
 )
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of each document inside a ten-word window of a benchmark item."""
-    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Words of each document inside a ten-word window of a benchmark item, and items whose words stand close together."""
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), within=decontamination.WITHIN)
+
+    def digest(items: str):
+        return F.sha2(F.concat_ws(",", F.array_sort(items)), 256)
+
     return found.select(
         "doc_id",
         "n_words",
         F.size("hits").cast("bigint").alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
+        digest("items").alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
-    )
-
-
-@query("op1_benchmark_proximity")
-def op1_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items with a ten-word window whose words all stand close together in a document, in any order."""
-    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), within=decontamination.WITHIN)
-    return found.select(
-        "doc_id",
         F.size("near_items").cast("bigint").alias("n_near_items"),
-        F.sha2(F.concat_ws(",", F.array_sort("near_items")), 256).alias("near_items_sha256"),
-        (F.size("near_items") > 0).alias("near"),
+        digest("near_items").alias("near_items_sha256"),
     )
 
 
