@@ -3,10 +3,14 @@
 import random
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
-from tests.llm.test_decontamination import words as folded
+from tests.llm.test_decontamination import brute as brute_matches
+from tests.llm.test_jaccard import brute_components
 from tests.llm.test_quality import brute_distances, brute_stats, vector
-from tests.llm.test_simhash import brute_components
+from tests.llm.test_simhash import brute_components as brute_fingerprints
 from tidemark.llm import quality as ql
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -24,11 +28,14 @@ def corpus():
         if kind < 0.1:
             w = [x + "%%%" for x in w]
         elif kind < 0.2:
-            w[5:5] = items[rng.randrange(5)][1].split()
+            phrase = items[rng.randrange(5)][1].split()
+            if rng.random() < 0.4:  # its words close together only
+                rng.shuffle(phrase)
+            w[5:5] = phrase
         elif kind < 0.4 and rows:
             w = rng.choice(rows)[1].split(" ")
-            if len(w) > 100 and rng.random() < 0.5:
-                w[-1] = "changed"
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = "changed"
         rows.append((i, " ".join(w), rng.choice(["en", "de"]), rng.choice(["a", "a", "a", "b"]), 1))
     return rows + [(900, None, "en", "a", None), (901, "", None, None, 0), (3, *rows[3][1:]), (902, " ".join(make(9000)), "en", "b", 1)], items
 
@@ -46,13 +53,22 @@ def brute_quality(rows):
 
 
 def brute_dedup(rows):
-    first = {d: c for d, _, c in brute_components([r[:2] for r in rows])}
-    return list({r[0]: r for r in rows if first[r[0]] == r[0]}.values())
+    first = {d: str(c) for d, c in brute_components([r[:2] for r in rows])}
+    return list({r[0]: r for r in rows if first[str(r[0])] == str(r[0])}.values())
 
 
 def brute_clean(rows, items):
-    grams = {tuple(w[i : i + 10]) for _, t in items for w in [folded(t)] for i in range(len(w) - 9)}
-    return [r for r in rows if not any(tuple(w[i : i + 10]) in grams for w in [folded(r[1])] for i in range(len(w) - 9))]
+    met = {d for d, _, hit, _, near in brute_matches([r[:2] for r in rows], items, 10, 20) if hit or near}
+    return [r for r in rows if str(r[0]) not in met]
+
+
+def test_corpus_holds_what_other_methods_miss():
+    rows, items = corpus()
+    rows = brute_quality(rows)
+    links = {(d, str(c)) for d, c in brute_components([r[:2] for r in rows])}
+    assert links != {(str(d), str(c)) for d, _, c in brute_fingerprints([r[:2] for r in rows])}
+    rows = brute_dedup(rows)
+    assert any(near and not hit for _, _, hit, _, near in brute_matches([r[:2] for r in rows], items, 10, 20))
 
 
 def test_stages(spark, tmp_path):
@@ -84,6 +100,19 @@ def test_stages(spark, tmp_path):
         assert sorted(r["slot"] for r in placed if r["shard"] == s) == list(range(n))
 
 
+@pytest.mark.parametrize("name, stage", cp.STAGES)
+def test_clashing_columns_pass_through(spark, tmp_path, name, stage):
+    rows, items = corpus()
+    more = ["_key", "_shuffle", "_text", "_id_key", "_text_key", "text_key", "_rejected_id", "node", "root", "block", "row", "key", "rank", "_row", "_source", "tokens", "hits", "items", "kept"]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(c) for c in more])
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns + (["shard", "slot"] if name == "shard" else [])
+    placed = got.collect()
+    assert placed and all(r[c] == f"{c}:{r['doc_id']}" for r in placed for c in more)
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

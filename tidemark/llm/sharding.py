@@ -49,10 +49,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The ``docs`` (doc_id, text, source, ...) with ``shard`` and ``slot``.
 
     The texts move once: what decides is a narrow table, to which each text is then joined. Null and empty
-    texts are rows like any other. Columns named shard or slot are replaced.
+    texts are rows like any other. Columns named shard or slot are replaced; any others may
+    have any name.
     """
     rest = [c for c in docs.columns if c not in ("text", "shard", "slot")]
-    key = F.md5("text")
-    placed = assign(docs.select(*rest, key.alias("_key"), number(docs, seed).alias("_shuffle")), number="_shuffle", shards=shards)
-    joined = with_texts(placed, docs, "_key")
-    return joined.select(*[F.col("_text").alias("text") if c == "text" else c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
+    carried = F.struct(*rest).alias("row")  # one column, so that no name can clash
+    placed = assign(docs.select(carried, "doc_id", "source", F.md5("text").alias("key"), number(docs, seed).alias("shuffle")), number="shuffle", shards=shards)
+    joined = with_texts(placed, docs.select("doc_id", "text"), "key")
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    return joined.select(*[F.col("_text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in kept], "shard", "slot")
