@@ -149,14 +149,6 @@ def _(spark, d):
     return ntz(out, "at").withColumn("rate", F.round("rate", 9))
 
 
-@query("l8_alert_stream", f"WITH {STATES_SQL} SELECT kind, \"at\", since, state FROM states")
-def _(spark, d):
-    evals = as_stream(spark, hourly(spark, d).select("kind", "at", "active"), "evaluations")
-    out = scratch_dir(spark, "alerts")
-    R.append_to(J.alert_stream(evals, "kind", "active", 7200), out, out + "-checkpoint")
-    return spark.read.parquet(out)
-
-
 HALF = "2024-01-16 00:00:00"
 
 
@@ -169,6 +161,17 @@ def two_steps(spark, df, ts, work):
         work(R.read_stream(spark, path, df.schema))
 
 
+@query("l8_alert_stream", f"WITH {STATES_SQL} SELECT kind, \"at\", since, state FROM states")
+def _(spark, d):
+    out = scratch_dir(spark, "alerts")
+
+    def work(stream):
+        J.alert_stream(stream, out + "/rows", out + "/state", out + "/checkpoint", "kind", "active", 7200, idle=14 * 86_400)
+
+    two_steps(spark, hourly(spark, d).select("kind", "at", "active"), "at", work)
+    return spark.read.parquet(out + "/rows").drop("batch")
+
+
 @query(
     "l9_counter_delta_stream",
     f"WITH s AS (SELECT kind, ts, value, lag(value) OVER (PARTITION BY kind ORDER BY ts) AS p FROM v4c) SELECT kind, ts, value, round({GROWTH}, 6) AS delta FROM s",

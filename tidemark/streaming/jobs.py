@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.scalars import micros
 from tidemark.operators import drift, evaluation, features, ml, stats, tseries
+from tidemark.plans.blocks import TimeBlocks
+from tidemark.plans.scratch import cut, tables
 from tidemark.streaming.runs import each_batch
 
 
@@ -216,30 +216,70 @@ def counter_delta_stream(df: DataFrame, out: str, state: str, checkpoint: str, s
     return each_batch(df, work, checkpoint)
 
 
-def alert_stream(evals: DataFrame, series: str, active: str, hold: float = 300, at: str = "at") -> DataFrame:
-    """Alert state per evaluation, incrementally: state per series is the start of its current true run.
+def _run_starts(rows: DataFrame, held: DataFrame, block: float | None, limit: int | None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (``_s, _us, _on``) with ``since_us``, where the run of true ones that they belong to began; and where
+    every series then stands (``_s, since_us, last_us``), ``held`` being the same from before.
 
-    The stream has one row per series and evaluation time, so a group in a batch is as long as the
-    number of evaluations in it. Evaluations of one series are put in time order inside a batch.
+    Series are cut into blocks. Inside one a run begins behind the last false row; a run that reaches back to the start
+    of its block takes its begin from a table with one row per (series, block).
     """
-    hold_us = int(hold * 1e6)
-
-    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks)).sort_values("_us")
-        since = state.get[0] if state.exists else -1
-        starts, labels = [], []
-        for us, on in zip(rows["_us"], rows["_on"]):
-            since = (us if since < 0 else since) if on else -1
-            starts.append(since)
-            labels.append("inactive" if not on else "firing" if us - since >= hold_us else "pending")
-        state.update((int(since),))
-        yield pd.DataFrame({"series": key[0], "at_us": rows["_us"].to_numpy(), "since_us": starts, "state": labels})
-
-    keyed = evals.select(
-        F.col(series).cast("string").alias("series"), micros(F.col(at)).alias("_us"), F.coalesce(F.col(active), F.lit(False)).alias("_on")
+    placed = TimeBlocks(rows.select("_s", "_us"), ["_s"], "_us", block, limit).place(rows)
+    inside = Window.partitionBy("_s", "_blk").orderBy("_us", "_on").rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.withColumn("_offs", F.sum((~F.col("_on")).cast("long")).over(inside))
+    local = local.withColumn("_start", F.min(F.when(F.col("_on"), F.col("_us"))).over(Window.partitionBy("_s", "_blk", "_offs")))
+    ends = local.groupBy("_s", "_blk").agg(
+        F.max("_offs").alias("_offs"), F.max("_us").alias("last_us"), F.max_by("_start", F.struct("_us", "_on")).alias("_end")
     )
-    out = keyed.groupBy("series").applyInPandasWithState(
-        step, "series string, at_us long, since_us long, state string", "since_us long", "append", GroupStateTimeout.NoTimeout
-    )
-    when = lambda c: F.timestamp_micros(F.when(F.col(c) >= 0, F.col(c))).cast("timestamp_ntz")
-    return out.select(F.col("series").alias(series), when("at_us").alias(at), when("since_us").alias("since"), "state")
+    # what was known before is a block before all others, behind which any run begins anew
+    seeds = held.select("_s", F.lit(-(1 << 63)).alias("_blk"), F.lit(1).cast("long").alias("_offs"), "last_us", F.col("since_us").alias("_end"))
+    across = Window.partitionBy("_s").orderBy("_blk")
+    upto = across.rowsBetween(Window.unboundedPreceding, 0)
+    chained = seeds.unionByName(ends).withColumn("_chain", F.sum((F.col("_offs") > 0).cast("long")).over(upto))
+    reach = Window.partitionBy("_s", "_chain").orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
+    carried = chained.withColumn("_run", F.min("_end").over(reach)).withColumn("_before", F.lag("_run").over(across))
+    stand = carried.groupBy("_s").agg(F.max_by("_run", "_blk").alias("since_us"), F.max("last_us").alias("last_us"))
+    begun = local.join(carried.select("_s", "_blk", "_before"), ["_s", "_blk"])
+    first = F.when(F.col("_offs") == 0, F.coalesce("_before", "_start")).otherwise(F.col("_start"))
+    return begun.withColumn("since_us", F.when(F.col("_on"), first)), stand
+
+
+def alert_stream(evals: DataFrame, out: str, state: str, checkpoint: str, series: str, active: str, hold: float = 300, at: str = "at",
+                 idle: float | None = None, block: float | None = None, rows: int | None = None, every: str | None = None):
+    """Alert state per evaluation, batch by batch: series, ``at``, ``since`` (begin of the current true run), ``state``.
+
+    Between batches a versioned table holds one row per series: the begin of its run and its last evaluation. With
+    ``idle`` a series leaves it when its last evaluation is that many seconds behind the newest of all; should it come
+    back, it starts anew. An evaluation that is not after the last one of its series in an earlier batch, or is
+    from before the idle limit, is late: its state is ``late`` and it changes nothing. Evaluations of one time
+    and series in one batch count false ones first. ``block`` and ``rows`` are the length in seconds and the number of
+    rows at which the blocks of a series are cut. A repeated batch gives the same rows and the same state.
+    """
+    hold_us, idle_us = int(hold * 1e6), None if idle is None else int(idle * 1e6)
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = _state_before(spark, state, batch_id)
+        if known is None:
+            known = batch.limit(0).select(F.col(series).alias("series"), *[F.lit(None).cast("long").alias(c) for c in ("since_us", "last_us")])
+        held = known.select(F.struct("series").alias("_s"), "since_us", "last_us")
+        newest = known.agg(F.max("last_us").alias("t")).first()["t"]
+        with tables(spark):
+            keyed = batch.select(F.struct(F.col(series).alias("series")).alias("_s"), micros(F.col(at)).alias("_us"), F.coalesce(F.col(active), F.lit(False)).alias("_on"))
+            marked = keyed.join(held.select("_s", "last_us"), "_s", "left")
+            late = F.coalesce(F.col("_us") <= F.col("last_us"), F.lit(False))
+            if idle_us is not None and newest is not None:
+                late = late | (F.col("_us") < newest - idle_us)
+            # written, as both branches and the state are made of it
+            marked = cut(marked.select("_s", "_us", "_on", late.alias("_late")), "evaluations")
+            found, stand = _run_starts(marked.where(~F.col("_late")).drop("_late"), held, block, rows)
+            level = F.when(~F.col("_on"), "inactive").when(F.col("_us") - F.col("since_us") >= hold_us, "firing").otherwise("pending")
+            behind = marked.where("_late").select("_s", "_us", F.lit(None).cast("long").alias("since_us"), F.lit("late").alias("state"))
+            named = found.select("_s", "_us", "since_us", level.alias("state")).unionByName(behind)
+            when = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+            named.select(F.col("_s.series").alias(series), when("_us").alias(at), when("since_us").alias("since"), "state").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            if idle_us is not None:
+                stand = stand.where(F.col("last_us") >= F.lit(stand.agg(F.max("last_us").alias("t")).first()["t"]) - idle_us)
+            stand.select(F.col("_s.series").alias("series"), "since_us", "last_us").write.mode("overwrite").parquet(f"{state}/version={batch_id}")
+        _forget(spark, state, batch_id)
+
+    return each_batch(evals, work, checkpoint, every)
