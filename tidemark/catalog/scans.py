@@ -9,7 +9,7 @@ from tidemark.catalog.views import table, v6, v6reports
 from tidemark.operators import clean
 from tidemark.operators import reports as R
 from tidemark.plans.scratch import scratch_dir
-from tidemark.sources.reports import read_reports, write_reports
+from tidemark.sources.reports import compare_listings, list_files, read_listed, write_reports
 from tidemark.sources.tables import union_tables
 
 F6 = "f6 AS (SELECT image, vulnerability_id, package, installed_version, fixed_version, coalesce(severity, 'UNKNOWN') AS severity, scan_time FROM v6)"
@@ -44,6 +44,38 @@ def _(spark, d):
     return good.groupBy(F.col("ArtifactName").alias("image")).agg(F.count("*").alias("reports"), F.sum(sizes).alias("findings"))
 
 
+def report_texts(spark, d):
+    """A text per supplier: a report of one to four findings, the last one twice, or, by the key, white space, a
+    report cut off, or one that arrives late."""
+    key, n = F.col("s_suppkey"), F.col("s_suppkey") % 4 + 1
+    finding = lambda i: F.struct(F.concat(F.lit("CVE-"), i.cast("string")).alias("VulnerabilityID"), F.lit("pkg").alias("PkgName"), F.lit("LOW").alias("Severity"))
+    findings = F.transform(F.concat(F.sequence(F.lit(1).cast("bigint"), n), F.array(n)), finding)
+    doc = F.to_json(F.struct(F.concat(F.lit("reg/"), key.cast("string")).alias("ArtifactName"), F.array(F.struct(findings.alias("Vulnerabilities"))).alias("Results")))
+    kind = F.element_at(F.array(*map(F.lit, ["blank", "cut", "late", "good", "good", "good"])), (key % 6 + 1).cast("int"))
+    text = F.when(kind == "blank", " ").when(kind == "cut", F.substring(doc, 1, 40)).otherwise(doc)
+    return table(spark, d, "supplier").select(text.alias("value"), kind.alias("kind"))
+
+
+@query(
+    "a5_settled_reports",
+    """SELECT CASE s_suppkey % 6 WHEN 0 THEN 'empty' WHEN 1 THEN 'broken' WHEN 2 THEN 'growing' ELSE 'read' END AS outcome, count(*) AS files,
+              coalesce(sum(s_suppkey % 4 + 2) FILTER (WHERE s_suppkey % 6 > 2), 0)::BIGINT AS findings
+       FROM supplier GROUP BY 1""",
+)
+def _(spark, d):
+    """A folder with one report per file, listed twice while further files arrive; what was skipped is read from the log."""
+    folder, log = scratch_dir(spark, "reports"), scratch_dir(spark, "skipped")
+    texts = report_texts(spark, d)
+    one = lambda rows: rows.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(folder)
+    one(texts.where("kind <> 'late'"))
+    before = list_files(spark, folder, "*.txt")
+    one(texts.where("kind = 'late'"))
+    good, skipped = read_listed(spark, folder, compare_listings(before, list_files(spark, folder, "*.txt")), log, "*.txt")
+    logged = spark.read.schema(skipped.schema).json(log)
+    read = good.select(F.lit("read").alias("outcome"), finding_count(F.col("Results")).cast("bigint").alias("n"))
+    return read.unionByName(logged.select(F.col("reason").alias("outcome"), F.lit(0).cast("bigint").alias("n"))).groupBy("outcome").agg(F.count("*").alias("files"), F.sum("n").alias("findings"))
+
+
 @query("a18_union_reports", "SELECT image, scan_time, package FROM v6")
 def _(spark, d):
     all_rows = v6(spark, d)
