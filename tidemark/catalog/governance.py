@@ -138,18 +138,23 @@ def _(spark, d):
 
 @query(
     "g4_production_model",
-    """WITH p AS (SELECT model, max(version::INT) FILTER (WHERE stage = 'Production') AS v FROM v8 GROUP BY 1),
+    """WITH v AS (SELECT model, version, stage, concat('run-', model, '-', version) AS run_id, TIMESTAMP '2024-01-01' + to_hours(version::INT) AS created_at FROM v8),
+       p AS (SELECT model, max(version::INT) FILTER (WHERE stage = 'Production') AS newest FROM v GROUP BY 1),
        l AS (SELECT concat('m', n_nationkey::VARCHAR) AS model, n_regionkey / 10.0::DOUBLE AS accuracy, 0.5::DOUBLE AS f1 FROM nation
              UNION ALL SELECT concat('local', r_regionkey::VARCHAR), r_regionkey / 10.0::DOUBLE, 0.5::DOUBLE FROM region)
-       SELECT l.model, v::VARCHAR AS version, CASE WHEN p.model IS NULL THEN 'local_metrics_file' WHEN v IS NULL THEN 'no_production_version' ELSE 'production' END AS status,
-       CASE WHEN p.model IS NULL THEN accuracy END AS accuracy, CASE WHEN p.model IS NULL THEN f1 END AS f1 FROM l LEFT JOIN p ON l.model = p.model""",
+       SELECT l.model, v.version, v.stage, v.run_id, v.created_at,
+       CASE WHEN p.model IS NULL THEN 'local_metrics_file' WHEN newest IS NULL THEN 'no_production_version' ELSE 'production' END AS status,
+       CASE WHEN p.model IS NULL THEN accuracy END AS accuracy, CASE WHEN p.model IS NULL THEN f1 END AS f1
+       FROM l LEFT JOIN p ON l.model = p.model LEFT JOIN v ON v.model = p.model AND v.version = newest::VARCHAR""",
 )
 def _(spark, d):
     def named(df, prefix, key, region):
         return df.select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("model"), (F.col(region) / 10.0).alias("accuracy"), F.lit(0.5).alias("f1"))
 
     local = named(table(spark, d, "nation"), "m", "n_nationkey", "n_regionkey").union(named(table(spark, d, "region"), "local", "r_regionkey", "r_regionkey"))
-    return RG.production_model(v8(spark, d), local)
+    created = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, cast(version AS int))")
+    versions = v8(spark, d).withColumns({"run_id": F.concat_ws("-", F.lit("run"), "model", "version"), "created_at": created})
+    return RG.production_model(versions, local)
 
 
 def runs(spark, d, shift=0.0):

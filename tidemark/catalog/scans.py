@@ -233,6 +233,20 @@ def _(spark, d):
     return R.counts_over_time(flat(spark, d), "scan_time", "1 day")
 
 
+@query(
+    "e12_level_over_time",
+    f"""WITH {F6}, n AS (SELECT image, scan_time, lead(scan_time) OVER (PARTITION BY image ORDER BY scan_time) AS ended FROM (SELECT DISTINCT image, scan_time FROM f6)),
+        c AS (SELECT image, scan_time, severity, count(*) AS n FROM f6 GROUP BY 1, 2, 3),
+        g AS (SELECT unnest(generate_series(min(date_trunc('day', scan_time)), max(date_trunc('day', scan_time)), INTERVAL 1 DAY))::TIMESTAMP AS window_start FROM f6),
+        k AS (SELECT window_start, severity FROM g, (SELECT DISTINCT severity FROM f6)),
+        s AS (SELECT c.severity, c.n, date_trunc('day', c.scan_time)::TIMESTAMP AS since, date_trunc('day', ended)::TIMESTAMP AS until FROM c JOIN n USING (image, scan_time))
+        SELECT k.window_start, k.severity, coalesce(sum(s.n), 0)::BIGINT AS findings
+        FROM k LEFT JOIN s ON s.severity = k.severity AND s.since <= k.window_start AND (s.until IS NULL OR s.until > k.window_start) GROUP BY 1, 2""",
+)
+def _(spark, d):
+    return R.level_over_time(flat(spark, d), "scan_time", "1 day")
+
+
 @query("e12_images_over_time", "SELECT date_trunc('day', scan_time) AS window_start, count(DISTINCT image) AS images FROM v6 GROUP BY 1")
 def _(spark, d):
     return R.images_over_time(v6(spark, d), "scan_time", "1 day")

@@ -41,21 +41,21 @@ def promote(versions: DataFrame, min_accuracy: float = 0.75, min_f1: float = 0.7
 
 
 def production_model(versions: DataFrame, local_metrics: DataFrame | None = None) -> DataFrame:
-    """Per model its newest production version, or a status saying there is none.
+    """Per model its newest production version in full, or a status saying there is none.
 
-    With ``local_metrics`` (model, accuracy, f1) models without any registry entry fall back to it.
+    ``versions`` has model, version, stage, run_id and created_at. With ``local_metrics`` (model, accuracy, f1) models
+    without any registry entry fall back to it.
     """
-    found = versions.groupBy("model").agg(
-        F.max(F.when(F.col("stage") == "Production", F.col("version").cast("int"))).alias("_v")
-    )
-    rows = found.select(
-        "model", F.col("_v").cast("string").alias("version"),
-        F.when(F.col("_v").isNull(), "no_production_version").otherwise("production").alias("status"),
-    )
+    row = ("version", "stage", "run_id", "created_at")
+    live = F.col("stage") == "Production"
+    newest = F.max_by(F.when(live, F.struct(*row)), F.when(live, F.col("version").cast("int")))
+    found = versions.groupBy("model").agg(newest.alias("_row"))
+    status = F.when(F.col("_row").isNull(), "no_production_version").otherwise("production")
+    rows = found.select("model", *[F.col("_row")[c].alias(c) for c in row], status.alias("status"))
     if local_metrics is None:
         return rows
-    return local_metrics.join(rows, "model", "full").select(
-        "model", "version", F.coalesce("status", F.lit("local_metrics_file")).alias("status"),
+    return local_metrics.select("model", "accuracy", "f1").join(rows, "model", "full").select(
+        "model", *row, F.coalesce("status", F.lit("local_metrics_file")).alias("status"),
         F.when(F.col("status").isNull(), F.col("accuracy")).alias("accuracy"),
         F.when(F.col("status").isNull(), F.col("f1")).alias("f1"),
     )

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.tseries import previous_value
+
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")  # fixed values, in display order
 COLOURS = ("red", "orange", "yellow", "green")  # fixed values, same order
 
@@ -170,3 +172,27 @@ def images_over_time(found: DataFrame, ts: str, step: str) -> DataFrame:
         found.select(F.window(ts, step)["start"].alias("window_start"), "image").distinct()
         .groupBy("window_start").agg(F.count("*").alias("images"))
     )
+
+
+def level_over_time(found: DataFrame, ts: str, step: str, by: str = "severity") -> DataFrame:
+    """The gauge of findings at the end of every time step, from the first scan to the last: ``window_start``, ``by``, ``findings``.
+
+    An image counts with its newest scan so far, however old; a newer scan without a finding of a kind takes it out.
+    Every scan adds its counts in its step and takes them off in that of the image's next scan, so that work follows
+    the scans, not scans times steps; only the sums per step, for all steps of every kind, are added up in order.
+    """
+    scans = found.select("image", F.col(ts).cast("timestamp_ntz").alias("_ts"), by)
+    counts = scans.groupBy("image", "_ts", by).agg(F.count("*").alias("n"))
+    times = scans.select("image", "_ts").distinct().withColumn("_at", F.col("_ts"))
+    ends = previous_value(times, ["image"], "_ts", "_at").where(F.col("previous").isNotNull()).select("image", F.col("previous").alias("_ts"), F.col("_ts").alias("_end"))
+    gone = counts.join(ends, ["image", "_ts"]).select(F.col("_end").alias("_t"), by, (-F.col("n")).alias("n"))
+    moves = counts.select(F.col("_ts").alias("_t"), by, "n").unionByName(gone)
+    start = F.window("_t", step)["start"].cast("timestamp_ntz")
+    sums = moves.groupBy(start.alias("window_start"), by).agg(F.sum("n").alias("n"))
+    # all scans have a step, also those of which the sums are zero
+    span = scans.select(F.window("_ts", step)["start"].cast("timestamp_ntz").alias("s")).agg(F.min("s").alias("a"), F.max("s").alias("b"))
+    grid = scans.select(by).distinct().withColumns({"_a": span.select("a").scalar(), "_b": span.select("b").scalar()})
+    grid = grid.select(by, F.explode(F.expr(f"sequence(_a, _b, interval {step})")).alias("window_start"))
+    met = grid.join(sums.withColumnRenamed(by, "_by"), (F.col(by).eqNullSafe(F.col("_by"))) & (grid["window_start"] == sums["window_start"]), "left")
+    upto = Window.partitionBy(by).orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)  # one row per step
+    return met.select(grid["window_start"], by, F.coalesce("n", F.lit(0)).alias("n")).select("window_start", by, F.sum("n").over(upto).alias("findings"))
