@@ -1,18 +1,23 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles, found by prefixes and parity bitmaps.
+"""Near-duplicates by SimHash fingerprints and the exact Jaccard similarity of word shingles.
 
-Every step misses nothing. Texts are sets of hashed shingles; equal sets are one class. In any fixed order of
-all shingles, two sets of similarity ``SHARE`` or more have one in common among the first
+Texts are sets of hashed shingles; equal sets are one class. The classes whose fingerprints of the same shingles
+link (``simhash.links``) are verified on the whole sets and give the first components. Copies of similarity
+``SHARE`` often differ in more bits than that, so what fingerprints miss is found by prefixes and parity bitmaps,
+of which every step misses nothing. In any fixed order of all shingles, two sets of similarity ``SHARE`` or more have one in common among the first
 ``n - ceil(SHARE * n) + 1`` of each, so the classes that share such a shingle form a block. The order puts
 shingles that many documents share last, by counts over all of them, which steers the size of blocks, never
 the result. Inside a block classes are compared tile against tile with numpy: sizes must agree to ``SHARE``,
 and the parities of the shingles of each slot differ in no more slots than the sets differ in shingles; a
 bitmap has about as many slots as its set has shingles. What passes is verified on the whole sets.
 
-Blocks are lists of classes only; bitmaps meet them once a wave. The first wave takes a spanning forest of
-each block, of blocks beyond ``BLOCK`` one of each random part. The second one joins the components that
-parts of a large block left apart, by one class of each. The last one takes every pair across components in
-the blocks of which the first left pairs out, where several components remain, and in large blocks, those as a
-grid of part against part, each a task of its own.
+Blocks are lists of classes only; bitmaps meet them once a wave, and a wave looks only at pairs across the components
+known before it. The first wave takes a spanning forest of the pairs of
+each block that may be similar, of blocks beyond ``BLOCK`` one of each random part. The second one joins the components that
+parts of a large block left apart, by one class of each. The last one takes
+the blocks of which the first left pairs out, where several components remain, and large blocks, those as a
+grid of part against part, each a task of its own. The forests of classes of this last wave say which ones may belong together;
+each such cluster meets once, with its whole sets, and every pair across components that may be similar is decided there.
+So no list of pairs is ever longer than the lists of classes.
 """
 
 from __future__ import annotations
@@ -26,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.simhash import shingle_hashes
+from tidemark.llm.simhash import bit_votes, majority, shingle_hashes
+from tidemark.llm.simhash import links as linked_fingerprints
 from tidemark.llm.text import text_key, texts_of, type_of
 from tidemark.plans.scratch import cut, tables
 
@@ -41,6 +47,10 @@ FREQUENT = 262_144
 BLOCK = 512
 #: Classes per side of a tile.
 TILE = 256
+#: Classes, and shingles of them (8 bytes each), of a side of a task that compares whole sets.
+CLUSTER, ENTRIES = 1024, 1 << 19
+#: Bits of a table of classes by shingles that are held unpacked at a time (a byte each).
+CELLS = 1 << 24
 
 
 def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -93,12 +103,18 @@ def _sketch_batches(frequent, size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         last = frequent.value
         for batch in batches:
-            sets = [shingle_set(t, size) for t in texts_of(batch)]
+            sets, votes, counts = [], [], []
+            for text in texts_of(batch):
+                hashes = shingle_hashes(text, size)
+                votes.append(bit_votes(hashes))
+                counts.append(len(hashes))
+                sets.append(np.unique(hashes))
             out = {
                 "doc_id": batch.column("doc_id"),
                 "text_key": batch.column("text_key"),
                 "node": pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64), pa.int64()),
                 "n": pa.array([len(s) for s in sets], pa.int64()),
+                "fp": pa.array(majority(votes, counts), pa.int64()),
                 "bits": pa.array([parities(s, bits) for s in sets], pa.binary()),
                 "prefix": pa.array([prefix(s, last).view(np.int64) for s in sets], pa.list_(pa.int64())),
             }
@@ -179,37 +195,54 @@ def candidates(sizes: np.ndarray, bits: list[bytes], tile: int = TILE) -> Iterab
             yield i[i < j], j[i < j]
 
 
+class _Forest:
+    """Trees over the rows of a job; rows of one root are in one tree from the start."""
+
+    def __init__(self, roots: np.ndarray):
+        _, first, which = np.unique(roots, return_index=True, return_inverse=True)
+        self.up = first[which].tolist()
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def fresh(self, i: np.ndarray, j: np.ndarray) -> list[int]:
+        """Places of the pairs that join two trees, one after another."""
+        found = []
+        for at, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+            x, y = self.find(x), self.find(y)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+                found.append(at)
+        return found
+
+
+def _across(group: pa.Table, tile: int) -> Iterable[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of a job that may be similar, have different roots and lie on different sides (or on side 0)."""
+    sizes, roots, sides = (group.column(c).to_numpy() for c in ("n", "root", "side"))
+    for i, j in candidates(sizes, group.column("bits").to_pylist(), tile):
+        keep = (roots[i] != roots[j]) & ((sides[i] != sides[j]) | (sides[i] == 0))
+        if keep.any():
+            yield i[keep], j[keep]
+
+
 def _link_batches(whole: bool, tile: int):
-    """Pairs of each job that may be similar: a spanning forest, or all across roots and sides where ``whole``.
+    """A spanning forest of the pairs of each job that may be similar: of its roots or, where ``whole``, its classes.
 
     A job of whose pairs the forest left some out is named in ``omitted``, in a row of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for group in _grouped(batches, "job"):
-            nodes, sizes, roots, sides = (group.column(c).to_numpy() for c in ("node", "n", "root", "side"))
-            forest, omitted = list(range(len(nodes))), False
-
-            def find(i: int) -> int:
-                while forest[i] != i:
-                    forest[i] = forest[forest[i]]
-                    i = forest[i]
-                return i
-
-            for i, j in candidates(sizes, group.column("bits").to_pylist(), tile):
-                if whole:
-                    keep = (roots[i] != roots[j]) & ((sides[i] != sides[j]) | (sides[i] == 0))
-                    i, j = i[keep], j[keep]
-                else:
-                    fresh = []
-                    for at, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
-                        x, y = find(x), find(y)
-                        if x != y:
-                            forest[max(x, y)] = min(x, y)
-                            fresh.append(at)
-                    omitted |= len(fresh) < len(i)
+            nodes, omitted = group.column("node").to_numpy(), False
+            forest = _Forest(nodes if whole else group.column("root").to_numpy())
+            for i, j in _across(group, tile):
+                fresh = forest.fresh(i, j)
+                omitted |= len(fresh) < len(i)
+                if fresh:
                     i, j = i[fresh], j[fresh]
-                if len(i):
                     none = pa.nulls(len(i), pa.int64())
                     yield pa.RecordBatch.from_pydict({"u": np.minimum(nodes[i], nodes[j]), "v": np.maximum(nodes[i], nodes[j]), "omitted": none})
             if omitted:
@@ -219,13 +252,63 @@ def _link_batches(whole: bool, tile: int):
     return run
 
 
-def _jobs(members: DataFrame, whole: bool, limit: int) -> DataFrame:
+def common(lengths: np.ndarray, shingles: np.ndarray, i: np.ndarray, j: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    """How many elements the sets of each index pair share; ``shingles`` holds the sets one after another.
+
+    Only shingles of several sets count; they are columns of a table of bits, of which a bounded part is made at a time.
+    """
+    n, both = len(lengths), np.zeros(len(i), np.int64)
+    _, column, times = np.unique(shingles, return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = np.repeat(np.arange(n), lengths)[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = max(64, cells // max(n, 1) // 64 * 64)
+    step = max(1, cells // width)
+    for low in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, [low, low + width])
+        table = np.zeros((n, width), bool)
+        table[row[a:b], column[a:b] - low] = True
+        words = np.packbits(table, axis=1).view(np.uint64)
+        for at in range(0, len(i), step):
+            part = slice(at, at + step)
+            both[part] += np.bitwise_count(words[i[part]] & words[j[part]]).sum(axis=1, dtype=np.int64)
+    return both
+
+
+def _cluster_batches(tile: int):
+    """A spanning forest of the similar pairs of each job across roots, by the whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for group in _grouped(batches, "job"):
+            pairs = list(_across(group, tile))
+            if not pairs:
+                continue
+            i, j = (np.concatenate(side) for side in zip(*pairs))
+            nodes, sizes = group.column("node").to_numpy(), group.column("n").to_numpy()
+            shingles = np.concatenate([c.flatten().to_numpy() for c in group.column("shingles").chunks])
+            near = similar(common(sizes, shingles, i, j), sizes[i], sizes[j])
+            i, j = i[near], j[near]
+            fresh = _Forest(group.column("root").to_numpy()).fresh(i, j)
+            if fresh:
+                i, j = nodes[i[fresh]], nodes[j[fresh]]
+                yield pa.RecordBatch.from_pydict({"u": np.minimum(i, j), "v": np.maximum(i, j)})
+
+    return run
+
+
+def _jobs(members: DataFrame, whole: bool, limit: int, entries: int | None = None) -> DataFrame:
     """``job, node, root, side`` of ``members`` (``block, node, root``), where a job is what one task compares.
 
-    A block of more than ``limit`` classes is dealt into random parts: a job each or, where ``whole``, a job
-    for every two of them, whose members have sides 1 and 2, and for each with itself (side 0).
+    A block of more than ``limit`` classes, or with ``entries`` of more shingles (``n``) than that, is dealt into
+    random parts: a job each or, where ``whole``, a job for every two of them, whose members have sides 1 and 2, and for each with itself (side 0).
     """
-    parts = members.groupBy("block").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts")).where("parts > 1")
+    most = F.ceil(F.count("*") / limit)
+    if entries is not None:
+        most = F.greatest(most, F.least(F.count("*"), F.ceil(F.sum("n") / entries)))
+    parts = members.groupBy("block").agg(most.cast("int").alias("parts")).where("parts > 1")
     dealt = members.join(parts, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node", "block"), F.col("parts")).cast("int"))
     if not whole:
@@ -263,6 +346,19 @@ def frequent_shingles(docs: DataFrame, size: int = SHINGLE, keep: int = FREQUENT
     return np.stack([hashes[order], order.astype(np.uint64) + np.uint64(1)], axis=1)
 
 
+def fingerprint_pairs(kept: DataFrame) -> DataFrame:
+    """``u, v`` of classes (``node, fp``) that connect whatever fingerprints within the radius of ``simhash`` connect.
+
+    Every fingerprint is stood for by its smallest class, to which its other ones are paired.
+    """
+    first = kept.groupBy("fp").agg(F.min("node").alias("first"))
+    same = kept.join(first, "fp").where("node > first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    linked = linked_fingerprints(first.select("fp")).distinct()
+    left, right = (first.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}")) for c in ("u", "v"))
+    met = linked.join(left, "u").join(right, "v")
+    return same.union(met.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, tile: int = TILE, keep: int = FREQUENT, bits: int = BITS, limit: int = BLOCK) -> DataFrame:
     """``doc_id, text_key, component_id`` of every document.
 
@@ -280,21 +376,23 @@ def _near_duplicates(docs: DataFrame, size: int, tile: int, keep: int, bits: int
     spark = docs.sparkSession
     narrow = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, size, keep))
-    schema = f"doc_id {type_of(docs, 'doc_id')}, text_key bigint, node bigint, n bigint, bits binary, prefix array<bigint>"
+    schema = f"doc_id {type_of(docs, 'doc_id')}, text_key bigint, node bigint, n bigint, fp bigint, bits binary, prefix array<bigint>"
     with tables(spark):
         sketched = cut(narrow.mapInArrow(_sketch_batches(frequent, size, bits), schema), "prefixes")
-        sketches = cut(sketched.drop("prefix"), "sketches", keep=True)
-        kept = cut(sketches.where("n > 0").dropDuplicates(["node"]).drop("doc_id"), "sets", keep=True)
+        sketches = cut(sketched.select("doc_id", "text_key", "node"), "sketches", keep=True)
+        kept = cut(sketched.where("n > 0").dropDuplicates(["node"]).drop("doc_id", "prefix"), "sets", keep=True)
         listed = sketched.where("n > 0").select("node", "prefix").dropDuplicates(["node"]).select("node", F.explode("prefix").alias("shingle"))
         ordered = listed.repartition("shingle").sortWithinPartitions("shingle")
         members = cut(ordered.mapInArrow(_block_batches, "block bigint, node bigint").distinct(), "blocks", keep=True)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    def sets_of(nodes: DataFrame) -> DataFrame:
         # written, so that its size is known and the texts stay in place where it can be sent out
-        keys = cut(kept.join(wanted, "node", "left_semi").select("node", F.col("text_key").alias("_key")), "wanted")
+        keys = cut(kept.join(nodes.distinct(), "node", "left_semi").select("node", F.col("text_key").alias("_key")), "wanted")
         texts = narrow.join(keys, F.col("text_key") == F.col("_key")).select("node", "text")
-        sets = texts.mapInArrow(_set_batches(size), "node bigint, shingles array<bigint>").dropDuplicates(["node"])
+        return texts.mapInArrow(_set_batches(size), "node bigint, shingles array<bigint>").dropDuplicates(["node"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sets = sets_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")))
         left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
         right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
         both = F.size(F.array_intersect("a", "b"))
@@ -306,22 +404,29 @@ def _near_duplicates(docs: DataFrame, size: int, tile: int, keep: int, bits: int
         apart = rows.groupBy("block").agg((F.min("root") < F.max("root")).alias("apart")).where("apart").select("block")
         return rows.join(apart, "block", "left_semi")
 
-    met = cut(_pairs(members.withColumn("root", F.col("node")), kept, False, tile, limit), "pairs")
+    links = cut(verified(cut(fingerprint_pairs(kept), "pairs")), "links")
+    found = components(links)
+    met = cut(_pairs(rooted(members, found), kept, False, tile, limit), "pairs")
     tried, omitted = met.where("omitted IS NULL").select("u", "v"), met.where("omitted IS NOT NULL").select(F.col("omitted").alias("job"))
-    links = cut(verified(tried), "links")
+    links = cut(links.union(verified(tried)), "links")
     found = components(links)
     large = cut(members.groupBy("block").count().where(F.col("count") > limit).select("block"), "large")
     if not large.isEmpty():
         one = rooted(members.join(large, "block", "left_semi"), found).groupBy("block", "root").agg(F.min("node").alias("node"))
         across = cut(_pairs(one, kept, False, tile, limit).where("omitted IS NULL").select("u", "v").join(tried, ["u", "v"], "left_anti"), "pairs")
-        links, tried = cut(links.union(verified(across)), "links"), tried.union(across)
+        links = cut(links.union(verified(across)), "links")
         found = components(links)
-    # of all other blocks every pair that may be similar is among those tried
+    # of all other blocks every pair across the first components that may be similar is among those tried
     left_out = members.withColumn("job", F.xxhash64("block", F.lit(0))).join(omitted, "job", "left_semi").select("block", "node")
     again = left_out.union(members.join(large, "block", "left_semi").select("block", "node")).distinct()
-    rest = cut(_pairs(rooted(again, found), kept, True, tile, limit).select("u", "v").join(tried, ["u", "v"], "left_anti"), "pairs")
-    more = cut(verified(rest), "links")
-    if not more.isEmpty():
+    near = cut(_pairs(rooted(again, found), kept, True, tile, limit).where("omitted IS NULL").select("u", "v"), "pairs")
+    if not near.isEmpty():
+        clusters = cut(rooted(components(near).select(F.col("root").alias("block"), "node"), found), "clusters")
+        shape = kept.select("node", "n", "bits")
+        jobs = _jobs(clusters.join(kept.select("node", "n"), "node"), True, CLUSTER * limit // BLOCK or 1, ENTRIES)
+        rows = jobs.join(shape, "node").join(sets_of(clusters.select("node")), "node")
+        ordered = rows.repartition("job").sortWithinPartitions("job", "n", "node")
+        more = cut(ordered.mapInArrow(_cluster_batches(tile), "u bigint, v bigint").distinct(), "links")
         found = components(links.union(more))
 
     ids = sketches.groupBy("node").agg(F.min("doc_id").alias("first"))

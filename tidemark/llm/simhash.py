@@ -54,6 +54,12 @@ def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> np.nda
     return np.array([digest(s, seed) for s in shingles], np.uint64)
 
 
+def majority(votes: list[np.ndarray], counts: list[int]) -> np.ndarray:
+    """Fingerprints from the votes on each bit and the numbers of voters: a bit is 1 where over half of them set it."""
+    bits = 2 * np.array(votes, np.int64).reshape(-1, 64) > np.array(counts, np.int64)[:, None]
+    return np.packbits(bits, axis=1, bitorder="little").reshape(-1, 8).copy().view(np.int64).ravel()
+
+
 def fingerprint_batches(size: int, seed: int):
     """Fingerprints of the texts of each batch; the first column passes through."""
 
@@ -64,9 +70,7 @@ def fingerprint_batches(size: int, seed: int):
                 hashes = shingle_hashes(text, size, seed)
                 votes.append(bit_votes(hashes))
                 counts.append(len(hashes))
-            bits = 2 * np.array(votes, np.int64).reshape(-1, 64) > np.array(counts, np.int64)[:, None]
-            fps = np.packbits(bits, axis=1, bitorder="little").reshape(-1, 8).copy().view(np.int64).ravel()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fps, pa.int64())], ["doc_id", "text_key", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(majority(votes, counts), pa.int64())], ["doc_id", "text_key", "fp"])
 
     return run
 
