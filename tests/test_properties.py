@@ -280,3 +280,22 @@ def test_deep_graph_is_walked_to_the_end_or_refused(spark):
     assert lineage_downstream(chain, ["n0"], max_depth=6).count() == 6
     with pytest.raises(ValueError):
         lineage_downstream(chain, ["n0"], max_depth=3)
+
+
+def test_lag_sorts_labels_once(spark):
+    """Rows sorted for the previous value hold the labels in their key alone, and one time."""
+    df = spark.createDataFrame([("a", "b", T0, 1.0), ("a", "b", T0 + timedelta(seconds=5), 3.0), (None, "b", T0, 2.0)], "x string, y string, ts timestamp_ntz, value double")
+    got = tseries.previous_value(df, ["x", "y"])
+    assert got.columns == ["x", "y", "ts", "value", "previous"]
+    assert {(r["x"], r["value"]): r["previous"] for r in got.collect()} == {("a", 1.0): None, ("a", 3.0): 1.0, (None, 2.0): None}
+    wide = [n for n in _nodes(got._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Window"]
+    assert wide and all(o.split("#")[0] not in ("x", "y", "_us") for n in wide for o in _names(n.output()))
+
+
+def _names(columns):
+    return [columns.apply(i).toString() for i in range(columns.size())]
+
+
+def _nodes(node):
+    children = node.children()
+    return [node, *[m for i in range(children.size()) for m in _nodes(children.apply(i))]]

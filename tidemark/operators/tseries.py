@@ -59,12 +59,15 @@ def previous_value(df: DataFrame, series: Sequence[str], ts: str = "ts", value:
     and the number of rows at which blocks are cut.
     """
     placed, _ = _in_blocks(df, series, ts, block, rows)
-    newest = placed.groupBy("_s", "_blk").agg(F.max_by(value, "_us").alias("_last"))
+    # the labels are in the key; rows that are sorted carry them, and the time, once
+    slim = placed.select("_s", "_blk", *[c for c in df.columns if c not in series])
+    newest = slim.groupBy("_s", "_blk").agg(F.max_by(value, ts).alias("_last"))
     carried = newest.select("_s", "_blk", F.lag("_last").over(Window.partitionBy("_s").orderBy("_blk")).alias("_carried"))
-    inside = Window.partitionBy("_s", "_blk").orderBy("_us")
-    lagged = placed.withColumns({"_lag": F.lag(value).over(inside), "_n": F.row_number().over(inside)})
+    inside = Window.partitionBy("_s", "_blk").orderBy(ts)
+    lagged = slim.withColumns({"_lag": F.lag(value).over(inside), "_n": F.row_number().over(inside)})
     both = lagged.join(carried, ["_s", "_blk"])
-    return both.select(*df.columns, F.when(F.col("_n") == 1, F.col("_carried")).otherwise(F.col("_lag")).alias("previous"))
+    own = [F.col("_s")[c].alias(c) if c in series else F.col(c) for c in df.columns]
+    return both.select(*own, F.when(F.col("_n") == 1, F.col("_carried")).otherwise(F.col("_lag")).alias("previous"))
 
 
 def _over_range(df: DataFrame, series: Sequence[str], span: float, kind: str, ts: str, value: str, block: float | None, rows: int | None) -> DataFrame:
