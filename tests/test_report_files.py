@@ -2,6 +2,7 @@
 
 import json
 
+from tidemark.catalog.scans import write_each
 from tidemark.sources import reports as S
 
 GOOD = '{"ArtifactName": "%s", "Results": [{"Vulnerabilities": [{"VulnerabilityID": "C-1"}, {"VulnerabilityID": "C-1"}]}]}'
@@ -45,3 +46,13 @@ def test_a_file_that_changes_after_the_listings_waits(spark, tmp_path):
 def test_empty_folder(spark, tmp_path):
     good, skipped = S.read_settled_reports(spark, str(tmp_path), 0)
     assert good.count() == 0 and skipped.count() == 0
+
+
+def test_reports_are_written_by_many_tasks(spark, tmp_path):
+    for n in (0, 1, 3, 200):
+        rows = spark.range(n).coalesce(1).selectExpr("concat('row ', id) AS value")
+        write_each(rows, str(tmp_path / str(n)))
+        files = list((tmp_path / str(n)).glob("*.txt"))
+        assert sorted(f.read_text().strip() for f in files if f.stat().st_size) == sorted(f"row {i}" for i in range(n))
+        assert sum(not f.stat().st_size for f in files) == (n == 0)
+    assert len({f.name.split("-")[1] for f in files}) > 1
