@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import toxicity as tx
@@ -120,3 +121,13 @@ def test_without_both_classes(spark, labels):
     got = tx.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
     assert len({r["score"] for r in got}) == 1 and 0 < got[0]["score"] < 1
     assert tx.toxicity(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
+
+
+def test_pairs_travel_by_first_word():
+    """A row per first word of a slot, with its second words; the empty one is the word itself."""
+    text = " ".join(f"go w{i}" for i in range(50))
+    batch = pa.RecordBatch.from_pydict({"text": [text, "go w1", None], "toxic": pa.array([1, None, 0], pa.int32()), "half": pa.array([0, None, 1], pa.int32())})
+    rows = [r for b in tx._count_batches(iter([batch])) for r in b.to_pylist()]
+    assert len(rows) == 51 + 51  # the words of all texts, and first words of the labelled one
+    go = {r["slot"]: dict(zip(r["seconds"].split(" "), r["times"])) for r in rows if r["first"] == "go"}
+    assert go == {4: {"": 2}, 1: {"": 1, **{f"w{i}": 1 for i in range(50)}}}

@@ -70,13 +70,24 @@ def _pair(a: bytes, b: bytes) -> bytes:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Documents per expression: slot 4 for all of them, 2 * half + class for labelled ones, with their pairs."""
+    """Documents per expression: slot 4 for all of them, 2 * half + class for labelled ones, with their pairs.
+
+    A row is a first word with its second words, joined by spaces, and their counts; the word itself has the empty one.
+    """
     held = [Counter() for _ in range(5)]
 
     def flush(slot: int) -> pa.RecordBatch:
         counts, held[slot] = held[slot], Counter()
-        names = pa.array(list(counts.keys()), pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([names, pa.array([slot] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["expr", "slot", "n"])
+        found: dict[bytes, tuple[list[bytes], list[int]]] = {}
+        for name, n in counts.items():
+            first, _, second = name.partition(b" ")
+            seconds, times = found.setdefault(first, ([], []))
+            seconds.append(second)
+            times.append(n)
+        words = pa.array(list(found), pa.binary()).cast(pa.string())
+        seconds = pa.array([b" ".join(s) for s, _ in found.values()], pa.binary()).cast(pa.string())
+        times = pa.array([n for _, n in found.values()], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([words, pa.array([slot] * len(found), pa.int32()), seconds, times], ["first", "slot", "seconds", "times"])
 
     for batch in batches:
         marks = zip(batch.column("toxic").to_pylist(), batch.column("half").to_pylist())
@@ -98,7 +109,10 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch
 
 
 def _table(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("expr").agg(*[F.coalesce(F.sum(F.when(F.col("slot") == s, F.col("n"))), F.lit(0)).alias(f"c{s}") for s in range(5)])
+    """``first, second, c0`` to ``c4``: the counts of each expression by slot, in partitions by first word."""
+    met = F.arrays_zip(F.split("seconds", " ").alias("second"), F.col("times").alias("n"))
+    each = rows.repartition("first").select("first", "slot", F.inline(met).alias("second", "n"))
+    return each.groupBy("first", "second").agg(*[F.coalesce(F.sum(F.when(F.col("slot") == s, F.col("n"))), F.lit(0)).alias(f"c{s}") for s in range(5)])
 
 
 def _statistic(x: Column, y: Column, n1: int, n0: int) -> Column:
@@ -226,33 +240,36 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     marked = kept.join(F.broadcast(sample), "doc_id", "left")  # bounded by fit_rows
     fit = cut(marked.where(F.col("toxic").isNotNull()), "fit-texts")
     sizes = {(r["half"], r["toxic"]): r["count"] for r in fit.groupBy("half", "toxic").count().collect()}
-    counts = cut(_table(marked.select("text", "toxic", "half").mapInArrow(_count_batches, "expr string, slot int, n bigint")), "counts")
-
-    single, pair = counts.where(~F.contains("expr", F.lit(" "))), counts.where(F.contains("expr", F.lit(" ")))
+    counts = _table(marked.select("text", "toxic", "half").mapInArrow(_count_batches, "first string, slot int, seconds string, times array<int>"))
     halves = {0: [0], 1: [1], 2: [0, 1]}  # the halves that each model learns from
     side = {(m, c): sum((F.col(f"c{2 * h + c}") for h in hs), F.lit(0)) for m, hs in halves.items() for c in (0, 1)}
-
-    def sums(which) -> list[Column]:
-        each = {"mass": F.sum, "types": lambda n: F.count_if(n > 0), "once": lambda n: F.count_if(n == 1), "twice": lambda n: F.count_if(n == 2)}
-        return [each[k](n).alias(f"{k}{m}{c}") for (m, c), n in side.items() for k in which]
-
-    total = single.agg(F.sum("c4").alias("shared"), *sums(["mass", "types", "once", "twice"])).first()
-    joint = pair.agg(*sums(["once", "twice"])).first()
-    totals = {m: {k: [total[f"{k}{m}{c}"] or 0 for c in (0, 1)] for k in ("mass", "types", "once", "twice")} | {"shared": total["shared"] or 0} for m in halves}
-    for m in halves:
-        totals[m] |= {f"pair_{k}": [joint[f"{k}{m}{c}"] or 0 for c in (0, 1)] for k in ("once", "twice")}
+    each = {"mass": lambda n: n, "types": lambda n: n > 0, "once": lambda n: n == 1, "twice": lambda n: n == 2}
     docs_of = {m: tuple(sum(sizes.get((h, c), 0) for h in hs) for c in (1, 0)) for m, hs in halves.items()}
 
+    def sums(prefix: str = "", only: Column | None = None) -> list[Column]:
+        values = {f"{prefix}{k}{m}{c}": each[k](n).cast("bigint") for (m, c), n in side.items() for k in each}
+        return [F.sum(v if only is None else F.when(only, v)).alias(k) for k, v in values.items()]
+
     def worth(x: Column, y: Column, m: int) -> Column:
         n1, n0 = docs_of[m]
         return (_statistic(x.cast("double"), y.cast("double"), n1, n0) >= EVIDENCE * 0.999) if n1 and n0 else F.lit(False)
 
     any_model = lambda: worth(side[0, 1], side[0, 0], 0) | worth(side[1, 1], side[1, 0], 1) | worth(side[2, 1], side[2, 0], 2)
-    chosen = cut(pair.where(any_model()), "pairs")
-    first = F.substring_index("expr", " ", 1).alias("first")
-    ahead = cut(chosen.select(first).distinct(), "firsts")
-    contexts = pair.select(first, "*").join(ahead, "first").groupBy("first").agg(*sums(["mass", "types"])).collect()  # bounded with the sample
-    rows = chosen.collect()
+    # a row per first word, with the sums of its pairs and those that are chosen, in the partitions of the counts
+    paired = F.col("second") != ""
+    own = [F.max(F.when(~paired, F.col(f"c{s}"))).alias(f"w{s}") for s in range(5)]
+    chosen = F.collect_list(F.when(paired & any_model(), F.struct("second", *[f"c{s}" for s in range(5)]))).alias("chosen")
+    words = cut(counts.groupBy("first").agg(*own, *sums("pair_", paired), chosen), "counts")
+
+    single = words.select(F.col("first").alias("expr"), *[F.col(f"w{s}").alias(f"c{s}") for s in range(5)])
+    total = single.agg(F.sum("c4").alias("shared"), *sums()).first()
+    joint = words.agg(*[F.sum(f"pair_{k}{m}{c}").alias(f"pair_{k}{m}{c}") for k in ("once", "twice") for m, c in side]).first()
+    totals = {m: {k: [total[f"{k}{m}{c}"] or 0 for c in (0, 1)] for k in each} | {"shared": total["shared"] or 0} for m in halves}
+    for m in halves:
+        totals[m] |= {f"pair_{k}": [joint[f"pair_{k}{m}{c}"] or 0 for c in (0, 1)] for k in ("once", "twice")}
+    ahead = words.where(F.size("chosen") > 0)
+    contexts = ahead.select("first", *[F.col(f"pair_{k}{m}{c}").alias(f"{k}{m}{c}") for k in ("mass", "types") for m, c in side]).collect()  # bounded with the sample
+    rows = ahead.select("first", F.inline("chosen")).select(F.concat_ws(" ", "first", "second").alias("expr"), *[f"c{s}" for s in range(5)]).collect()
     parts = {w for r in rows for w in r["expr"].split(" ")}
     near = F.broadcast(spark.createDataFrame([(w,) for w in sorted(parts)], "part string"))
     rows += single.where(any_model()).collect()
