@@ -131,3 +131,28 @@ def test_pairs_travel_by_first_word():
     assert len(rows) == 51 + 51  # the words of all texts, and first words of the labelled one
     go = {r["slot"]: dict(zip(r["seconds"].split(" "), r["times"])) for r in rows if r["first"] == "go"}
     assert go == {4: {"": 2}, 1: {"": 1, **{f"w{i}": 1 for i in range(50)}}}
+
+
+def test_rows_of_a_bucket_travel_as_one(spark):
+    """No more rows than buckets to a slot, however many first words; their counts are those of the texts."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(2000)) for _ in range(12)] + ["go go away", "go", "", None]
+    marks = [(i, i % 2, i // 2 % 2) for i in range(len(texts))]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "toxic": pa.array([y for _, y, _ in marks], pa.int32()), "half": pa.array([h for _, _, h in marks], pa.int32())})
+    rows = [r for b in tx._packed_batches(iter([batch])) for r in b.to_pylist()]
+    assert len(rows) == len({(r["slot"], r["bucket"]) for r in rows}) <= 5 * tx.BUCKETS
+    want = {}
+    for (_, y, h), text in zip(marks, texts):
+        words = (text or "").split()
+        for slot, expr in [(s, (w, "")) for w in set(words) for s in (4, 2 * h + y)] + [(2 * h + y, p) for p in set(zip(words, words[1:]))]:
+            want.setdefault(expr, [0] * 5)[slot] += 1
+    table = tx._table(spark.createDataFrame([tuple(r.values()) for r in rows], "bucket int, slot int, firsts string, seconds string, times array<array<int>>"))
+    assert {(r["first"], r["second"]): [r[f"c{s}"] for s in range(5)] for r in table.collect()} == want
+
+
+def test_labelled_texts_are_not_copied(spark, monkeypatch):
+    rows, labels = corpus(60, 4)
+    written = []
+    monkeypatch.setattr(tx, "cut", lambda df, *how, plain=tx.cut, **more: (written.append(df.columns), plain(df, *how, **more))[1])
+    tx.train(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert written and not any("text" in columns for columns in written)

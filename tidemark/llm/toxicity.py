@@ -18,12 +18,14 @@ size of everything that is broadcast. The shared counts cover the whole corpus.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ FIT_ROWS = 200_000
 EVIDENCE = 15.0
 #: Distinct expressions that a task counts before it passes the counts on.
 HELD = 150_000
+#: Groups of first words, by hash, in which expressions travel (tasks that count them, at most).
+BUCKETS = 4096
 #: Strength of the prior that keeps the logistic curve finite.
 RIDGE = 1e-2
 
@@ -108,11 +112,34 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch
             yield flush(slot)
 
 
+def _packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """The rows of ``_count_batches``, those of a bucket in one row, as a row to a first word costs more than its words.
+
+    First words are joined by spaces, their second words by lines; counts that are all 1 are null.
+    """
+    for batch in _count_batches(batches):
+        of = np.array([zlib.crc32(w) % BUCKETS for w in batch.column("first").cast(pa.binary()).to_pylist()], np.int32)
+        order = np.argsort(of, kind="stable")
+        of, rows = of[order], batch.take(pa.array(order))
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]).astype(np.int32)
+        times, ends = rows.column("times").flatten(), np.cumsum(pc.list_value_length(rows.column("times")).to_numpy())
+        starts = np.concatenate([[0], ends]).astype(np.int32)
+        ones = np.maximum.reduceat(times.to_numpy(), starts[:-1]) == 1
+        counts = pa.ListArray.from_arrays(pa.array(starts), times, mask=pa.array(ones))
+        words, lines, counts = (pa.ListArray.from_arrays(pa.array(edges), a) for a in (rows.column("first"), rows.column("seconds"), counts))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(of[edges[:-1]]), rows.column("slot").slice(0, len(words)), pc.binary_join(words, " "), pc.binary_join(lines, "\n"), counts],
+            ["bucket", "slot", "firsts", "seconds", "times"],
+        )
+
+
 def _table(rows: DataFrame) -> DataFrame:
-    """``first, second, c0`` to ``c4``: the counts of each expression by slot, in partitions by first word."""
-    met = F.arrays_zip(F.split("seconds", " ").alias("second"), F.col("times").alias("n"))
-    each = rows.repartition("first").select("first", "slot", F.inline(met).alias("second", "n"))
-    return each.groupBy("first", "second").agg(*[F.coalesce(F.sum(F.when(F.col("slot") == s, F.col("n"))), F.lit(0)).alias(f"c{s}") for s in range(5)])
+    """``bucket, first, second, c0`` to ``c4``: the counts of each expression by slot, in partitions by bucket of the first word."""
+    met = F.arrays_zip(F.split("firsts", " ").alias("first"), F.split("seconds", "\n").alias("line"), F.col("times"))
+    lines = rows.repartition("bucket").select("bucket", "slot", F.inline(met).alias("first", "line", "times"))
+    pairs = F.arrays_zip(F.split("line", " ").alias("second"), F.coalesce("times", F.array().cast("array<int>")).alias("n"))
+    each = lines.select("bucket", "slot", "first", F.inline(pairs).alias("second", "n")).withColumn("n", F.coalesce("n", F.lit(1)))
+    return each.groupBy("bucket", "first", "second").agg(*[F.coalesce(F.sum(F.when(F.col("slot") == s, F.col("n"))), F.lit(0)).alias(f"c{s}") for s in range(5)])
 
 
 def _statistic(x: Column, y: Column, n1: int, n0: int) -> Column:
@@ -238,9 +265,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     sample = fit_sample(labels, fit_rows)
     kept = docs.select("doc_id", "text")
     marked = kept.join(F.broadcast(sample), "doc_id", "left")  # bounded by fit_rows
-    fit = cut(marked.where(F.col("toxic").isNotNull()), "fit-texts")
+    fit = kept.join(F.broadcast(sample), "doc_id")  # read twice, as a copy of these texts is a good part of the input
     sizes = {(r["half"], r["toxic"]): r["count"] for r in fit.groupBy("half", "toxic").count().collect()}
-    counts = _table(marked.select("text", "toxic", "half").mapInArrow(_count_batches, "first string, slot int, seconds string, times array<int>"))
+    packed = "bucket int, slot int, firsts string, seconds string, times array<array<int>>"
+    counts = _table(marked.select("text", "toxic", "half").mapInArrow(_packed_batches, packed))
     halves = {0: [0], 1: [1], 2: [0, 1]}  # the halves that each model learns from
     side = {(m, c): sum((F.col(f"c{2 * h + c}") for h in hs), F.lit(0)) for m, hs in halves.items() for c in (0, 1)}
     each = {"mass": lambda n: n, "types": lambda n: n > 0, "once": lambda n: n == 1, "twice": lambda n: n == 2}
@@ -259,7 +287,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     paired = F.col("second") != ""
     own = [F.max(F.when(~paired, F.col(f"c{s}"))).alias(f"w{s}") for s in range(5)]
     chosen = F.collect_list(F.when(paired & any_model(), F.struct("second", *[f"c{s}" for s in range(5)]))).alias("chosen")
-    words = cut(counts.groupBy("first").agg(*own, *sums("pair_", paired), chosen), "counts")
+    words = cut(counts.groupBy("bucket", "first").agg(*own, *sums("pair_", paired), chosen).drop("bucket"), "counts")
 
     single = words.select(F.col("first").alias("expr"), *[F.col(f"w{s}").alias(f"c{s}") for s in range(5)])
     total = single.agg(F.sum("c4").alias("shared"), *sums()).first()
