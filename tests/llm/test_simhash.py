@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tidemark.llm import components as graph
 from tidemark.llm import simhash
 from tidemark.llm.components import components
 
@@ -105,6 +106,15 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(n)}, 1000: 1000, 1001: 1000}
 
 
+def test_a_round_of_components_stays_short(spark, monkeypatch):
+    """The driver keeps track of every task: an edge is read once a side, and nothing is made distinct midway."""
+    plans = []
+    monkeypatch.setattr(graph, "cut", lambda df, *how, plain=graph.cut: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), plain(df, *how))[1])
+    edges = spark.createDataFrame([(1, 2), (2, 3), (2, 3), (3, 1), (7, 8), (9, 9), (None, 4)], "u long, v long")
+    assert {r["node"]: r["root"] for r in components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+    assert len(plans) > 1 and not any("Union" in p for p in plans[1:])
+
+
 def test_bands_cover_every_bit(spark):
     row = spark.range(1).select(*[F.expr("-1L").alias("x")]).select(*[simhash._band(F.col("x"), b).alias(f"b{b}") for b in range(4)], *[simhash._rest(F.col("x"), b).alias(f"r{b}") for b in range(4)]).first()
     assert [row[f"b{b}"] for b in range(4)] == [65535] * 4

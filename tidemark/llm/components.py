@@ -13,6 +13,11 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
+def _either(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """``u, v``: each of the pairs of columns of every row, in a single pass over the rows."""
+    return rows.select(F.inline(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs])))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``u``, ``v``), where root is the smallest node it reaches.
 
@@ -24,17 +29,13 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(now)
     while state[0]:
-        both = now.union(now.select("v", "u"))
+        both = _either(now, ("u", "v"), ("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # no more rows than edges, so that those that repeat can stay until the last step
+        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         best = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(best, "u")
-        small = (
-            met.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-            .union(best.select("u", F.col("m").alias("v")))
-            .where(F.col("u") != F.col("v"))
-            .distinct()
-        )
+        met = large.join(best, "u").select("u", "m", F.greatest("v", "m").alias("high"), F.least("v", "m").alias("low"))
+        small = _either(met, ("high", "low"), ("u", "m")).where(F.col("u") != F.col("v")).distinct()
         now = cut(small, "edges")
         before, state = state, _state(now)
         if state == before:

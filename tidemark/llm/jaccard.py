@@ -402,20 +402,22 @@ def _near_duplicates(docs: DataFrame, size: int, tile: int, keep: int, bits: int
         """Rows of members, with roots, of the blocks that lie in several components."""
         rows = rows.join(found, "node", "left").select("block", "node", F.coalesce("root", "node").alias("root"))
         apart = rows.groupBy("block").agg((F.min("root") < F.max("root")).alias("apart")).where("apart").select("block")
-        return rows.join(apart, "block", "left_semi")
+        return cut(rows.join(apart, "block", "left_semi"), "rooted")  # read twice, and large enough a plan
 
-    links = cut(verified(cut(fingerprint_pairs(kept), "pairs")), "links")
-    found = components(links)
+    def joined(found: DataFrame, more: DataFrame) -> DataFrame:
+        """The components that links between known ones make: of a star each, not of all links again."""
+        stars = found.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        return cut(components(stars.union(more)), "found")
+
+    found = cut(components(verified(cut(fingerprint_pairs(kept), "pairs"))), "found")
     met = cut(_pairs(rooted(members, found), kept, False, tile, limit), "pairs")
     tried, omitted = met.where("omitted IS NULL").select("u", "v"), met.where("omitted IS NOT NULL").select(F.col("omitted").alias("job"))
-    links = cut(links.union(verified(tried)), "links")
-    found = components(links)
+    found = joined(found, verified(tried))
     large = cut(members.groupBy("block").count().where(F.col("count") > limit).select("block"), "large")
     if not large.isEmpty():
         one = rooted(members.join(large, "block", "left_semi"), found).groupBy("block", "root").agg(F.min("node").alias("node"))
         across = cut(_pairs(one, kept, False, tile, limit).where("omitted IS NULL").select("u", "v").join(tried, ["u", "v"], "left_anti"), "pairs")
-        links = cut(links.union(verified(across)), "links")
-        found = components(links)
+        found = joined(found, verified(across))
     # of all other blocks every pair across the first components that may be similar is among those tried
     left_out = members.withColumn("job", F.xxhash64("block", F.lit(0))).join(omitted, "job", "left_semi").select("block", "node")
     again = left_out.union(members.join(large, "block", "left_semi").select("block", "node")).distinct()
@@ -426,8 +428,7 @@ def _near_duplicates(docs: DataFrame, size: int, tile: int, keep: int, bits: int
         jobs = _jobs(clusters.join(kept.select("node", "n"), "node"), True, CLUSTER * limit // BLOCK or 1, ENTRIES)
         rows = jobs.join(shape, "node").join(sets_of(clusters.select("node")), "node")
         ordered = rows.repartition("job").sortWithinPartitions("job", "n", "node")
-        more = cut(ordered.mapInArrow(_cluster_batches(tile), "u bigint, v bigint").distinct(), "links")
-        found = components(links.union(more))
+        found = joined(found, ordered.mapInArrow(_cluster_batches(tile), "u bigint, v bigint"))
 
     ids = sketches.groupBy("node").agg(F.min("doc_id").alias("first"))
     grouped = ids.join(found, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
